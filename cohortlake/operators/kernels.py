@@ -249,21 +249,21 @@ class KernelFeatures:
         keep = values > floor * max(values[-1], 1e-300)
         return KernelFeatures(landmarks, means, overall, vectors[:, keep] / np.sqrt(values[keep]), centred)
 
-    def apply(self, x: np.ndarray, kernel: Kernel) -> np.ndarray:
-        k = kernel(x, self.landmarks)
-        if self.centred:
-            k = k - k.mean(axis=1, keepdims=True) - self.column_means[None, :] + self.overall
-        return k @ self.basis
 
 
 def kernel_features_column(df: DataFrame, vector: Column, fitted: KernelFeatures, kernel: Kernel) -> Column:
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
+    shared = df.sparkSession.sparkContext.broadcast((fitted.landmarks, fitted.column_means, fitted.basis))
+    centred, overall = fitted.centred, fitted.overall
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def features(vectors: pa.Array) -> pa.Array:
         if len(vectors) == 0:
             return pa.array([], pa.list_(pa.float64()))
-        return list_array(np.ascontiguousarray(shared.value.apply(matrix_of(vectors), kernel)))
+        landmarks, means, basis = shared.value
+        k = kernel(matrix_of(vectors), landmarks)
+        if centred:
+            k = k - k.mean(axis=1, keepdims=True) - means[None, :] + overall
+        return list_array(np.ascontiguousarray(k @ basis))
 
     return features(vector.cast("array<double>"))
 

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.embedders import embedder
-from cohortlake.functions.sequence import letters_only, pattern_positions, rejected_letters, sanitized
+from cohortlake.functions.sequence import (
+    letters_only,
+    match_count,
+    pattern_positions,
+    rejected_letters,
+    sanitized,
+)
 from cohortlake.functions.vector import first_features
 from cohortlake.models import feature_classifier as classifier
 from cohortlake.models import kernel_svm
@@ -22,7 +28,7 @@ from cohortlake.operators.ranking import sample_per_class
 from cohortlake.operators.splits import stratified_fraction, stratified_split
 from cohortlake.sinks import writers
 from cohortlake.sources import catalog, tabular
-from cohortlake.sources.fasta import read_clean_fasta, read_fasta
+from cohortlake.sources.fasta import read_clean_fasta
 
 
 # --- ingest -----------------------------------------------------------------------------------
@@ -137,6 +143,15 @@ def find_pattern(texts: DataFrame, ident: str, text: str, patterns: Sequence[str
     return pattern_positions(texts, [ident], text, patterns)
 
 
+def top_matches(texts: DataFrame, ident: str, text: str, patterns: Sequence[str], k: int = 8) -> DataFrame:
+    """The ``k`` (row, pattern) combinations with most occurrences as ``(ident, pattern, n)``."""
+    counts = F.array(
+        *[F.struct(F.lit(p).alias("pattern"), match_count(F.col(text), p).cast("long").alias("n")) for p in patterns]
+    )
+    rows = texts.select(ident, F.inline(counts)).filter(F.col("n") > 0)
+    return rows.orderBy(F.desc("n"), ident, "pattern").limit(k)
+
+
 def validate_sequences(sequences: DataFrame, sanitize: bool = False, limit: int = 0) -> DataFrame:
     """``(seq_id, ok, sequence, rejected)``: cleaned text, or a rejection with the offending letters.
 
