@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,13 +58,38 @@ def top_enzyme_class(annotation: Column) -> Column:
     return F.nullif(digit, F.lit("")).try_cast("int")
 
 
-def letters_only(sequence: Column) -> Column:
-    return F.upper(F.regexp_replace(sequence, "[^A-Za-z]+", ""))
+def _letters(replace_rejected: bool) -> np.ndarray:
+    """Byte table: upper case for letters (optionally ``X`` for rejected ones), 0 for dropped bytes."""
+    table = np.zeros(256, dtype=np.uint8)
+    for letter in string.ascii_uppercase:
+        kept = "X" if replace_rejected and letter in _REJECTED else letter
+        table[[ord(letter), ord(letter.lower())]] = ord(kept)
+    return table
 
 
-def sanitized(letters: Column) -> Column:
-    """Replace letters outside the accepted alphabet with ``X`` (input from ``letters_only``)."""
-    return F.translate(letters, _REJECTED, "X" * len(_REJECTED))
+def _mapped_text(text: pa.Array, table: np.ndarray) -> pa.Array:
+    """Map all bytes of a column through ``table`` at once and drop those mapped to 0."""
+    text = text.cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    if data is None:
+        return pa.array([None if v is None else "" for v in text.to_pylist()], pa.string())
+    bounds = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    mapped = table[np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]]]
+    kept = np.concatenate([[0], np.cumsum(mapped != 0)])[bounds - bounds[0]]
+    out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(mapped[mapped != 0]))
+    return pc.if_else(text.is_valid(), out, None).cast(pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def letters_only(sequence: pa.Array) -> pa.Array:
+    """ASCII letters of the text in upper case."""
+    return _mapped_text(sequence, _letters(False))
+
+
+@F.arrow_udf(T.StringType())
+def sanitized(sequence: pa.Array) -> pa.Array:
+    """Like ``letters_only``, with letters outside the accepted alphabet replaced by ``X``."""
+    return _mapped_text(sequence, _letters(True))
 
 
 def rejected_letters(letters: Column) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.models.linear import label_at, weighted_rows
+from cohortlake.models.linear import in_parallel, label_at, training_rows, weighted_rows
 from cohortlake.operators.features import compositional, select_informative, vector_to_long
 from cohortlake.operators.labels import sorted_labels
 from cohortlake.operators.projection import Scaling, fit_scaling, log_ratio_column
@@ -60,17 +61,17 @@ def fit(df: DataFrame, features: Sequence[str], labels: Sequence, s: Settings) -
         keep = select_informative(long, "label", keep, s.feature_k)
     scaling = fit_scaling(df, "features", keep)
     rows = weighted_rows(df, "label", labels, scaling.column(F.col("features")), s.balanced)
-    total = rows.agg(F.sum("__w")).first()[0]
-    model = LogisticRegression(
-        featuresCol="__x",
-        labelCol="__y",
-        weightCol="__w",
-        family="multinomial" if len(labels) > 2 else "binomial",
-        regParam=1.0 / (s.C * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=s.max_iter,
-    ).fit(rows)
+    with training_rows(rows, len(keep)) as (data, total):
+        model = LogisticRegression(
+            featuresCol="__x",
+            labelCol="__y",
+            weightCol="__w",
+            family="multinomial" if len(labels) > 2 else "binomial",
+            regParam=1.0 / (s.C * total),
+            elasticNetParam=0.0,
+            standardization=False,
+            maxIter=s.max_iter,
+        ).fit(data)
     return FittedClassifier(list(labels), list(features), [features[i] for i in keep], scaling, model)
 
 
@@ -115,13 +116,12 @@ def cross_validate(df: DataFrame, features: Sequence[str], s: Settings = Setting
         raise ValueError("Need at least two distinct labels for supervised training")
     folds = int(fold_count(rows, "label", "group_id", s.cv_splits).first()["folds"])
     rows = checkpoint(with_group_fold(rows, "label", "group_id", folds, s.seed).select("sample_id", "label", "features", "fold"))
-    parts = []
-    for fold in range(folds):
+
+    def out_of_fold(fold: int) -> DataFrame:
         fitted = fit(rows.filter(F.col("fold") != fold), features, labels, s)
-        parts.append(score(fitted, rows.filter(F.col("fold") == fold)))
-    predictions = parts[0]
-    for part in parts[1:]:
-        predictions = predictions.unionByName(part)
+        return score(fitted, rows.filter(F.col("fold") == fold))
+
+    predictions = reduce(DataFrame.unionByName, in_parallel(out_of_fold, range(folds)))
     return predictions, folds
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.models.linear import Bundle, fit_svm, predict, weighted_rows
+from cohortlake.models.linear import Bundle, fit_svm, in_parallel, predict, weighted_rows
 from cohortlake.operators.kernels import (
     Kernel,
     KernelFeatures,
@@ -93,7 +93,7 @@ def fit_kernel_svm(
     features = KernelFeatures.fit(refs.matrix, kernel, centred)
     column = kernel_features_column(df, F.col(vector), features, kernel)
     rows = weighted_rows(df, label, labels, column, s.balanced)
-    model = fit_svm(rows, len(labels), s.C, s.max_iter)
+    model = fit_svm(rows, len(labels), features.basis.shape[1], s.C, s.max_iter)
     return FittedKernel(list(labels), features, kernel, model, len(refs.ids))
 
 
@@ -137,6 +137,28 @@ class Comparison:
         return Bundle(self.final.model, settings, {"landmarks": table})
 
 
+def _choose(
+    training: DataFrame, ident: str, label: str, labels: list, candidates: list[Candidate], s: Settings
+) -> tuple[Candidate, list[str]]:
+    """Best candidate by macro F1 on a validation part of the training rows; the first one wins ties."""
+    inner = checkpoint(stratified_split(training, label, ident, 0.25, s.seed + 1))
+    fit_part, judge_part = (inner.filter(F.col("part") == p) for p in ("train", "test"))
+
+    def judge(candidate: Candidate) -> float | str:
+        try:
+            fitted = fit_kernel_svm(fit_part, ident, label, "x", candidate.kernel(), labels, s, centred=True)
+            return evaluate(fitted, judge_part, label, "x")["f1_macro"]
+        except ValueError as error:
+            return f"{candidate}: {error}"
+
+    results = in_parallel(judge, candidates)
+    failures = [r for r in results if isinstance(r, str)]
+    ranked = [(-r, i) for i, r in enumerate(results) if not isinstance(r, str)]
+    if not ranked:
+        raise ValueError(f"No valid kernel configuration succeeded: {failures}")
+    return candidates[min(ranked)[1]], failures
+
+
 def train(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Settings()) -> Comparison:
     """Compare an RBF baseline with the best fidelity-kernel candidate on a held-out test part.
 
@@ -159,27 +181,10 @@ def train(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Sett
     baseline = fit_kernel_svm(training, ident, label, "x", baseline_kernel, labels, s, centred=False)
     baseline_scores = evaluate(baseline, test, label, "x")
 
-    inner = checkpoint(stratified_split(training, label, ident, 0.25, s.seed + 1))
-    best: tuple[float, Candidate] | None = None
-    failures = []
     candidates = s.candidates()
-    for candidate in candidates:
-        if len(candidates) == 1:
-            best = (0.0, candidate)
-            break
-        try:
-            fitted = fit_kernel_svm(
-                inner.filter("part = 'train'"), ident, label, "x", candidate.kernel(), labels, s, centred=True
-            )
-            f1 = evaluate(fitted, inner.filter("part = 'test'"), label, "x")["f1_macro"]
-        except ValueError as error:
-            failures.append(f"{candidate}: {error}")
-            continue
-        if best is None or f1 > best[0]:
-            best = (f1, candidate)
-    if best is None:
-        raise ValueError(f"No valid kernel configuration succeeded: {failures}")
-    winner = best[1]
+    winner, failures = candidates[0], []
+    if len(candidates) > 1:
+        winner, failures = _choose(training, ident, label, labels, candidates, s)
     chosen = fit_kernel_svm(training, ident, label, "x", winner.kernel(), labels, s, centred=True)
     predictions = chosen.predict(test, "x").select(F.col(ident).alias("sample_id"), label, "prediction")
     kernel_scores = evaluate(chosen, test, label, "x")

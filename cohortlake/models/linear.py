@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, OneVsRest, OneVsRestModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from cohortlake.functions.vector import as_double
 from cohortlake.operators.labels import class_weights, weight_column
 
+# Feature bytes one training partition should hold at least.
+_PARTITION_BYTES = 32 << 20
+
 
 def index_of(label: str, labels: Sequence) -> Column:
     pairs = [x for i, value in enumerate(labels) for x in (F.lit(value), F.lit(float(i)))]
@@ -24,7 +30,9 @@ def label_at(index: Column, labels: Sequence) -> Column:
     return F.get(F.array(*[F.lit(v) for v in labels]), index.cast("int"))
 
 
-def weighted_rows(df: DataFrame, label: str, labels: Sequence, vector: Column, balanced: bool, keys: Sequence[str] = ()) -> DataFrame:
+def weighted_rows(
+    df: DataFrame, label: str, labels: Sequence, vector: Column, balanced: bool, keys: Sequence[str] = ()
+) -> DataFrame:
     """``(keys, label, __y, __w, __x)`` ready for an ML estimator."""
     weight: Column = F.lit(1.0)
     if balanced:
@@ -38,22 +46,59 @@ def weighted_rows(df: DataFrame, label: str, labels: Sequence, vector: Column, b
     )
 
 
-def fit_svm(rows: DataFrame, classes: int, C: float = 1.0, max_iter: int = 100) -> LinearSVCModel | OneVsRestModel:
+@contextmanager
+def training_rows(rows: DataFrame, width: int) -> Iterator[tuple[DataFrame, float]]:
+    """Cached rows in as few partitions as their size needs, and their total weight.
+
+    An iterative fit runs one job per step, so its cost on little data is the number of tasks. The
+    rows are computed once in parallel; only their cached copy is read with fewer tasks. Data larger
+    than one partition's share keeps its partitions.
+    """
+    cached = rows.persist()
+    try:
+        facts = cached.agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+        if not facts["n"]:
+            raise ValueError("no rows to train on")
+        parts = -(-facts["n"] * max(width, 1) * 8 // _PARTITION_BYTES)
+        yield cached.coalesce(max(1, parts)), facts["w"]
+    finally:
+        cached.unpersist()
+
+
+def fit_svm(
+    rows: DataFrame, classes: int, width: int, C: float = 1.0, max_iter: int = 100
+) -> LinearSVCModel | OneVsRestModel:
     """Soft-margin linear SVM with penalty ``C``; one model per class when there are more than two.
 
     ``C`` multiplies the summed weighted loss, so the strength per unit of weight is
     ``1 / (C * total weight)``.
     """
-    total = rows.agg(F.sum("__w")).first()[0]
-    svm = LinearSVC(
-        featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1.0 / (C * total), maxIter=max_iter, standardization=False
-    )
-    if classes == 2:
-        return svm.fit(rows)
-    return OneVsRest(classifier=svm, featuresCol="__x", labelCol="__y", weightCol="__w", parallelism=min(classes, 8)).fit(rows)
+    with training_rows(rows, width) as (data, total):
+        svm = LinearSVC(
+            featuresCol="__x",
+            labelCol="__y",
+            weightCol="__w",
+            regParam=1.0 / (C * total),
+            maxIter=max_iter,
+            standardization=False,
+        )
+        if classes == 2:
+            return svm.fit(data)
+        several = OneVsRest(
+            classifier=svm, featuresCol="__x", labelCol="__y", weightCol="__w", parallelism=min(classes, 8)
+        )
+        return several.fit(data)
+
+
+def in_parallel(task: Callable, items: Sequence, workers: int = 4) -> list:
+    """Run independent fits side by side; results keep the order of ``items``."""
+    with ThreadPoolExecutor(min(workers, max(1, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(task), items))
 
 
-def predict(model: LinearSVCModel | OneVsRestModel, df: DataFrame, vector: Column, labels: Sequence, out: str = "prediction") -> DataFrame:
+def predict(
+    model: LinearSVCModel | OneVsRestModel, df: DataFrame, vector: Column, labels: Sequence, out: str = "prediction"
+) -> DataFrame:
     scored = model.transform(df.withColumn("__x", array_to_vector(as_double(vector))))
     model_out = model.getPredictionCol()
     return scored.withColumn("__p", label_at(F.col(model_out), labels)).select(*df.columns, F.col("__p").alias(out))

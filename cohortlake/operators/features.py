@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from cohortlake.operators.quantiles import exact_quantiles
 
 
+_PAIRWISE_FEATURES = 12
+
+
 def quoted(name: str) -> Column:
     """Column by literal name; feature names may contain dots and bars."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -78,9 +81,23 @@ def wide_class_table(stats: DataFrame, label: str, features: Sequence[str], valu
 def feature_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered feature pair as ``(feature_a, feature_b, corr)``.
 
-    One distributed pass accumulates the feature-by-feature matrix, whose size depends on the
-    number of features only.
+    A few features use one built-in aggregate per pair. More features accumulate the
+    feature-by-feature matrix in one distributed pass; its size depends on their number only.
     """
+    n = len(features)
+    if n <= _PAIRWISE_FEATURES:
+        pairs = [(i, j) for i in range(n) for j in range(i, n)]
+        wide = df.agg(*[F.corr(quoted(features[i]), quoted(features[j])).alias(f"c{i}_{j}") for i, j in pairs])
+        cells = [
+            F.struct(
+                F.lit(features[i]).alias("feature_a"),
+                F.lit(features[j]).alias("feature_b"),
+                F.col(f"c{min(i, j)}_{max(i, j)}").alias("corr"),
+            )
+            for i in range(n)
+            for j in range(n)
+        ]
+        return wide.select(F.inline(F.array(*cells)))
     vector = array_to_vector(F.array(*[quoted(f).cast("double") for f in features])).alias("v")
     matrix = Correlation.corr(df.select(vector), "v").first()[0].toArray()
     rows = [(a, b, float(matrix[i][j])) for i, a in enumerate(features) for j, b in enumerate(features)]

@@ -159,11 +159,13 @@ def validate_sequences(sequences: DataFrame, sanitize: bool = False, limit: int
     """
     if limit > 0:
         sequences = sequences.orderBy("seq_id").limit(limit)
-    raw = sequences.select("seq_id", letters_only(F.col("sequence")).alias("raw"))
+    use = sanitized if sanitize else letters_only
+    cleaned = sequences.select(
+        "seq_id", letters_only(F.col("sequence")).alias("raw"), use(F.col("sequence")).alias("text")
+    )
     bad = rejected_letters(F.col("raw"))
     ok = F.lit(True) if sanitize else F.size(bad) == 0
-    text = sanitized(F.col("raw")) if sanitize else F.when(F.size(bad) == 0, F.col("raw"))
-    return raw.select("seq_id", ok.alias("ok"), text.alias("sequence"), bad.alias("rejected"))
+    return cleaned.select("seq_id", ok.alias("ok"), F.when(ok, F.col("text")).alias("sequence"), bad.alias("rejected"))
 
 
 # --- training ---------------------------------------------------------------------------------
@@ -209,7 +211,8 @@ def train_linear_svm(
     classes = labelling.sorted_labels(rows, "label")
     if len(classes) < 2:
         raise ValueError("Need at least two classes for supervised training")
-    model = fit_svm(weighted_rows(rows.filter("part = 'train'"), "label", classes, F.col("x"), False), len(classes), 1.0, max_iter)
+    training = weighted_rows(rows.filter("part = 'train'"), "label", classes, F.col("x"), False)
+    model = fit_svm(training, len(classes), facts["high"], 1.0, max_iter)
     has_test = facts["train"] < facts["n"]
     judged = rows.filter(F.col("part") == ("test" if has_test else "train"))
     predictions = predict(model, judged.select("seq_id", "label", "x"), F.col("x"), classes).drop("x")

@@ -1070,7 +1070,7 @@ def _(spark, folder):
 
 @query("linear_svm_predictions")
 def _(spark, folder):
-    _, _, predictions = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32)
+    _, _, predictions = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32, max_iter=50)
     return predictions
 
 
@@ -1115,7 +1115,7 @@ def _(spark, folder):
 
 @query("score_sequences")
 def _(spark, folder):
-    _, bundle, _ = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32)
+    _, bundle, _ = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32, max_iter=50)
     turns = table(spark, folder, "conversations")
     texts = turns.select(F.concat_ws("-", "conv_id", "turn").alias("seq_id"), F.col("text").alias("sequence"))
     return jobs.score_sequences(texts, bundle)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.functions.sequence import accession
+from cohortlake.functions.sequence import accession, letters_only
 from cohortlake.session import sized
 
 _EDGES = r"^\s+|\s+$"
@@ -82,5 +82,5 @@ def read_clean_fasta(spark: SparkSession, paths: str | Sequence[str], header_fir
     has_line = F.regexp_like(F.col("record"), F.lit(r"^[^\r\n]*(?:\r\n|\r|\n)[\s\S]"))
     return records.filter(has_line).select(
         accession(_header(F.col("record"))).alias("accession"),
-        F.upper(F.regexp_replace(body, "[^A-Za-z]+", "")).alias("sequence"),
+        letters_only(body).alias("sequence"),
     )
