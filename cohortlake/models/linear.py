@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.vector import as_double
 from cohortlake.operators.labels import class_weights, weight_column
+from cohortlake.sinks.writers import write_text
 
 # Feature bytes one training partition should hold at least.
 _PARTITION_BYTES = 32 << 20
@@ -115,9 +116,7 @@ class Bundle:
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         settings = {**self.settings, "tables": sorted(self.tables), "one_vs_rest": isinstance(self.model, OneVsRestModel)}
-        spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/settings"
-        )
+        write_text(spark, json.dumps(settings), f"{path}/settings")
         for name, table in self.tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 

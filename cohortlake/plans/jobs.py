@@ -262,6 +262,21 @@ def train_feature_classifier(
     }
 
 
+def classifier_metrics(result: dict) -> dict:
+    """The small result tables of ``train_feature_classifier`` as one document."""
+
+    def rows(name: str) -> list[dict]:
+        return [r.asDict() for r in result[name].collect()]
+
+    return {
+        "classes": result["classes"],
+        "cv_splits": result["cv_splits"],
+        **rows("performance")[0],
+        **rows("ranking")[0],
+        **{name: rows(name) for name in ("confusion_matrix", "classification_report", "fold_metrics", "top_features")},
+    }
+
+
 def train_kernel_svm(
     embeddings: DataFrame, labels: DataFrame, settings: kernel_svm.Settings = kernel_svm.Settings()
 ) -> kernel_svm.Comparison:

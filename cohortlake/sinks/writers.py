@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.sources.catalog import feature_names, manifest_name
@@ -49,3 +49,8 @@ def write_fasta(df: DataFrame, path: str, ident: str = "accession", sequence: st
     df.select(F.concat(F.lit(">"), F.col(ident), F.lit("\n"), F.col(sequence)).alias("value")).write.mode(
         "overwrite"
     ).text(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """Store one small document, such as a metrics object."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
