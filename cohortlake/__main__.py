@@ -57,7 +57,7 @@ def train_features(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = catalog.features_table(spark, a.table)
     result = jobs.train_feature_classifier(rows, catalog.feature_names(spark, a.table), settings)
     writers.write_csv(result["predictions"], a.pred_out)
-    result["fitted"].model.write().overwrite().save(f"{a.model_out}/model")
+    result["fitted"].bundle(settings).save(spark, a.model_out)
     _save_metrics(spark, jobs.classifier_metrics(result), a.out)
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.models.linear import in_parallel, label_at, training_rows, weighted_rows
+from cohortlake.models.linear import Bundle, in_parallel, label_at, training_rows, weighted_rows
 from cohortlake.operators.features import compositional, select_informative, vector_to_long
 from cohortlake.operators.labels import sorted_labels
 from cohortlake.operators.projection import Scaling, fit_scaling, log_ratio_column
@@ -19,6 +19,10 @@ from cohortlake.operators.splits import fold_count, with_group_fold
 from cohortlake.session import checkpoint
 
 
+# Entries a stored classifier must have.
+REQUIRED = ("labels", "features", "selected", "scaling", "pseudocount")
+
+
 @dataclass(frozen=True)
 class Settings:
     seed: int = 42
@@ -40,6 +44,21 @@ class FittedClassifier:
     scaling: Scaling
     model: LogisticRegressionModel
 
+    def bundle(self, s: Settings) -> Bundle:
+        settings = {
+            "labels": self.labels,
+            "features": self.features,
+            "selected": self.selected,
+            "scaling": vars(self.scaling),
+            "pseudocount": s.pseudocount,
+        }
+        return Bundle(self.model, settings)
+
+    @staticmethod
+    def restore(bundle: Bundle) -> FittedClassifier:
+        s = bundle.settings
+        return FittedClassifier(s["labels"], s["features"], s["selected"], Scaling(**s["scaling"]), bundle.model)
+
     def coefficients(self, spark) -> DataFrame:
         """``(label, feature, weight)``; with two classes the first one has the negated weights."""
         matrix = self.model.coefficientMatrix.toArray()

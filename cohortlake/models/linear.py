@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegressionModel, OneVsRest, OneVsRestModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,13 +109,13 @@ def predict(
 class Bundle:
     """A stored model: the fitted classifier, its settings and optional parameter tables."""
 
-    model: LinearSVCModel | OneVsRestModel
+    model: LinearSVCModel | OneVsRestModel | LogisticRegressionModel
     settings: dict
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        settings = {**self.settings, "tables": sorted(self.tables), "one_vs_rest": isinstance(self.model, OneVsRestModel)}
+        settings = {**self.settings, "tables": sorted(self.tables), "kind": type(self.model).__name__}
         write_text(spark, json.dumps(settings), f"{path}/settings")
         for name, table in self.tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -126,6 +126,6 @@ class Bundle:
         missing = set(required) - set(settings) - set(settings["tables"])
         if missing:
             raise ValueError(f"Model bundle is missing keys: {sorted(missing)}")
-        reader = OneVsRestModel if settings["one_vs_rest"] else LinearSVCModel
+        readers = {r.__name__: r for r in (LinearSVCModel, OneVsRestModel, LogisticRegressionModel)}
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in settings["tables"]}
-        return Bundle(reader.load(f"{path}/model"), settings, tables)
+        return Bundle(readers[settings["kind"]].load(f"{path}/model"), settings, tables)

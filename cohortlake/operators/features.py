@@ -44,32 +44,31 @@ def to_long(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def vector_to_long(df: DataFrame, vector: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (keys, position, value)."""
     return df.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("position", "value"))
 
 
+def named_long(df: DataFrame, vector: str, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``vector_to_long`` with the feature name instead of its position."""
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("position"))
+    return vector_to_long(df, vector, keys).select(*keys, name.alias("feature"), "value")
+
+
 # --- statistics -----------------------------------------------------------------------------
 
 
-def class_feature_stats(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Mean and population deviation of every feature per class."""
-    return (
-        to_long(df, features, [label])
-        .groupBy(label, "feature")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    )
+def class_feature_stats(long: DataFrame, label: str) -> DataFrame:
+    """Mean and population deviation of every feature per class, from ``(label, feature, value)`` rows."""
+    return long.groupBy(label, "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def overall_feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Mean, sample deviation, minimum and maximum of every feature."""
-    return (
-        to_long(df, features)
-        .groupBy("feature")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
+def overall_feature_stats(long: DataFrame) -> DataFrame:
+    """Mean, sample deviation, minimum and maximum of every feature, from ``(feature, value)`` rows."""
+    return long.groupBy("feature").agg(
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
 
 
@@ -98,10 +97,16 @@ def feature_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
             for j in range(n)
         ]
         return wide.select(F.inline(F.array(*cells)))
-    vector = array_to_vector(F.array(*[quoted(f).cast("double") for f in features])).alias("v")
-    matrix = Correlation.corr(df.select(vector), "v").first()[0].toArray()
-    rows = [(a, b, float(matrix[i][j])) for i, a in enumerate(features) for j, b in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    vector = F.array(*[quoted(f).cast("double") for f in features])
+    return vector_correlation(df.select(vector.alias("v")), "v", features)
+
+
+def vector_correlation(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
+    """``feature_correlation`` of a vector column."""
+    rows = df.select(array_to_vector(F.col(vector)).alias("v"))
+    matrix = Correlation.corr(rows, "v").first()[0].toArray()
+    cells = [(a, b, float(matrix[i][j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, corr double")
 
 
 def equal_width_histogram(df: DataFrame, value: str) -> DataFrame:

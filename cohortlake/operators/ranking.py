@@ -29,26 +29,27 @@ def stratum_rank(
     of rows in earlier buckets (from a small count table) plus the rank inside the bucket, which is
     the same number, computed in parallel.
     """
-    strata = list(strata)
     lead = [leading] if leading else []
+    # A struct key is never null, so rows without a class keep their own stratum.
     keyed = df.withColumn("__key", seeded_key(seed, ident)).withColumn(
-        "__bucket", F.substring("__key", 1, digits)
+        "__cell", F.struct(*strata, *lead, F.substring("__key", 1, digits).alias("__bucket"))
     )
-    cell = [*strata, *lead, "__bucket"]
-    before = Window.partitionBy(*strata).orderBy(*[F.desc(c) for c in lead], "__bucket")
+    field = {c: F.col("__cell").getField(c) for c in [*strata, *lead, "__bucket"]}
+    stratum = Window.partitionBy(*[field[c] for c in strata])
+    before = stratum.orderBy(*[field[c].desc() for c in lead], field["__bucket"])
     offsets = (
-        keyed.groupBy(*cell)
+        keyed.groupBy("__cell")
         .agg(F.count(F.lit(1)).alias("__rows"))
         .withColumn("__before", F.sum("__rows").over(before) - F.col("__rows"))
-        .withColumn("stratum_size", F.sum("__rows").over(Window.partitionBy(*strata)))
+        .withColumn("stratum_size", F.sum("__rows").over(stratum))
         .drop("__rows")
     )
-    inside = Window.partitionBy(*cell).orderBy("__key", ident)
+    inside = Window.partitionBy("__cell").orderBy("__key", ident)
     return (
         keyed.withColumn("__inside", F.row_number().over(inside))
-        .join(offsets, cell)
+        .join(offsets, "__cell")
         .withColumn("rank", F.col("__before") + F.col("__inside"))
-        .drop("__key", "__bucket", "__before", "__inside")
+        .drop("__key", "__cell", "__before", "__inside")
     )
 
 

@@ -340,14 +340,14 @@ def report_embeddings(embeddings: DataFrame, predictions: DataFrame | None = Non
 
 def report_features(rows: DataFrame, features: Sequence[str], predictions: DataFrame | None = None) -> dict:
     """Tables of the feature report: class counts, statistics, correlation, 2-D coordinates, metrics."""
-    wide = rows.select("sample_id", "label", *[F.col("features")[i].alias(f) for i, f in enumerate(features)])
-    stats = feats.class_feature_stats(wide, "label", features)
+    long = feats.named_long(rows, "features", features, ["label"])
+    stats = feats.class_feature_stats(long, "label")
     tables = {
         "label_counts": labelling.label_counts(rows, "label"),
         "feature_means": feats.wide_class_table(stats, "label", features, "mean"),
         "feature_stds": feats.wide_class_table(stats, "label", features, "std"),
-        "feature_overall_stats": feats.overall_feature_stats(wide, features),
-        "feature_correlation": feats.feature_correlation(wide, features),
+        "feature_overall_stats": feats.overall_feature_stats(long),
+        "feature_correlation": feats.vector_correlation(rows, "features", features),
     }
     if len(features) >= 2:
         components = fit_components(rows, "features", 2)

@@ -75,10 +75,7 @@ def composition_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def letter_shares(spark: SparkSession, folder: str) -> DataFrame:
     """``(label, feature, value)``: the first twenty composition entries in long form."""
     vectors = composition_vectors(spark, folder).select(F.col("lang").alias("label"), F.slice("v", 1, 20).alias("v"))
-    names = F.array(*[F.lit(c) for c in seq.RESIDUES])
-    return feats.vector_to_long(vectors, "v", ["label"]).select(
-        "label", F.get(names, F.col("position")).alias("feature"), "value"
-    )
+    return feats.named_long(vectors, "v", list(seq.RESIDUES), ["label"])
 
 
 WIDE = ["f_qty", "f_price", "f_disc", "f_tax", "f_const", "f_void"]
@@ -490,7 +487,7 @@ def _(spark, folder):
     SELECT label, feature, round(avg(value), 6) AS mean FROM long GROUP BY label, feature""",
 )
 def _(spark, folder):
-    stats = feats.class_feature_stats(wide(spark, folder), "label", MEASURED)
+    stats = feats.class_feature_stats(feats.to_long(wide(spark, folder), MEASURED, ["label"]), "label")
     return stats.select("label", "feature", r6(F.col("mean")).alias("mean"))
 
 
@@ -500,7 +497,7 @@ def _(spark, folder):
     SELECT label, feature, round(stddev_pop(value), 6) AS std FROM long GROUP BY label, feature""",
 )
 def _(spark, folder):
-    stats = feats.class_feature_stats(wide(spark, folder), "label", MEASURED)
+    stats = feats.class_feature_stats(feats.to_long(wide(spark, folder), MEASURED, ["label"]), "label")
     return stats.select("label", "feature", r6(F.col("std")).alias("std"))
 
 
@@ -511,7 +508,7 @@ def _(spark, folder):
       max(value) AS max FROM long GROUP BY feature""",
 )
 def _(spark, folder):
-    stats = feats.overall_feature_stats(wide(spark, folder), MEASURED)
+    stats = feats.overall_feature_stats(feats.to_long(wide(spark, folder), MEASURED))
     return stats.select("feature", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "min", "max")
 
 

@@ -76,10 +76,10 @@ def test_statistics(spark):
     y = np.arange(300) % 2
     df = spark.createDataFrame([(str(k), *map(float, r)) for k, r in zip(y, x)], "label string, a double, b double, c double")
     names = ["a", "b", "c"]
-    stats = {(r["label"], r["feature"]): r for r in feats.class_feature_stats(df, "label", names).collect()}
+    stats = {(r["label"], r["feature"]): r for r in feats.class_feature_stats(feats.to_long(df, names, ["label"]), "label").collect()}
     assert stats["1", "b"]["mean"] == pytest.approx(x[y == 1, 1].mean())
     assert stats["1", "b"]["std"] == pytest.approx(x[y == 1, 1].std())
-    overall = {r["feature"]: r for r in feats.overall_feature_stats(df, names).collect()}
+    overall = {r["feature"]: r for r in feats.overall_feature_stats(feats.to_long(df, names)).collect()}
     assert overall["c"]["std"] == pytest.approx(x[:, 2].std(ddof=1))
     for limit in (12, 2):
         old, feats._PAIRWISE_FEATURES = feats._PAIRWISE_FEATURES, limit
@@ -94,7 +94,7 @@ def test_statistics(spark):
     assert whole["p90"] == pytest.approx(np.percentile(np.abs(x), 90))
     zero = feats.robust_angle_scale(df.withColumn("a", F.lit(0.0)), ["a"], 0.5)
     assert zero.first()["multiplier"] == 0.5
-    wide = feats.wide_class_table(feats.class_feature_stats(df, "label", names), "label", names, "mean").collect()
+    wide = feats.wide_class_table(feats.class_feature_stats(feats.to_long(df, names, ["label"]), "label"), "label", names, "mean").collect()
     assert wide[0]["a"] == pytest.approx(x[y == 0, 0].mean())
 
 

@@ -20,7 +20,7 @@ def cohort(spark, classes=2, n=240, seed=0):
 
 
 @pytest.mark.parametrize("classes", [2, 3])
-def test_cross_validation(spark, classes):
+def test_cross_validation(spark, tmp_path, classes):
     x, y, df = cohort(spark, classes)
     result = jobs.train_feature_classifier(df, NAMES, fc.Settings(max_iter=50, cv_splits=3, feature_k=3))
     predictions = result["predictions"]
@@ -35,6 +35,12 @@ def test_cross_validation(spark, classes):
     assert result["confusion_matrix"].agg(F.sum("count")).first()[0] == len(y)
     assert result["fold_metrics"].count() == 3
     top = {(r["label"], r["rank"]): r["feature"] for r in result["top_features"].collect()}
+    path = str(tmp_path / "classifier")
+    result["fitted"].bundle(fc.Settings()).save(spark, path)
+    restored = fc.FittedClassifier.restore(Bundle.load(spark, path, fc.REQUIRED))
+    rows = fc.prepared(df.withColumn("fold", F.lit(0)), NAMES, fc.Settings())
+    pair = [{r["sample_id"]: r["prediction"] for r in fc.score(m, rows).collect()} for m in (restored, result["fitted"])]
+    assert pair[0] == pair[1] and len(pair[0]) == len(y)
     assert top[f"c{classes - 1}", 1] == "age" and "noise" not in result["fitted"].selected
 
 

@@ -13,7 +13,7 @@ def key(seed, ident):
 
 def skewed(spark, n=3000):
     """One class holds most of the rows."""
-    rows = [(i, "hot" if i % 10 else f"c{i % 3}") for i in range(n)]
+    rows = [(i, "hot" if i % 10 else [None, "c1", "c2"][i % 3]) for i in range(n)]
     return rows, spark.createDataFrame(rows, "id int, label string").repartition(6)
 
 
