@@ -177,7 +177,8 @@ def kernel_against(
     small = reference_set(refs, ident, vector, limit)
     if small is None:
         return kernel_blocks(rows, refs, ident, vector, kernel)
-    ids = F.array(*[F.lit(i) for i in small.ids])
+    kind = dict(refs.dtypes)[ident]
+    ids = F.array(*[F.lit(i) for i in small.ids]).cast(f"array<{kind}>")
     values = kernel_column(rows, F.col(vector), small, kernel)
     return rows.select(ident, values.alias("k")).select(
         ident, F.inline(F.arrays_zip(ids.alias("ref_id"), F.col("k").alias("k")))
@@ -185,18 +186,21 @@ def kernel_against(
 
 
 def phase_column(vector: Column, reps: int = 1, entanglement: str = "linear") -> tuple[Column, Column]:
-    """Real and imaginary parts of ``phase_states`` as two ``array<double>`` columns."""
+    """Real and imaginary parts of ``phase_states`` as two ``array<double>`` columns.
 
-    def part(pick: Callable[[np.ndarray], np.ndarray]):
-        @F.arrow_udf(T.ArrayType(T.DoubleType()))
-        def states(vectors: pa.Array) -> pa.Array:
-            if len(vectors) == 0:
-                return pa.array([], pa.list_(pa.float64()))
-            return list_array(np.ascontiguousarray(pick(phase_states(matrix_of(vectors), reps, entanglement))))
+    One call returns both parts behind each other; the two columns are its halves.
+    """
 
-        return states(vector.cast("array<double>"))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def states(vectors: pa.Array) -> pa.Array:
+        if len(vectors) == 0:
+            return pa.array([], pa.list_(pa.float64()))
+        amplitudes = phase_states(matrix_of(vectors), reps, entanglement)
+        return list_array(np.hstack([amplitudes.real, amplitudes.imag]))
 
-    return part(np.real), part(np.imag)
+    both = states(vector.cast("array<double>"))
+    width = (F.size(both) / 2).cast("int")
+    return F.slice(both, F.lit(1), width), F.slice(both, width + 1, width)
 
 
 # --- centring -------------------------------------------------------------------------------

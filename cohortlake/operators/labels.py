@@ -43,13 +43,16 @@ def rule_label(df: DataFrame, length: str, rule: str = "median-length", out: str
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """``(label, label_index)``: 0-based rank among the sorted distinct labels."""
-    distinct = df.select(label).distinct()
+    distinct = df.select(label).filter(F.col(label).isNotNull()).distinct()
     return distinct.withColumn("label_index", F.dense_rank().over(Window.orderBy(label)) - 1)
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:
-    """Add ``label_index``; the class table is materialised first so that its size is known."""
-    return df.join(sized(label_index(df, label)), label)
+    """Add ``label_index`` (null for a null label).
+
+    The class table is materialised first so that its size is known.
+    """
+    return df.join(sized(label_index(df, label)), label, "left")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -169,7 +169,7 @@ METRICS_SQL = f"WITH {SCORED_SQL}, {CLASS_SCORES_SQL}"
 
 EMBED_SQL = """
 embedded AS (
-  SELECT CAST(doc_id AS VARCHAR) AS seq_id, length(text) AS length, 'dummy' AS backend, 64 AS dim FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS seq_id, CAST(length(text) AS INTEGER) AS length, 'dummy' AS backend, 64 AS dim FROM documents)
 """
 
 
@@ -181,7 +181,7 @@ def embedded(spark: SparkSession, folder: str) -> DataFrame:
 # --- scans and projections ------------------------------------------------------------------
 
 
-@query("scan_embeddings", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
+@query("scan_embeddings", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
 def _(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", "label", F.size("embedding").alias("dim"))
 
@@ -202,7 +202,7 @@ def _(spark, folder):
     return rows.select("l_orderkey", "l_linenumber", "label", *[F.col("features")[i].alias(f"f{i}") for i in range(3)])
 
 
-@query("seq_length", "SELECT doc_id, length(text) AS length FROM documents")
+@query("seq_length", "SELECT doc_id, CAST(length(text) AS INTEGER) AS length FROM documents")
 def _(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.length("text").alias("length"))
 
@@ -254,7 +254,7 @@ def _(spark, folder):
 
 @query(
     "length_class_filter",
-    """SELECT doc_id, CAST(n_chars % 9 AS INTEGER) AS ec_top, length(text) AS length FROM documents
+    """SELECT doc_id, CAST(n_chars % 9 AS INTEGER) AS ec_top, CAST(length(text) AS INTEGER) AS length FROM documents
     WHERE length(text) BETWEEN 50 AND 512 AND n_chars % 9 BETWEEN 1 AND 6""",
 )
 def _(spark, folder):
@@ -410,7 +410,7 @@ def _(spark, folder):
 @query(
     "ec_join",
     f"""WITH {CLEAN_SQL}
-    SELECT 'P' || doc_id AS accession, CAST(p_size % 9 AS INTEGER) AS ec_top, length(raw) AS length
+    SELECT 'P' || doc_id AS accession, CAST(p_size % 9 AS INTEGER) AS ec_top, CAST(length(raw) AS INTEGER) AS length
     FROM cleaned JOIN part ON doc_id = p_partkey WHERE p_size % 9 BETWEEN 1 AND 6 AND length(raw) BETWEEN 50 AND 512""",
 )
 def _(spark, folder):
@@ -629,7 +629,7 @@ def _(spark, folder):
     "feature_order_check",
     """SELECT count(DISTINCT names) AS orders, min(w) AS min_width, max(w) AS max_width,
       count(DISTINCT names) = 1 AND min(w) = max(w) AS consistent
-    FROM (SELECT 'e' || (len(embedding) % 2) || ',' || 'e' || (label % 2) AS names, len(embedding) AS w FROM embeddings)""",
+    FROM (SELECT 'e' || (len(embedding) % 2) || ',' || 'e' || (label % 2) AS names, CAST(len(embedding) AS INTEGER) AS w FROM embeddings)""",
 )
 def _(spark, folder):
     rows = table(spark, folder, "embeddings")
