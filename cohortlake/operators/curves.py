@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANGES = 256
+_RANGES = 1024
 
 
 def threshold_counts(df: DataFrame, score: str, positive: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -33,6 +33,7 @@ def threshold_counts(df: DataFrame, score: str, positive: str, groups: Sequence[
         )
     )
     ranged = Bucketizer(splits=splits, inputCol="score", outputCol="__range").transform(counts)
+    ranged = ranged.withColumn("__range", F.col("__range").cast("int"))
     higher = Window.partitionBy(*groups).orderBy(F.desc("__range"))
     totals = ranged.groupBy(*groups, "__range").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     whole = Window.partitionBy(*groups)
