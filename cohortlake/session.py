@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,21 +24,23 @@ def get_session(app_name: str = "cohortlake", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the driver and all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local master
-    without that setting (tests) gets a temporary folder; on a cluster its absence is an error,
-    because a machine-local folder would not survive the loss of an executor.
+    It is the one the session names in ``spark.checkpoint.dir``. Where that is unset, as in tests,
+    a folder below the warehouse takes its place, which is shared as well; never a temporary one.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the shared folder, so that lost executors cost no rerun."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="cohortlake-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

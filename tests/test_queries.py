@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cohortlake.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not available")
 
@@ -60,3 +60,7 @@ def test_fitted_query_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["label", "precision", "recall", "f1", "support"]
+
+
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
