@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from cohortlake.llm.line_dedup import OP2_SQL, op2_line_dedup
+from cohortlake.llm.near_dedup import op9_near_dedup
+from cohortlake.llm.token_store import op5_token_store
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_token_store": op5_token_store,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLE = {"op2_line_dedup": OP2_SQL}
