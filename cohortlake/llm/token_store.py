@@ -29,7 +29,7 @@ SEGMENT = 1 << 20
 CACHED_PIECES = 1 << 20
 # Fixed values of the format: magic, documents, ids, words, escapes.
 MAGIC = b"S8B1"
-HEADER = struct.Struct("<4sIQQQ")
+HEADER = "<4sIQQQ"
 STORE_SCHEMA = "file_no int, segment int, first long, n_tokens long, image binary"
 DOCS_SCHEMA = "file_no int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -39,17 +39,17 @@ def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     words, offsets, escapes = simple8b.encode(ids)
     flags = np.array([d is None for d in doc_ids], dtype=np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    head = HEADER.pack(MAGIC, len(doc_ids), len(ids), len(words), escapes)
+    head = struct.pack(HEADER, MAGIC, len(doc_ids), len(ids), len(words), escapes)
     parts = (numbers, flags, np.array(lengths, dtype="<i8"), offsets.astype("<u4"), words.astype("<u8"))
     return head + b"".join(p.tobytes() for p in parts)
 
 
 def unpack_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, lengths, ids) of a segment image."""
-    magic, docs, total, n_words, escapes = HEADER.unpack_from(image)
+    magic, docs, total, n_words, escapes = struct.unpack_from(HEADER, image)
     if magic != MAGIC:
         raise ValueError("not a token segment")
-    at = HEADER.size
+    at = struct.calcsize(HEADER)
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
