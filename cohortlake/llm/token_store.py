@@ -26,7 +26,7 @@ from cohortlake.llm.common import table, whole_text
 from cohortlake.session import shared_folder
 
 SEGMENT = 1 << 20
-CACHED_PIECES = 1 << 20
+CACHED_PIECES = 400_000
 # Fixed values of the format: magic, documents, ids, words, escapes.
 MAGIC = b"S8B1"
 HEADER = "<4sIQQQ"
@@ -76,6 +76,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         tables = sys.modules.setdefault("_corpus_pieces", ModuleType("_corpus_pieces")).__dict__
         self.known = tables.setdefault(path, {"": b""})
 
@@ -95,9 +98,18 @@ class WordCoder:
             plain = piece.lower() if piece.isascii() else piece
             marked = plain[-1] in ".,!?:;" and plain[:-1].lower().isalpha()
             parts[piece] = (plain[:-1], plain[-1]) if marked else (plain, "")
-        new = list({p for pair in parts.values() for p in pair}.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        new = {p for pair in parts.values() for p in pair}.difference(self.known)
+        words = [p for p in new if p.isalpha() and p.lower().isalpha()]
+        others = list(new.difference(words))
+        for at in range(0, len(words), 20_000):
+            # Each word of letters closes with exactly one word-end token, so many encode as one text.
+            some = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
+            coded = ids.tobytes()
+            self.known.update(zip(some, (coded[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.known.update(zip(some, (np.array(c.ids, dtype="<u4").tobytes() for c in coded), strict=True))
         self.known.update({piece: self.known[a] + self.known[b] for piece, (a, b) in parts.items()})
@@ -158,16 +170,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                doc_ids, lengths, ids = unpack_segment(row["image"])
+            for at in range(batch.num_rows):
+                file_no, first, image = (batch.column(k)[at].as_py() for k in range(3))
+                doc_ids, lengths, ids = unpack_segment(image)
                 coded, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
                 begins = ends - lengths
                 sums = [zlib.crc32(coded[4 * b : 4 * e]) for b, e in zip(begins, ends, strict=True)]
                 yield pa.record_batch(
                     [
-                        pa.array([row["file_no"]] * len(doc_ids), pa.int32()),
+                        pa.array([file_no] * len(doc_ids), pa.int32()),
                         pa.array(doc_ids, pa.int64()),
-                        pa.array(begins + row["first"], pa.int64()),
+                        pa.array(begins + first, pa.int64()),
                         pa.array(lengths, pa.int64()),
                         pa.array(sums, pa.int64()),
                     ],
