@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from cohortlake.llm.language import op10_language
 from cohortlake.llm.line_dedup import OP2_SQL, op2_line_dedup
 from cohortlake.llm.near_dedup import op9_near_dedup
+from cohortlake.llm.quality import op8_quality
 from cohortlake.llm.token_store import op5_token_store
+from cohortlake.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op5_token_store": op5_token_store,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
+    "op10_language": op10_language,
 }
 ORACLE = {"op2_line_dedup": OP2_SQL}
