@@ -6,6 +6,7 @@ from cohortlake.llm.language import op10_language
 from cohortlake.llm.line_dedup import OP2_SQL, op2_line_dedup
 from cohortlake.llm.near_dedup import op9_near_dedup
 from cohortlake.llm.quality import op8_quality
+from cohortlake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from cohortlake.llm.token_store import op5_token_store
 from cohortlake.llm.toxicity import op1_toxicity
 
@@ -13,8 +14,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op5_token_store": op5_token_store,
+    "op6_secret_scan": op6_secret_scan,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
 }
-ORACLE = {"op2_line_dedup": OP2_SQL}
+ORACLE = {"op2_line_dedup": OP2_SQL, "op6_secret_scan": OP6_SQL}
