@@ -9,14 +9,16 @@ from cohortlake.llm.quality import op8_quality
 from cohortlake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from cohortlake.llm.token_store import op5_token_store
 from cohortlake.llm.toxicity import op1_toxicity
+from cohortlake.llm.vector_search import OP3_SQL, op3_vector_search
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_vector_search": op3_vector_search,
     "op5_token_store": op5_token_store,
     "op6_secret_scan": op6_secret_scan,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
 }
-ORACLE = {"op2_line_dedup": OP2_SQL, "op6_secret_scan": OP6_SQL}
+ORACLE = {"op2_line_dedup": OP2_SQL, "op3_vector_search": OP3_SQL, "op6_secret_scan": OP6_SQL}
