@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from cohortlake.llm.decontamination import op7_decontamination
 from cohortlake.llm.language import op10_language
 from cohortlake.llm.line_dedup import OP2_SQL, op2_line_dedup
+from cohortlake.llm.mixing import op4_mixing
 from cohortlake.llm.near_dedup import op9_near_dedup
 from cohortlake.llm.quality import op8_quality
 from cohortlake.llm.secret_scan import OP6_SQL, op6_secret_scan
@@ -15,8 +17,10 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_vector_search": op3_vector_search,
+    "op4_mixing": op4_mixing,
     "op5_token_store": op5_token_store,
     "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
