@@ -22,7 +22,7 @@ from cohortlake.llm.shingles import WordHashes, mix, shingle_set, words_of
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS  # a power of two
-SIGNED_SCHEMA = "doc_id long, n_shingles long, node binary, bands array<long>"
+SIGNED_SCHEMA = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>"
 SETS_SCHEMA = "node binary, shingles array<long>"
 # Ranks of the star centres that each round adds to the buckets still open.
 ROUNDS = ((1, 1), (2, 4), (5, 16))
@@ -69,26 +69,30 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, width: int, text: str, ident: str) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) of every document; node is null for empty sets."""
+    """(doc_id, text_hash, n_shingles, node, bands) of every row; node is null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, probes = WordHashes(), _probes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(hashes.of(words_of(t)), width) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(hashes.of(words_of(t)), width) for t in part.column(2).to_pylist()]
                 yield pa.record_batch(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([band_keys(s, probes) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "bands"],
                 )
 
-    body = whole_text(text).cast("binary").alias("text")
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), body).mapInArrow(sign, SIGNED_SCHEMA)
+    body = whole_text(text)
+    rows = docs.select(
+        F.col(ident).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text")
+    )
+    return rows.mapInArrow(sign, SIGNED_SCHEMA)
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, width: int, text: str, ident: str) -> DataFrame:
@@ -146,10 +150,19 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id"
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    text: str = "text",
+    ident: str = "doc_id",
+    survivors: bool = False,
 ) -> DataFrame:
     """Each row of ``docs`` with doc_id, n_shingles, component_id and kept.
 
+    With ``survivors`` the rows of ``docs`` themselves, one of each component and all of those
+    without a shingle: the smallest identifier, then the least text hash; of rows that repeat both,
+    one.
+
     Documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of at
     least ``percent`` / 100; component_id is the smallest identifier reachable, kept marks it. A text
     with fewer words is one shingle. Null, empty and blank texts have no shingle and link to
@@ -190,6 +203,8 @@ def near_duplicates(
         component = connect(links, component, "component")
     ids = nodes.select("node", "doc_id").join(component, "node", "left")
     ids = ids.withColumn("component", F.coalesce("component", "node"))
+    if survivors:
+        return _survivors(docs, base, ids.select("node", "component"), text, ident)
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = ids.join(smallest, "component").select("node", "component_id")
     return base.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select(
@@ -200,6 +215,26 @@ def near_duplicates(
     )
 
 
+def _survivors(docs: DataFrame, base: DataFrame, components: DataFrame, text: str, ident: str) -> DataFrame:
+    key = ["__number", "__none", "__hash"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    # One row per distinct set first, so that a group of copies is small before it meets a component.
+    least = base.filter("node is not null").groupBy("node").agg(first)
+    least = least.join(components, "node").groupBy("component").agg(F.min("first").alias("first"))
+    empty = base.filter("node is null").select("doc_id", "text_hash").distinct()
+    chosen = least.select("first.doc_id", "first.text_hash", F.lit(False).alias("__empty")).unionByName(
+        empty.withColumn("__empty", F.lit(True))
+    )
+
+    def keys(number, digest):
+        return F.coalesce(number, F.lit(0)).alias("__number"), number.isNull().alias("__none"), digest.alias("__hash")
+
+    chosen = chosen.select(*keys(F.col("doc_id"), F.col("text_hash")), "__empty")
+    rows = docs.select("*", *keys(F.col(ident).cast("long"), F.xxhash64(whole_text(text)))).join(chosen, key)
+    again = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return rows.withColumn("__row", again).filter("__empty or __row = 1").select(*docs.columns)
+
+
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate component of every document, on two-word shingles."""
     return near_duplicates(table(spark, folder, "documents"), width=2)

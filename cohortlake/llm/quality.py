@@ -20,6 +20,7 @@ from cohortlake.llm.common import (
     scored,
     table,
     texts_of,
+    whole_text,
 )
 
 PIECE = 2048  # bytes coded at a time, so that a long text is judged by the dictionaries throughout
@@ -124,6 +125,22 @@ def quality_scores(docs: DataFrame, model: QualityModel, text: str = "text", ide
     return scored(docs, model.scorer(), text, ident)
 
 
+def quality_filtered(docs: DataFrame, model: QualityModel, bound: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``bound``, in one pass without a shuffle."""
+    schema = docs.schema.add("__score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                values = pa.array(of(part.column(part.num_columns - 1).to_pylist()), pa.float64())
+                yield pa.record_batch([*part.columns[:-1], values], names=[*part.schema.names[:-1], "__score"])
+
+    scores = docs.select("*", whole_text(text).alias("__text")).mapInArrow(run, schema)
+    return scores.filter(F.col("__score") >= bound).drop("__score")
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document, learned where crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, folder, "documents")
