@@ -17,6 +17,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from cohortlake.llm.common import table, whole_text
 from cohortlake.session import shared_folder
 
 SEGMENT = 1 << 20
-CACHED_PIECES = 400_000
+CACHED_WORDS = 400_000
+# ASCII marks that the vocabulary takes together when they follow letters; an apostrophe may not.
+MARKS = """.,!?:;"#$%&()*+-/<=>@[\\]^_`{|}~"""
 # Fixed values of the format: magic, documents, ids, words, escapes.
 MAGIC = b"S8B1"
 HEADER = "<4sIQQQ"
@@ -67,12 +70,13 @@ class WordCoder:
     """Ids of texts through a table of pieces.
 
     Pieces between spaces and line feeds never share a token in a vocabulary that drops white space,
-    so each different piece is encoded once. Of a run of letters and one final mark the letters and
-    the mark are encoded apart, as the vocabulary's own split does, and ASCII pieces in lower case.
-    The table lives as long as the worker process and is emptied when it reaches ``bound``.
+    so each different piece of a batch is looked up once, and encoded if the table lacks it. Letters
+    and the marks behind them are encoded apart, as the vocabulary's own split does, and ASCII
+    pieces in lower case. The table lives as long as the worker process and is emptied when it
+    reaches ``bound``.
     """
 
-    def __init__(self, path: str, bound: int = CACHED_PIECES):
+    def __init__(self, path: str, bound: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
@@ -80,39 +84,56 @@ class WordCoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         tables = sys.modules.setdefault("_corpus_pieces", ModuleType("_corpus_pieces")).__dict__
-        self.known = tables.setdefault(path, {"": b""})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.bound:
-            self.known.clear()
-            self.known[""] = b""
-        self._learn(set().union(*pieces).difference(self.known))
-        look = self.known.__getitem__
-        return [b"".join(map(look, p)) for p in pieces]
-
-    def _learn(self, pieces: set[str]) -> None:
-        parts = {}
-        for piece in pieces:
-            plain = piece.lower() if piece.isascii() else piece
-            marked = plain[-1] in ".,!?:;" and plain[:-1].lower().isalpha()
-            parts[piece] = (plain[:-1], plain[-1]) if marked else (plain, "")
-        new = {p for pair in parts.values() for p in pair}.difference(self.known)
-        words = [p for p in new if p.isalpha() and p.lower().isalpha()]
-        others = list(new.difference(words))
+        self.known, self.pieces = tables.setdefault(path, ({"": b""}, {"": b""}))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of ids of each."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, pattern="\n", replacement=" "), pattern=" ")
+        words = pieces.flatten().dictionary_encode()
+        unique = words.dictionary.to_pylist()
+        coded = self._coded(unique)
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        table = np.frombuffer(b"".join(coded), dtype="<u4")
+        index = words.indices.to_numpy()
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        first = (np.cumsum(sizes) - sizes)[index] - (ends - counts)
+        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first, counts)]
+        bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy()]
+        return ids, np.diff(bounds)
+
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        for table, bound in ((self.known, self.bound), (self.pieces, self.bound // 2)):
+            if len(table) > bound:
+                table.clear()
+                table[""] = b""
+        known, seen = self.known, self.pieces
+        coded = list(map(seen.get, pieces))
+        new = [p for p, found in zip(pieces, coded, strict=True) if found is None]
+        plain = [p.lower() if p.isascii() else p for p in new]
+        cores = [p.rstrip(MARKS) for p in plain]
+        fine = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in cores]
+        marks = [q[len(c) :] if f else "" for q, c, f in zip(plain, cores, fine, strict=True)]
+        cores = [c if f else p for p, c, f in zip(new, cores, fine, strict=True)]
+        apart = {p for p, f in zip(new, fine, strict=True) if not f and p not in known}
+        words = list(set(cores).difference(known, apart))
         for at in range(0, len(words), 20_000):
             # Each word of letters closes with exactly one word-end token, so many encode as one text.
             some = words[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
-            coded = ids.tobytes()
-            self.known.update(zip(some, (coded[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        for at in range(0, len(others), 20_000):
-            some = others[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (np.array(c.ids, dtype="<u4").tobytes() for c in coded), strict=True))
-        self.known.update({piece: self.known[a] + self.known[b] for piece, (a, b) in parts.items()})
+            joined = ids.tobytes()
+            known.update(zip(some, [joined[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = list(apart.union(m for m in set(marks) if m not in known))
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            batch = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, (np.array(c.ids, dtype="<u4").tobytes() for c in batch), strict=True))
+        values = [known[c] + known[m] if m else known[c] for c, m in zip(cores, marks, strict=True)]
+        seen.update(zip(new, values, strict=True))
+        rest = iter(values)
+        return [next(rest) if found is None else found for found in coded]
 
 
 def write_tokens(
@@ -127,12 +148,11 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file_no = WordCoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         ids, numbers, lengths, held, first, segment = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, first, segment
-            image = pack_segment(numbers, lengths, np.frombuffer(b"".join(ids), dtype="<u4"))
+            image = pack_segment(numbers, lengths, np.concatenate(ids))
             row = ([file_no], [segment], [first], [held], [image])
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             batch = pa.record_batch(
@@ -146,11 +166,15 @@ def write_tokens(
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                for doc_id, coded in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
-                    ids.append(coded + end)
+                coded, sizes = coder.encode(part.column(1))
+                ends = np.cumsum(sizes)
+                closed = np.insert(coded, ends, end_id)
+                sizes, ends = (sizes + 1).tolist(), (ends + np.arange(1, len(ends) + 1)).tolist()
+                for doc_id, n, e in zip(part.column(0).to_pylist(), sizes, ends, strict=True):
+                    ids.append(closed[e - n : e])
                     numbers.append(doc_id)
-                    lengths.append(len(coded) // 4 + 1)
-                    held += lengths[-1]
+                    lengths.append(n)
+                    held += n
                     if held >= SEGMENT:
                         yield flush()
         if numbers:
