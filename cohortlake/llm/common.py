@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.session import shared_folder
@@ -47,10 +47,12 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def chosen_rows(labels: DataFrame, label: str, per_class: int, ident: str = "doc_id") -> DataFrame:
-    """At most ``per_class`` identifiers of each class, by hash order: (doc_id, label, weight).
+    """About ``per_class`` identifiers of each class, or all if there are fewer: (doc_id, label, weight).
 
-    ``weight`` is the number of labelled rows that each chosen row stands for. Rows with a null
-    identifier or label are left out; an identifier with several labels takes the greatest.
+    A row is chosen if its hash falls below the share that the class may have, so no class is ranked
+    in one task; the number differs from ``per_class`` by a few times its square root. ``weight`` is
+    the number of labelled rows that each chosen row stands for. Rows with a null identifier or
+    label are left out; an identifier with several labels takes the greatest.
     """
     one = (
         labels.select(F.col(ident).cast("long").alias("doc_id"), F.col(label).alias("label"))
@@ -58,12 +60,9 @@ def chosen_rows(labels: DataFrame, label: str, per_class: int, ident: str = "doc
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
-    sizes = one.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    return chosen.join(sizes, "label").select(
-        "doc_id", "label", (F.col("rows") / F.least("rows", F.lit(per_class))).alias("weight")
-    )
+    sizes = one.groupBy("label").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / F.lit(per_class)).alias("weight"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
+    return one.join(sizes, "label").filter(place * F.col("weight") < 1).select("doc_id", "label", "weight")
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
