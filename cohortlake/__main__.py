@@ -64,9 +64,9 @@ def train_features(spark: SparkSession, a: argparse.Namespace) -> None:
 def train_kernel(spark: SparkSession, a: argparse.Namespace) -> None:
     settings = kernel_svm.Settings(
         pca_components=a.pca_components,
-        angle_scales=a.angle_scale,
-        reps=a.reps,
-        entanglements=a.entanglement,
+        kernels=a.kernel,
+        gamma_factors=a.gamma_factor,
+        centrings=[{"yes": True, "no": False}[c] for c in a.centred],
         per_class_limit=a.per_class_limit,
         C=a.C,
         balanced=a.class_weight == "balanced",
@@ -174,9 +174,9 @@ def parser() -> argparse.ArgumentParser:
         ("--labels-csv", {"required": True}),
         opt("--label-col", "ec_top"),
         opt("--pca-components", 12, int),
-        opt("--angle-scale", [1.0], float, nargs="+"),
-        opt("--reps", [1], int, nargs="+"),
-        opt("--entanglement", ["linear"], nargs="+"),
+        opt("--kernel", ["rbf"], nargs="+"),
+        opt("--gamma-factor", [1.0], float, nargs="+"),
+        opt("--centred", ["yes"], nargs="+"),
         opt("--per-class-limit", 200, int),
         opt("--C", 1.0, float),
         weight,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -14,14 +12,6 @@ def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
-def literal_vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(vector), F.lit(0.0), lambda s, x: s + x * x))
 
@@ -45,13 +35,6 @@ def scaled(vector: Column, factor: float) -> Column:
     return F.transform(as_double(vector), lambda x: x * F.lit(float(factor)))
 
 
-def standardized(vector: Column, means: Sequence[float], stds: Sequence[float]) -> Column:
-    """``(x - mean) / std`` per entry; a zero deviation divides by one."""
-    inverse = [1.0 if s == 0 else 1.0 / s for s in stds]
-    centred = F.zip_with(as_double(vector), literal_vector(means), lambda x, m: x - m)
-    return F.zip_with(centred, literal_vector(inverse), lambda x, k: x * k)
-
-
 def list_array(matrix: np.ndarray) -> pa.Array:
     """Rows of a matrix as an Arrow list column."""
     rows, width = matrix.shape
@@ -59,6 +42,13 @@ def list_array(matrix: np.ndarray) -> pa.Array:
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
-    """Equal-width Arrow list column as a float64 matrix."""
+    """Arrow list column as a float64 matrix; null vectors and vectors of unequal width are errors."""
+    if column.null_count:
+        raise ValueError(f"{column.null_count} of {len(column)} vectors are null; filter them first")
+    if len(column) == 0:
+        return np.zeros((0, 0))
+    widths = np.diff(column.offsets.to_numpy())
+    if widths.min() != widths.max():
+        raise ValueError(f"vectors of different widths in one column: {widths.min()} and {widths.max()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), int(widths[0]))

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from cohortlake.models.linear import Bundle, fit_svm, in_parallel, predict, weighted_rows
 from cohortlake.operators.kernels import (
+    MOST_REFERENCES,
     Kernel,
     KernelFeatures,
+    angles,
+    cosine,
     fidelity,
     kernel_features_column,
+    linear,
     rbf,
     reference_set,
     scale_gamma,
@@ -28,35 +32,43 @@ from cohortlake.operators.splits import stratified_split
 from cohortlake.session import checkpoint
 
 # Entries a stored kernel model must have.
-REQUIRED = ("components", "angle_scale", "reps", "entanglement", "overall", "landmarks")
+REQUIRED = ("components", "kernel", "gamma", "centred", "overall", "landmarks")
 
 
 @dataclass(frozen=True)
 class Candidate:
-    angle_scale: float = 1.0
-    reps: int = 1
-    entanglement: str = "linear"
+    """A kernel to try; ``gamma_factor`` multiplies the scale that the training rows suggest."""
 
-    def kernel(self) -> Kernel:
-        return _ScaledFidelity(self.angle_scale, self.reps, self.entanglement)
+    kernel: str = "rbf"
+    gamma_factor: float = 1.0
+    centred: bool = True
 
+    def function(self, gamma: float) -> Kernel:
+        return kernel_named(self.kernel, gamma * self.gamma_factor)
 
-@dataclass(frozen=True)
-class _ScaledFidelity:
-    angle_scale: float
-    reps: int
-    entanglement: str
 
-    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return fidelity(self.reps, self.entanglement)(x * self.angle_scale, y * self.angle_scale)
+def kernel_named(name: str, gamma: float) -> Kernel:
+    """``gamma`` is used by the radial kernel, its square root by the angle kernel."""
+    makers = {
+        "linear": lambda: linear,
+        "cosine": lambda: cosine,
+        "fidelity": lambda: fidelity,
+        "rbf": lambda: rbf(gamma),
+        "angles": lambda: angles(gamma**0.5),
+    }
+    if name not in makers:
+        raise ValueError(f"no kernel is called '{name}'; there are {', '.join(makers)}")
+    return makers[name]()
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``per_class_limit`` bounds the training rows of a class; every test row is scored."""
+
     pca_components: int = 12
-    angle_scales: Sequence[float] = (1.0,)
-    reps: Sequence[int] = (1,)
-    entanglements: Sequence[str] = ("linear",)
+    kernels: Sequence[str] = ("rbf",)
+    gamma_factors: Sequence[float] = (1.0,)
+    centrings: Sequence[bool] = (True,)
     per_class_limit: int | None = 200
     landmarks_per_class: int = 200
     C: float = 1.0
@@ -66,7 +78,9 @@ class Settings:
     max_iter: int = 100
 
     def candidates(self) -> list[Candidate]:
-        return [Candidate(a, r, e) for a in self.angle_scales for r in self.reps for e in self.entanglements]
+        """Kernels without a scale appear once for each centring."""
+        scaled = {k: self.gamma_factors if k in ("rbf", "angles") else (1.0,) for k in self.kernels}
+        return [Candidate(k, g, c) for k in self.kernels for g in scaled[k] for c in self.centrings]
 
 
 @dataclass
@@ -87,9 +101,7 @@ def fit_kernel_svm(
 ) -> FittedKernel:
     """Fit on all rows of ``df`` with landmarks drawn from it (all rows when the classes are small)."""
     chosen = sample_per_class(df, label, ident, s.landmarks_per_class, s.seed)
-    refs = reference_set(chosen, ident, vector)
-    if refs is None:
-        raise ValueError("too many landmarks to broadcast; lower landmarks_per_class")
+    refs = reference_set(chosen, ident, vector, max(MOST_REFERENCES, s.landmarks_per_class * len(labels)))
     features = KernelFeatures.fit(refs.matrix, kernel, centred)
     column = kernel_features_column(df, F.col(vector), features, kernel)
     rows = weighted_rows(df, label, labels, column, s.balanced)
@@ -108,90 +120,122 @@ def _compare(name: str, scores: dict) -> dict:
 
 
 @dataclass
-class Comparison:
-    metrics: dict
-    predictions: DataFrame
+class Final:
+    """A model of all rows, with its projection and the kernel it was fitted with."""
+
     components: Components
     best: Candidate
-    final: FittedKernel
+    gamma: float
+    fitted: FittedKernel
 
     def bundle(self, spark: SparkSession) -> Bundle:
         """Everything scoring needs; landmark rows with their basis are stored as a table."""
-        features = self.final.features
+        features = self.fitted.features
         rows = [
             (i, v.tolist(), float(m), b.tolist())
-            for i, (v, m, b) in enumerate(zip(features.landmarks, features.column_means, features.basis))
+            for i, (v, m, b) in enumerate(zip(features.landmarks, features.column_means, features.basis, strict=True))
         ]
         table = spark.createDataFrame(
             rows, "position int, landmark array<double>, column_mean double, basis array<double>"
         )
         settings = {
             "components": vars(self.components),
-            "angle_scale": self.best.angle_scale,
-            "reps": self.best.reps,
-            "entanglement": self.best.entanglement,
+            "kernel": self.best.kernel,
+            "gamma": self.gamma * self.best.gamma_factor,
+            "centred": self.best.centred,
             "overall": features.overall,
-            "labels": self.final.labels,
-            "landmark_count": self.final.landmark_count,
+            "labels": self.fitted.labels,
+            "landmark_count": self.fitted.landmark_count,
         }
-        return Bundle(self.final.model, settings, {"landmarks": table})
+        return Bundle(self.fitted.model, settings, {"landmarks": table})
+
+
+@dataclass
+class Comparison:
+    metrics: dict
+    predictions: DataFrame
+    final: Final
+
+    def bundle(self, spark: SparkSession) -> Bundle:
+        return self.final.bundle(spark)
+
+
+def metric_rows(spark: SparkSession, metrics: dict) -> DataFrame:
+    """All metrics as ``(metric, value)`` text rows: numbers to six places, lists entry by entry."""
+
+    def flat(name: str, value) -> list[tuple[str, str]]:
+        if isinstance(value, dict):
+            return [row for k, v in value.items() for row in flat(f"{name}.{k}", v)]
+        if isinstance(value, (list, tuple)):
+            return [row for i, v in enumerate(value) for row in flat(f"{name}[{i}]", v)]
+        return [(name, f"{value:.6f}" if isinstance(value, float) else str(value))]
+
+    return spark.createDataFrame([row for k, v in metrics.items() for row in flat(k, v)], "metric string, value string")
 
 
 def _choose(
-    training: DataFrame, ident: str, label: str, labels: list, candidates: list[Candidate], s: Settings
-) -> tuple[Candidate, list[str]]:
-    """Best candidate by macro F1 on a validation part of the training rows; the first one wins ties."""
-    inner = checkpoint(stratified_split(training, label, ident, 0.25, s.seed + 1))
-    fit_part, judge_part = (inner.filter(F.col("part") == p) for p in ("train", "test"))
+    training: DataFrame, ident: str, label: str, labels: list, gamma: float, s: Settings
+) -> tuple[Candidate, list[float | None], list[str]]:
+    """Best candidate by macro F1 on a validation part of the training rows; the first one wins ties.
 
-    def judge(candidate: Candidate) -> float | str:
+    The landmark sample, the split and the scale are the same for all candidates. Only an unknown
+    kernel counts as a failed candidate; other errors are raised.
+    """
+    candidates = s.candidates()
+    usable, failures = [], []
+    for candidate in candidates:
         try:
-            fitted = fit_kernel_svm(fit_part, ident, label, "x", candidate.kernel(), labels, s, centred=True)
-            return evaluate(fitted, judge_part, label, "x")["f1_macro"]
+            candidate.function(gamma)
+            usable.append(candidate)
         except ValueError as error:
-            return f"{candidate}: {error}"
+            failures.append(f"{candidate}: {error}")
+    if not usable:
+        raise ValueError(f"none of the kernels can be used: {failures}")
+    if len(usable) == 1:
+        return usable[0], [None], failures
+    inner = checkpoint(stratified_split(training, label, ident, 0.25, s.seed + 1))
+    fit_part, judge_part = (inner.filter(F.col("part") == p) for p in ("train", "test"))
+
+    def judge(candidate: Candidate) -> float:
+        fitted = fit_kernel_svm(fit_part, ident, label, "x", candidate.function(gamma), labels, s, candidate.centred)
+        return evaluate(fitted, judge_part, label, "x")["f1_macro"]
 
-    results = in_parallel(judge, candidates)
-    failures = [r for r in results if isinstance(r, str)]
-    ranked = [(-r, i) for i, r in enumerate(results) if not isinstance(r, str)]
-    if not ranked:
-        raise ValueError(f"No valid kernel configuration succeeded: {failures}")
-    return candidates[min(ranked)[1]], failures
+    results = in_parallel(judge, usable)
+    ranked = [(-r, i) for i, r in enumerate(results)]
+    return usable[min(ranked)[1]], results, failures
+
+
+def split_rows(df: DataFrame, ident: str, label: str, vector: str, s: Settings) -> DataFrame:
+    """All rows with their part; the training part is then bounded per class, the test part never."""
+    rows = stratified_split(df.select(ident, label, vector), label, ident, s.test_size, s.seed)
+    training = sample_per_class(rows.filter("part = 'train'"), label, ident, s.per_class_limit, s.seed)
+    return checkpoint(training.unionByName(rows.filter("part = 'test'")))
 
 
 def train(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Settings()) -> Comparison:
-    """Compare an RBF baseline with the best fidelity-kernel candidate on a held-out test part.
+    """Compare an RBF baseline with the best of several kernels on a held-out test part.
 
-    Rows per class are capped first (when set), then split. Candidates are compared on a validation
-    part cut from the training rows, so the test part plays no role in the choice; the winner and
-    the baseline are fitted on all training rows and scored on the test part. The final model is
-    fitted on every row. A candidate that cannot be evaluated is skipped.
+    All rows are split; only the training rows are bounded per class, and every test row is scored.
+    Candidates are compared on a validation part cut from the training rows, so the test part plays
+    no role in the choice; the winner and the baseline are fitted on the training rows. The final
+    model is fitted on all rows, bounded per class likewise.
     """
-    rows = sample_per_class(df.select(ident, label, vector), label, ident, s.per_class_limit, s.seed)
-    rows = checkpoint(stratified_split(rows, label, ident, s.test_size, s.seed))
+    rows = split_rows(df, ident, label, vector, s)
     labels = sorted_labels(rows, label)
     if len(labels) < 2:
-        raise ValueError("Need at least two classes for kernel training")
+        raise ValueError("kernel training needs rows of two classes or more")
     components = fit_components(rows.filter("part = 'train'"), vector, s.pca_components)
     reduced = checkpoint(rows.select(ident, label, "part", components.column(F.col(vector)).alias("x")))
     training = reduced.filter("part = 'train'").drop("part")
     test = reduced.filter("part = 'test'").drop("part")
 
-    baseline_kernel = rbf(scale_gamma(vector_moments(training, "x")))
-    baseline = fit_kernel_svm(training, ident, label, "x", baseline_kernel, labels, s, centred=False)
+    gamma = scale_gamma(vector_moments(training, "x"))
+    baseline = fit_kernel_svm(training, ident, label, "x", rbf(gamma), labels, s, centred=False)
     baseline_scores = evaluate(baseline, test, label, "x")
-
-    candidates = s.candidates()
-    winner, failures = candidates[0], []
-    if len(candidates) > 1:
-        winner, failures = _choose(training, ident, label, labels, candidates, s)
-    chosen = fit_kernel_svm(training, ident, label, "x", winner.kernel(), labels, s, centred=True)
+    winner, judged, failures = _choose(training, ident, label, labels, gamma, s)
+    chosen = fit_kernel_svm(training, ident, label, "x", winner.function(gamma), labels, s, winner.centred)
     predictions = chosen.predict(test, "x").select(F.col(ident).alias("sample_id"), label, "prediction")
     kernel_scores = evaluate(chosen, test, label, "x")
-
-    components_all = fit_components(rows, vector, s.pca_components)
-    everything = checkpoint(rows.select(ident, label, components_all.column(F.col(vector)).alias("x")))
-    final = fit_kernel_svm(everything, ident, label, "x", winner.kernel(), labels, s, centred=True)
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
     metrics = {
         "used_features": len(components.axes),
@@ -202,17 +246,31 @@ def train(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Sett
         **_compare("baseline", baseline_scores),
         "accuracy_delta": kernel_scores["accuracy"] - baseline_scores["accuracy"],
         "best_params": vars(winner),
-        "candidates_tested": len(candidates),
+        "candidates_tested": len(s.candidates()),
+        "validation_f1_macro": [r for r in judged if r is not None],
         "candidates_failed": failures,
         "landmark_count": chosen.landmark_count,
     }
-    return Comparison(metrics, predictions, components_all, winner, final)
+    return Comparison(metrics, predictions, fit_final(df, ident, label, vector, s, winner))
+
+
+def fit_final(
+    df: DataFrame, ident: str, label: str, vector: str, s: Settings = Settings(), winner: Candidate | None = None
+) -> Final:
+    """The model to store: the given candidate, or the only one, on all rows bounded per class."""
+    winner = winner or s.candidates()[0]
+    rows = checkpoint(sample_per_class(df.select(ident, label, vector), label, ident, s.per_class_limit, s.seed))
+    labels = sorted_labels(rows, label)
+    components = fit_components(rows, vector, s.pca_components)
+    reduced = checkpoint(rows.select(ident, label, components.column(F.col(vector)).alias("x")))
+    gamma = scale_gamma(vector_moments(reduced, "x"))
+    fitted = fit_kernel_svm(reduced, ident, label, "x", winner.function(gamma), labels, s, winner.centred)
+    return Final(components, winner, gamma, fitted)
 
 
 def rbf_baseline(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Settings()) -> DataFrame:
-    """Test-part predictions of the RBF model alone."""
-    rows = sample_per_class(df.select(ident, label, vector), label, ident, s.per_class_limit, s.seed)
-    rows = checkpoint(stratified_split(rows, label, ident, s.test_size, s.seed))
+    """Predictions of the RBF model alone, for every test row."""
+    rows = split_rows(df, ident, label, vector, s)
     labels = sorted_labels(rows, label)
     components = fit_components(rows.filter("part = 'train'"), vector, s.pca_components)
     reduced = checkpoint(rows.select(ident, label, "part", components.column(F.col(vector)).alias("x")))
@@ -231,8 +289,7 @@ def restore(bundle: Bundle) -> tuple[Components, FittedKernel]:
         np.array([r["column_mean"] for r in table]),
         s["overall"],
         np.array([r["basis"] for r in table]),
-        True,
+        s["centred"],
     )
-    candidate = Candidate(s["angle_scale"], s["reps"], s["entanglement"])
-    fitted = FittedKernel(s["labels"], features, candidate.kernel(), bundle.model, len(table))
+    fitted = FittedKernel(s["labels"], features, kernel_named(s["kernel"], s["gamma"]), bundle.model, len(table))
     return Components(**s["components"]), fitted

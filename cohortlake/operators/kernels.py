@@ -1,8 +1,8 @@
 """Kernel evaluations of many rows against a bounded reference set, and their centring.
 
 The row side is never paired inside Spark: each Arrow batch of rows is multiplied with the
-reference matrix, and one array of kernel values per row comes out. A reference set too large to
-broadcast is cut into blocks and met by keyed shuffle instead (``kernel_blocks``).
+reference matrix, and one array of kernel values per row comes out. How many reference rows there
+may be is an argument; a larger set is refused, never computed in another way.
 """
 
 from __future__ import annotations
@@ -12,19 +12,20 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.functions.vector import list_array, matrix_of
-from cohortlake.session import sized
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-# Largest reference matrix (bytes as float64) that is broadcast to the executors.
-REFERENCE_LIMIT = 256 << 20
+# Most reference rows by default. The broadcast matrix and the square matrix that centring and
+# landmark features build on the driver (32 MB) follow from this number alone.
+MOST_REFERENCES = 2048
+# Kernel values (float64) that a task holds at a time, whatever the size of its Arrow batch.
+_CELLS = 1 << 22
 
 
 # --- kernel functions on row blocks ---------------------------------------------------------
@@ -50,52 +51,25 @@ def _rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(square, 0))
 
 
-def fidelity(reps: int = 1, entanglement: str = "linear") -> Kernel:
-    return partial(_fidelity, reps=reps, entanglement=entanglement)
+def fidelity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared overlap of the directions of two vectors."""
+    return cosine(x, y) ** 2
 
 
-def _fidelity(x: np.ndarray, y: np.ndarray, reps: int, entanglement: str) -> np.ndarray:
-    return np.abs(phase_states(x, reps, entanglement) @ phase_states(y, reps, entanglement).conj().T) ** 2
+def angles(scale: float) -> Kernel:
+    """Mean cosine of the scaled entry differences: the product of ``angle_columns``."""
+    return partial(_angles, scale=scale)
 
 
-def feature_pairs(n: int, entanglement: str) -> list[tuple[int, int]]:
-    """Feature pairs with an interaction phase. Each pattern is a set; its order has no effect."""
-    if entanglement == "full":
-        return [(i, j) for i in range(n) for j in range(i + 1, n)]
-    chain = [(i, i + 1) for i in range(n - 1)]
-    if entanglement in ("linear", "reverse_linear", "pairwise"):
-        return chain
-    if entanglement in ("circular", "sca"):
-        return chain + ([(0, n - 1)] if n > 2 else [])
-    raise ValueError(f"Unknown entanglement: {entanglement}")
+def _angles(x: np.ndarray, y: np.ndarray, scale: float) -> np.ndarray:
+    x, y = x * scale, y * scale
+    return (np.cos(x) @ np.cos(y).T + np.sin(x) @ np.sin(y).T) / max(1, x.shape[1])
 
 
-def phase_states(x: np.ndarray, reps: int = 1, entanglement: str = "linear") -> np.ndarray:
-    """Unit complex vectors of length ``2**n`` per row of ``n`` angles.
-
-    ``phase(z) = 2 sum x_i z_i + 2 sum (pi - x_i)(pi - x_j)(z_i xor z_j)`` over the chosen pairs; the
-    amplitudes start uniform, and every repetition after the first applies a normalised
-    Walsh-Hadamard transform before the phases.
-    """
-    n = x.shape[1]
-    if not 1 <= n <= 12:
-        raise ValueError("phase features need between 1 and 12 input features")
-    if reps < 1:
-        raise ValueError("reps must be positive")
-    bits = (np.arange(2**n)[:, None] >> np.arange(n)) & 1
-    phase = 2 * x @ bits.T
-    pairs = feature_pairs(n, entanglement)
-    if pairs:
-        a, b = np.array(pairs).T
-        phase = phase + 2 * ((np.pi - x[:, a]) * (np.pi - x[:, b])) @ (bits[:, a] ^ bits[:, b]).T
-    turn = np.exp(1j * phase)
-    state = turn / np.sqrt(2.0**n)
-    for _ in range(reps - 1):
-        for axis in range(n):
-            halves = state.reshape(len(x), -1, 2, 2**axis)
-            state = np.stack([halves[:, :, 0] + halves[:, :, 1], halves[:, :, 0] - halves[:, :, 1]], axis=2)
-        state = state.reshape(len(x), -1) / np.sqrt(2.0**n) * turn
-    return state
+def angle_columns(vector: Column, scale: float = 1.0) -> tuple[Column, Column]:
+    """Each entry as a point on the unit circle, (cosine, sine) arrays of the vector's own width."""
+    turned = F.transform(vector.cast("array<double>"), lambda v: v * F.lit(scale))
+    return F.transform(turned, lambda v: F.cos(v)), F.transform(turned, lambda v: F.sin(v))
 
 
 # --- reference sets -------------------------------------------------------------------------
@@ -107,100 +81,70 @@ class ReferenceSet:
     matrix: np.ndarray
 
 
-def reference_set(df: DataFrame, ident: str, vector: str, limit: int = REFERENCE_LIMIT) -> ReferenceSet | None:
-    """Collect a reference set after checking its size; ``None`` when it exceeds ``limit`` bytes."""
-    facts = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("w")).first()
-    if not facts["n"]:
+def reference_set(df: DataFrame, ident: str, vector: str, most: int = MOST_REFERENCES) -> ReferenceSet:
+    """Collect the reference rows, in the order of their identifiers; more than ``most`` are an error."""
+    rows = df.select(ident, F.col(vector).cast("array<double>").alias("v")).limit(most + 1).toArrow()
+    if rows.num_rows == 0:
         raise ValueError("the reference set is empty")
-    if facts["n"] * facts["w"] * 8 > limit:
-        return None
-    rows = df.select(ident, F.col(vector).cast("array<double>").alias("v")).orderBy(ident).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} reference rows; draw a sample or raise the number allowed")
+    rows = rows.sort_by(ident)
     return ReferenceSet(rows.column(0).to_pylist(), matrix_of(rows.column(1).combine_chunks()))
 
 
-def kernel_column(df: DataFrame, vector: Column, refs: ReferenceSet, kernel: Kernel) -> Column:
-    """``array<double>`` of kernel values against the reference rows, in reference order."""
-    shared = df.sparkSession.sparkContext.broadcast(refs.matrix)
+def by_parts(evaluate: Callable[[np.ndarray], np.ndarray], vectors: pa.Array, width: int) -> pa.Array:
+    """``evaluate`` on parts of an Arrow batch, so that wide results keep within a task's memory."""
+    if len(vectors) == 0:
+        return pa.array([], pa.list_(pa.float64()))
+    step = max(1, _CELLS // max(1, width))
+    parts = [list_array(evaluate(matrix_of(vectors.slice(at, step)))) for at in range(0, len(vectors), step)]
+    return pa.concat_arrays(parts)
+
+
+def kernel_column(
+    df: DataFrame, vector: Column, refs: ReferenceSet, kernel: Kernel, centred: bool = False
+) -> Column:
+    """``array<double>`` of kernel values against the reference rows, in reference order.
+
+    ``centred`` treats the reference rows as the training rows: their column means and overall mean
+    and the row's own mean are taken off inside the array, so nothing is shuffled.
+    """
+    means, overall = np.zeros(len(refs.ids)), 0.0
+    if centred:
+        square = kernel(refs.matrix, refs.matrix)
+        means, overall = square.mean(axis=0), float(square.mean())
+    shared = df.sparkSession.sparkContext.broadcast((refs.matrix, means))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def evaluate(vectors: pa.Array) -> pa.Array:
-        if len(vectors) == 0:
-            return pa.array([], pa.list_(pa.float64()))
-        return list_array(kernel(matrix_of(vectors), shared.value))
-
-    return evaluate(vector.cast("array<double>"))
+        matrix, columns = shared.value
 
+        def values(x: np.ndarray) -> np.ndarray:
+            k = kernel(x, matrix)
+            return k - k.mean(axis=1, keepdims=True) - columns + overall if centred else k
 
-def kernel_blocks(
-    rows: DataFrame, refs: DataFrame, ident: str, vector: str, kernel: Kernel, block: int = 2048
-) -> DataFrame:
-    """Long ``(ident, ref_id, k)`` for a reference set of any size.
+        return by_parts(values, vectors, len(matrix))
 
-    Both sides are cut into blocks of about ``block`` rows by the hash of the id; each pair of
-    blocks is one task-sized group, so neither memory nor the largest group grows with the data.
-    """
-    rows = rows.select(ident, F.col(vector).cast("array<double>").alias("v"))
-    refs = refs.select(F.col(ident).alias("ref_id"), F.col(vector).cast("array<double>").alias("v"))
-    cuts = {}
-    for name, side in (("rows", rows), ("refs", refs)):
-        cuts[name] = max(1, -(-side.count() // block))
-
-    def spread(side: DataFrame, key: str, own: str, other: str, own_cuts: int, other_cuts: int) -> DataFrame:
-        return side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_cuts))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_cuts - 1).cast("long")))
-        )
-
-    left = spread(rows, ident, "__r", "__c", cuts["rows"], cuts["refs"])
-    right = spread(refs, "ref_id", "__c", "__r", cuts["refs"], cuts["rows"])
-
-    def evaluate(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({ident: [], "ref_id": [], "k": []})
-        values = kernel(np.stack(a["v"]), np.stack(b["v"]))
-        return pd.DataFrame(
-            {
-                ident: np.repeat(a[ident].to_numpy(), len(b)),
-                "ref_id": np.tile(b["ref_id"].to_numpy(), len(a)),
-                "k": values.ravel(),
-            }
-        )
-
-    kinds = dict(rows.dtypes), dict(refs.dtypes)
-    schema = f"`{ident}` {kinds[0][ident]}, ref_id {kinds[1]['ref_id']}, k double"
-    return left.groupBy("__r", "__c").cogroup(right.groupBy("__r", "__c")).applyInPandas(evaluate, schema)
+    return evaluate(vector.cast("array<double>"))
 
 
 def kernel_against(
-    rows: DataFrame, refs: DataFrame, ident: str, vector: str, kernel: Kernel, limit: int = REFERENCE_LIMIT
+    rows: DataFrame,
+    refs: DataFrame,
+    ident: str,
+    vector: str,
+    kernel: Kernel,
+    most: int = MOST_REFERENCES,
+    centred: bool = False,
 ) -> DataFrame:
-    """Long ``(ident, ref_id, k)``: broadcast reference when it is small, block shuffle otherwise."""
-    small = reference_set(refs, ident, vector, limit)
-    if small is None:
-        return kernel_blocks(rows, refs, ident, vector, kernel)
+    """Long ``(ident, ref_id, k)`` of all rows against at most ``most`` reference rows."""
+    known = reference_set(refs, ident, vector, most)
+    values = kernel_column(rows, F.col(vector), known, kernel, centred)
     kind = dict(refs.dtypes)[ident]
-    ids = F.array(*[F.lit(i) for i in small.ids]).cast(f"array<{kind}>")
-    values = kernel_column(rows, F.col(vector), small, kernel)
-    return rows.select(ident, values.alias("k")).select(
-        ident, F.inline(F.arrays_zip(ids.alias("ref_id"), F.col("k").alias("k")))
-    ).toDF(ident, "ref_id", "k")
-
-
-def phase_column(vector: Column, reps: int = 1, entanglement: str = "linear") -> tuple[Column, Column]:
-    """Real and imaginary parts of ``phase_states`` as two ``array<double>`` columns.
-
-    One call returns both parts behind each other; the two columns are its halves.
-    """
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def states(vectors: pa.Array) -> pa.Array:
-        if len(vectors) == 0:
-            return pa.array([], pa.list_(pa.float64()))
-        amplitudes = phase_states(matrix_of(vectors), reps, entanglement)
-        return list_array(np.hstack([amplitudes.real, amplitudes.imag]))
-
-    both = states(vector.cast("array<double>"))
-    width = (F.size(both) / 2).cast("int")
-    return F.slice(both, F.lit(1), width), F.slice(both, width + 1, width)
+    names = rows.sparkSession.createDataFrame(list(enumerate(known.ids)), f"__position int, ref_id {kind}")
+    placed = rows.select(ident, F.posexplode(values).alias("__position", "k"))
+    # At most ``most`` names, which bounds the broadcast.
+    return placed.join(F.broadcast(names), "__position").select(ident, "ref_id", "k")
 
 
 # --- centring -------------------------------------------------------------------------------
@@ -214,18 +158,6 @@ def centre_training(kernel: DataFrame, row: str, column: str, value: str = "k")
     return kernel.select(row, column, centred.alias(value))
 
 
-def centre_test(kernel: DataFrame, training: DataFrame, row: str, column: str, value: str = "k") -> DataFrame:
-    """Centre new rows with the column means and the overall mean of the training kernel."""
-    means = sized(training.groupBy(column).agg(F.avg(value).alias("__m")))
-    overall = training.agg(F.avg(value)).scalar()
-    own = F.avg(value).over(Window.partitionBy(row))
-    return (
-        kernel.withColumn("__own", own)
-        .join(means, column)
-        .select(row, column, (F.col(value) - F.col("__own") - F.col("__m") + overall).alias(value))
-    )
-
-
 # --- explicit features of a kernel ----------------------------------------------------------
 
 
@@ -254,20 +186,21 @@ class KernelFeatures:
         return KernelFeatures(landmarks, means, overall, vectors[:, keep] / np.sqrt(values[keep]), centred)
 
 
-
 def kernel_features_column(df: DataFrame, vector: Column, fitted: KernelFeatures, kernel: Kernel) -> Column:
     shared = df.sparkSession.sparkContext.broadcast((fitted.landmarks, fitted.column_means, fitted.basis))
     centred, overall = fitted.centred, fitted.overall
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def features(vectors: pa.Array) -> pa.Array:
-        if len(vectors) == 0:
-            return pa.array([], pa.list_(pa.float64()))
         landmarks, means, basis = shared.value
-        k = kernel(matrix_of(vectors), landmarks)
-        if centred:
-            k = k - k.mean(axis=1, keepdims=True) - means[None, :] + overall
-        return list_array(np.ascontiguousarray(k @ basis))
+
+        def values(x: np.ndarray) -> np.ndarray:
+            k = kernel(x, landmarks)
+            if centred:
+                k = k - k.mean(axis=1, keepdims=True) - means[None, :] + overall
+            return np.ascontiguousarray(k @ basis)
+
+        return by_parts(values, vectors, len(landmarks))
 
     return features(vector.cast("array<double>"))
 

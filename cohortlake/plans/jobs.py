@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from cohortlake.models.linear import Bundle, fit_svm, predict, weighted_rows
 from cohortlake.operators import features as feats
 from cohortlake.operators import labels as labelling
 from cohortlake.operators import metrics as scoring
-from cohortlake.operators.kernels import cosine, kernel_against
+from cohortlake.operators.kernels import Kernel, cosine, kernel_against
 from cohortlake.operators.projection import fit_components
 from cohortlake.operators.ranking import sample_per_class
 from cohortlake.operators.splits import stratified_fraction, stratified_split
@@ -280,7 +281,7 @@ def classifier_metrics(result: dict) -> dict:
 def train_kernel_svm(
     embeddings: DataFrame, labels: DataFrame, settings: kernel_svm.Settings = kernel_svm.Settings()
 ) -> kernel_svm.Comparison:
-    """Fidelity-kernel SVM against an RBF baseline; ``labels`` has ``(seq_id, label)``, one row per id."""
+    """Best of several kernel SVMs against an RBF baseline; ``labels`` has ``(seq_id, label)``, one row per id."""
     labelled = _labelled(embeddings, labels, "")
     return kernel_svm.train(labelled, "seq_id", "label", "embedding", settings)
 
@@ -315,22 +316,47 @@ def score_kernel_model(embeddings: DataFrame, bundle: Bundle) -> DataFrame:
 # --- report -----------------------------------------------------------------------------------
 
 
+def similarity_by_width(
+    rows: DataFrame, ident: str, backend: str, vector: str, kernel: Kernel, references_per_backend: int
+) -> DataFrame:
+    """``(ident, ref_id, k)`` of every row against a seeded sample of its own backend and width.
+
+    Vectors of different widths are never compared. Null vectors are left out.
+    """
+    sized = rows.select(ident, backend, F.size(vector).alias("__dim"), F.col(vector).alias("__v")).filter("__v is not null")
+    kinds = sized.select(backend, "__dim").distinct().collect()
+    found = []
+    for kind in kinds:
+        own = sized.filter(F.col(backend).eqNullSafe(kind[backend]) & (F.col("__dim") == kind["__dim"]))
+        sample = sample_per_class(own, backend, ident, references_per_backend, 42)
+        found.append(kernel_against(own, sample, ident, "__v", kernel, most=references_per_backend))
+    if not found:
+        kind = dict(rows.dtypes)[ident]
+        return rows.sparkSession.createDataFrame([], f"`{ident}` {kind}, ref_id {kind}, k double")
+    return reduce(DataFrame.unionByName, found)
+
+
 def report_embeddings(
-    embeddings: DataFrame, predictions: DataFrame | None = None, references_per_backend: int | None = 200
+    embeddings: DataFrame, predictions: DataFrame | None = None, references_per_backend: int = 200
 ) -> dict:
     """Tables of the embeddings report, including the data behind its figures.
 
-    Cosine similarities are taken against a seeded reference sample per backend, so the result
-    grows with the rows and not with their square. ``references_per_backend=None`` gives the full
-    matrix, computed in blocks when it is large.
+    ``landmark_similarity`` holds the cosine of every row with ``references_per_backend`` rows of its
+    own backend and width, drawn by hash, so it grows with the rows and not with their square;
+    ``landmark_counts`` tells how many were drawn.
     """
     tables = {
         "embeddings_summary": embedding_summary(embeddings),
         "length_histogram": feats.equal_width_histogram(embeddings, "length"),
     }
     vectors = embeddings.select("seq_id", "backend", F.expr("slice(embedding, 1, dim)").alias("v"))
-    sample = sample_per_class(vectors, "backend", "seq_id", references_per_backend, 42)
-    tables["cosine_similarity"] = kernel_against(vectors, sample, "seq_id", "v", cosine)
+    tables["landmark_similarity"] = similarity_by_width(
+        vectors, "seq_id", "backend", "v", cosine, references_per_backend
+    )
+    counts = vectors.filter("v is not null").groupBy("backend", F.size("v").alias("dim")).count()
+    tables["landmark_counts"] = counts.select(
+        "backend", "dim", F.least("count", F.lit(references_per_backend)).alias("landmarks")
+    )
     if predictions is not None:
         tables["predictions"] = predictions
         if {"seq_id", "prediction"} <= set(predictions.columns):

@@ -763,16 +763,18 @@ def _(spark, folder):
 
 # --- kernels --------------------------------------------------------------------------------
 
-LANDMARKS_SQL = """
+# All rows are compared with this many landmarks of each label.
+LANDMARKS_PER_LABEL = 2
+LANDMARKS_SQL = f"""
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 refs AS (SELECT vec_id AS ref_id, x AS y FROM e
-  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) <= 2)
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) <= {LANDMARKS_PER_LABEL})
 """
 
 
 def landmarks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "embeddings")
-    return rows.select("vec_id", "embedding"), sample_per_class(rows, "label", "vec_id", 2, 42)
+    return rows.select("vec_id", "embedding"), sample_per_class(rows, "label", "vec_id", LANDMARKS_PER_LABEL, 42)
 
 
 def kernel_rows(spark: SparkSession, folder: str, kernel: kernels.Kernel) -> DataFrame:
@@ -829,59 +831,55 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows, refs = landmarks(spark, folder)
-    training = kernels.kernel_against(refs, refs, "vec_id", "embedding", kernels.linear)
-    test = kernels.kernel_against(rows, refs, "vec_id", "embedding", kernels.linear)
-    return kernels.centre_test(test, training, "vec_id", "ref_id").withColumn("k", r6(F.col("k")))
+    found = kernels.kernel_against(rows, refs, "vec_id", "embedding", kernels.linear, centred=True)
+    return found.withColumn("k", r6(F.col("k")))
 
 
-ANGLES = 4
 ANGLE_SCALE = 3.0
 
 
-def phase_sql(entanglement: str) -> str:
-    """Amplitudes of the phase map written out for four features."""
-    single = " + ".join(f"x[{i + 1}] * ((z >> {i}) & 1)" for i in range(ANGLES))
-    pairs = " + ".join(
-        f"(pi() - x[{i + 1}]) * (pi() - x[{j + 1}]) * xor((z >> {i}) & 1, (z >> {j}) & 1)"
-        for i, j in kernels.feature_pairs(ANGLES, entanglement)
-    )
-    return f"""
-    angles AS (SELECT vec_id, label, list_transform(CAST(embedding[1:{ANGLES}] AS DOUBLE[]), lambda v: v * {ANGLE_SCALE}) AS x FROM embeddings),
-    phases AS (SELECT vec_id, label, list_transform(range(0, {2**ANGLES}), lambda z: 2 * ({single}) + 2 * ({pairs})) AS p FROM angles),
-    states AS (SELECT vec_id, label, list_transform(p, lambda t: cos(t) / 4) AS re, list_transform(p, lambda t: sin(t) / 4) AS im FROM phases)"""
+@query(
+    "phase_feature_map",
+    f"""SELECT vec_id, CAST(i - 1 AS INTEGER) AS position, round(cos({ANGLE_SCALE} * x), 6) AS re, round(sin({ANGLE_SCALE} * x), 6) AS im
+    FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)""",
+)
+def _(spark, folder):
+    re, im = kernels.angle_columns(F.col("embedding"), ANGLE_SCALE)
+    points = table(spark, folder, "embeddings").select("vec_id", re.alias("re"), im.alias("im"))
+    rows = points.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("position", "s"))
+    return rows.select("vec_id", "position", r6(F.col("s.re")).alias("re"), r6(F.col("s.im")).alias("im"))
 
 
-def angles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "embeddings")
-    return rows.select(
-        "vec_id", "label", vec.scaled(vec.first_features(F.col("embedding"), ANGLES), ANGLE_SCALE).alias("x")
-    )
+@query(
+    "fidelity_kernel",
+    f"""WITH {LANDMARKS_SQL} SELECT vec_id, ref_id, round(power(list_dot_product(x, y) /
+      ((sqrt(list_dot_product(x, x)) + 1e-9) * (sqrt(list_dot_product(y, y)) + 1e-9)), 2), 6) AS k FROM e, refs""",
+)
+def _(spark, folder):
+    return kernel_rows(spark, folder, kernels.fidelity)
 
 
 @query(
-    "phase_feature_map",
-    f"""WITH {phase_sql("linear")} SELECT vec_id, CAST(z AS INTEGER) AS position, round(re[CAST(z AS INTEGER) + 1], 6) AS re,
-      round(im[CAST(z AS INTEGER) + 1], 6) AS im FROM states, range(0, {2**ANGLES}) AS r(z)""",
+    "angle_kernel",
+    f"""WITH {LANDMARKS_SQL} SELECT vec_id, ref_id,
+      round(list_avg(list_transform(list_zip(x, y), lambda p: cos({ANGLE_SCALE} * (p[1] - p[2])))), 6) AS k FROM e, refs""",
 )
 def _(spark, folder):
-    re, im = kernels.phase_column(F.col("x"), 1, "linear")
-    states = angles(spark, folder).select("vec_id", re.alias("re"), im.alias("im"))
-    rows = states.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("position", "s"))
-    return rows.select("vec_id", "position", r6(F.col("s.re")).alias("re"), r6(F.col("s.im")).alias("im"))
+    return kernel_rows(spark, folder, kernels.angles(ANGLE_SCALE))
 
 
 @query(
-    "fidelity_kernel",
-    f"""WITH {phase_sql("full")}, refs AS (SELECT vec_id AS ref_id, re AS rr, im AS ri FROM states
-      QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) <= 2)
-    SELECT vec_id, ref_id, round(power(list_dot_product(re, rr) + list_dot_product(im, ri), 2)
-      + power(list_dot_product(re, ri) - list_dot_product(im, rr), 2), 6) AS k FROM states, refs""",
+    "mixed_width_kernel",
+    f"""WITH e AS (SELECT vec_id, vec_id % 2 AS part, CAST(embedding AS DOUBLE[])[1:CASE WHEN vec_id % 2 = 0 THEN 64 ELSE 32 END] AS x FROM embeddings),
+    refs AS (SELECT vec_id AS ref_id, part, x AS y FROM e QUALIFY row_number() OVER (PARTITION BY part ORDER BY md5('42:' || vec_id)) <= 8)
+    SELECT vec_id, ref_id, round(list_dot_product(x, y), 6) AS k FROM e JOIN refs USING (part)""",
 )
 def _(spark, folder):
-    rows = angles(spark, folder)
-    refs = sample_per_class(rows, "label", "vec_id", 2, 42)
-    kernel = kernels.fidelity(1, "full")
-    return kernels.kernel_against(rows, refs, "vec_id", "x", kernel).withColumn("k", r6(F.col("k")))
+    rows = table(spark, folder, "embeddings").withColumn("part", F.col("vec_id") % 2)
+    cut = F.when(F.col("part") == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 32))
+    rows = rows.select("vec_id", "part", F.size(cut).alias("dim"), cut.alias("v"))
+    found = jobs.similarity_by_width(rows, "vec_id", "part", "v", kernels.linear, 8)
+    return found.select("vec_id", "ref_id", r6(F.col("k")).alias("k"))
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -1053,21 +1051,21 @@ def labelled_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("omics_cv_predictions")
 def _(spark, folder):
-    settings = feature_classifier.Settings(cv_splits=3, max_iter=100)
+    settings = feature_classifier.Settings()
     predictions, _ = feature_classifier.cross_validate(labelled_features(spark, folder), LETTER_NAMES, settings)
     return predictions
 
 
 @query("omics_model_coefficients")
 def _(spark, folder):
-    settings = feature_classifier.Settings(max_iter=100, feature_k=12)
+    settings = feature_classifier.Settings(feature_k=12)
     fitted = feature_classifier.fit_all(labelled_features(spark, folder), LETTER_NAMES, settings)
     return fitted.coefficients(spark)
 
 
 @query("linear_svm_predictions")
 def _(spark, folder):
-    _, _, predictions = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32, max_iter=50)
+    _, _, predictions = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32)
     return predictions
 
 
@@ -1092,27 +1090,24 @@ def quality_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rbf_svm_baseline")
 def _(spark, folder):
-    settings = kernel_svm.Settings(pca_components=4, per_class_limit=100)
+    settings = kernel_svm.Settings(pca_components=4)
     return kernel_svm.rbf_baseline(quality_vectors(spark, folder), "seq_id", "label", "embedding", settings)
 
 
-def trained_kernel(spark: SparkSession, folder: str) -> kernel_svm.Comparison:
-    settings = kernel_svm.Settings(
-        pca_components=4, angle_scales=(0.5, 1.0), entanglements=("linear", "full"), per_class_limit=100, max_iter=50
-    )
-    return kernel_svm.train(quality_vectors(spark, folder), "seq_id", "label", "embedding", settings)
+SWEEP = kernel_svm.Settings(
+    pca_components=4, kernels=("cosine", "rbf"), gamma_factors=(0.5, 1.0, 2.0), centrings=(True, False)
+)
 
 
 @query("kernel_grid_search")
 def _(spark, folder):
-    found = trained_kernel(spark, folder).metrics
-    rows = [(k, float(v)) for k, v in found.items() if isinstance(v, (int, float))]
-    return spark.createDataFrame(rows, "metric string, value double")
+    found = kernel_svm.train(quality_vectors(spark, folder), "seq_id", "label", "embedding", SWEEP)
+    return kernel_svm.metric_rows(spark, found.metrics)
 
 
 @query("score_sequences")
 def _(spark, folder):
-    _, bundle, _ = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32, max_iter=50)
+    _, bundle, _ = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32)
     turns = table(spark, folder, "conversations")
     texts = turns.select(F.concat_ws("-", "conv_id", "turn").alias("seq_id"), F.col("text").alias("sequence"))
     return jobs.score_sequences(texts, bundle)
@@ -1120,8 +1115,8 @@ def _(spark, folder):
 
 @query("score_kernel_model")
 def _(spark, folder):
-    settings = kernel_svm.Settings(pca_components=4, per_class_limit=100, max_iter=50)
-    found = kernel_svm.train(quality_vectors(spark, folder), "seq_id", "label", "embedding", settings)
+    rows = quality_vectors(spark, folder)
+    bundle = kernel_svm.fit_final(rows, "seq_id", "label", "embedding", kernel_svm.Settings(pca_components=4)).bundle(spark)
     docs = table(spark, folder, "documents")
     texts = docs.select(F.col("doc_id").cast("string").alias("seq_id"), seq.composition(F.col("text")).alias("embedding"))
-    return jobs.score_kernel_model(texts, found.bundle(spark))
+    return jobs.score_kernel_model(texts, bundle)

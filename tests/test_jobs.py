@@ -40,8 +40,8 @@ def test_embed_train_score(spark, tmp_path, clean_catalog):
     assert scored.columns == ["seq_id", "prediction"] and scored.count() == 6
     writers.write_csv(scored, str(tmp_path / "preds"))
     names = jobs.report(spark, str(tmp_path / "report"), None, "no_features", "emb")
-    assert names == ["cosine_similarity", "embeddings_summary", "length_histogram"]
-    similarity = spark.read.csv(str(tmp_path / "report" / "cosine_similarity"), header=True, inferSchema=True)
+    assert names == ["embeddings_summary", "landmark_counts", "landmark_similarity", "length_histogram"]
+    similarity = spark.read.csv(str(tmp_path / "report" / "landmark_similarity"), header=True, inferSchema=True)
     assert similarity.count() == 36
     with pytest.raises(ValueError, match="smaller than the training"):
         loaded.settings["used_features"] = 99

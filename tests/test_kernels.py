@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,70 +24,28 @@ def expected_cosine(x, y):
     return unit[0] @ unit[1].T
 
 
-@pytest.mark.parametrize("limit", [kernels.REFERENCE_LIMIT, 0])
 @pytest.mark.parametrize(
     "kernel, expected",
     [
         (kernels.linear, lambda x, y: x @ y.T),
         (kernels.cosine, expected_cosine),
+        (kernels.fidelity, lambda x, y: expected_cosine(x, y) ** 2),
+        (kernels.angles(0.7), lambda x, y: np.cos(0.7 * (x[:, None] - y[None])).mean(-1)),
         (kernels.rbf(0.3), lambda x, y: np.exp(-0.3 * ((x[:, None] - y[None]) ** 2).sum(-1))),
     ],
 )
-def test_kernel_against(spark, kernel, expected, limit):
+def test_kernel_against(spark, kernel, expected):
     x, rows = points(spark, 40, 3, 1)
     y, refs = points(spark, 11, 3, 2, offset=1000)
-    got = as_matrix(kernels.kernel_against(rows, refs, "id", "v", kernel, limit), range(40), range(1000, 1011))
+    got = as_matrix(kernels.kernel_against(rows, refs, "id", "v", kernel), range(40), range(1000, 1011))
     assert np.allclose(got, expected(x, y))
 
 
-def test_many_blocks(spark):
-    x, rows = points(spark, 50, 2, 3)
-    y, refs = points(spark, 33, 2, 4, offset=100)
-    got = as_matrix(kernels.kernel_blocks(rows, refs, "id", "v", kernels.linear, block=8), range(50), range(100, 133))
-    assert np.allclose(got, x @ y.T)
-
-
-def gate_states(x, reps, pairs):
-    """Gate-by-gate evaluation of the same map, one feature and one pair at a time."""
-    n = len(x)
-    state = np.zeros(2**n, dtype=complex)
-    state[0] = 1
-    index = np.arange(2**n)
-    for _ in range(reps):
-        for q in range(n):
-            flipped = state[index ^ (1 << q)]
-            sign = 1 - 2 * ((index >> q) & 1)
-            state = (sign * state + flipped) / np.sqrt(2)
-        for q in range(n):
-            state = state * np.exp(2j * x[q] * ((index >> q) & 1))
-        for a, b in pairs:
-            differ = ((index >> a) ^ (index >> b)) & 1
-            state = state * np.exp(2j * (np.pi - x[a]) * (np.pi - x[b]) * differ)
-    return state
-
-
-@pytest.mark.parametrize("entanglement", ["linear", "full", "circular"])
-@pytest.mark.parametrize("reps", [1, 2, 3])
-def test_phase_states(spark, reps, entanglement):
+def test_angle_columns(spark):
     x, rows = points(spark, 6, 4, 5)
-    pairs = kernels.feature_pairs(4, entanglement)
-    expected = np.array([gate_states(r, reps, pairs) for r in x])
-    assert np.allclose(kernels.phase_states(x, reps, entanglement), expected)
-    re, im = kernels.phase_column(F.col("v"), reps, entanglement)
+    re, im = kernels.angle_columns(F.col("v"), 2.0)
     got = rows.select("id", re.alias("re"), im.alias("im")).orderBy("id").collect()
-    assert np.allclose([np.array(r["re"]) + 1j * np.array(r["im"]) for r in got], expected)
-    k = as_matrix(kernels.kernel_against(rows, rows, "id", "v", kernels.fidelity(reps, entanglement)), range(6), range(6))
-    assert np.allclose(k, np.abs(expected @ expected.conj().T) ** 2)
-    assert np.allclose(np.diag(k), 1) and np.allclose(k, k.T)
-
-
-def test_phase_limits():
-    with pytest.raises(ValueError, match="between 1 and 12"):
-        kernels.phase_states(np.zeros((1, 13)))
-    with pytest.raises(ValueError, match="entanglement"):
-        kernels.feature_pairs(3, "odd")
-    with pytest.raises(ValueError, match="reps"):
-        kernels.phase_states(np.zeros((1, 2)), 0)
+    assert np.allclose([r["re"] for r in got], np.cos(2 * x)) and np.allclose([r["im"] for r in got], np.sin(2 * x))
 
 
 def test_centring(spark):
@@ -97,15 +56,16 @@ def test_centring(spark):
     one = np.full((12, 12), 1 / 12)
     got = as_matrix(kernels.centre_training(square, "id", "ref_id"), range(12), range(12))
     assert np.allclose(got, k - one @ k - k @ one + one @ k @ one) and np.allclose(got.sum(1), 0)
-    test = kernels.kernel_against(rows, refs, "id", "v", kernels.linear)
     kt = z @ x.T
-    got = as_matrix(kernels.centre_test(test, square, "id", "ref_id"), range(20), range(12))
+    test = kernels.kernel_against(rows, refs, "id", "v", kernels.linear, centred=True)
+    assert "Exchange hash" not in test._jdf.queryExecution().executedPlan().toString()
+    got = as_matrix(test, range(20), range(12))
     assert np.allclose(got, kt - kt.mean(1, keepdims=True) - k.mean(0) + k.mean())
 
 
 def test_landmark_features_reproduce_the_centred_kernel(spark):
     x, rows = points(spark, 25, 3, 8)
-    kernel = kernels.fidelity(1, "full")
+    kernel = kernels.angles(0.8)
     fitted = kernels.KernelFeatures.fit(x, kernel, centred=True)
     phi = rows.select("id", kernels.kernel_features_column(rows, F.col("v"), fitted, kernel).alias("p")).orderBy("id")
     phi = np.array([r["p"] for r in phi.collect()])
@@ -117,7 +77,8 @@ def test_reference_set(spark):
     x, refs = points(spark, 5, 2, 9)
     found = kernels.reference_set(refs, "id", "v")
     assert found.ids == list(range(5)) and np.allclose(found.matrix, x)
-    assert kernels.reference_set(refs, "id", "v", limit=5 * 2 * 8 - 1) is None
+    with pytest.raises(ValueError, match="more than 4"):
+        kernels.reference_set(refs, "id", "v", most=4)
     with pytest.raises(ValueError, match="empty"):
         kernels.reference_set(refs.filter("id < 0"), "id", "v")
 
@@ -125,13 +86,21 @@ def test_reference_set(spark):
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     rows = df.select(
-        vec.dot(F.col("a"), F.col("b")).alias("dot"),
         vec.l2_normalized(F.col("a")).alias("unit"),
-        vec.standardized(F.col("a"), [1.0, 1.0], [2.0, 0.0]).alias("z"),
         vec.scaled(F.col("a"), 0.5).alias("s"),
         vec.first_features(F.col("a"), 1).alias("cut"),
         vec.first_features(F.col("a"), 0).alias("whole"),
     ).collect()
-    assert rows[0]["dot"] == 11.0 and rows[0]["unit"] == pytest.approx([0.6, 0.8]) and rows[1]["unit"] == [0.0, 0.0]
-    assert rows[0]["z"] == [1.0, 3.0] and rows[0]["s"] == [1.5, 2.0]
+    assert rows[0]["unit"] == pytest.approx([0.6, 0.8]) and rows[1]["unit"] == [0.0, 0.0]
+    assert rows[0]["s"] == [1.5, 2.0]
     assert rows[0]["cut"] == [3.0] and rows[0]["whole"] == [3.0, 4.0]
+
+
+def test_matrix_checks():
+    assert vec.matrix_of(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
+    assert vec.matrix_of(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert vec.matrix_of(pa.array([[0.0], [1.0], [2.0]]).slice(1)).tolist() == [[1.0], [2.0]]
+    with pytest.raises(ValueError, match="different widths"):
+        vec.matrix_of(pa.array([[1.0, 0.0, 3.0], [2.0]]))
+    with pytest.raises(ValueError, match="null"):
+        vec.matrix_of(pa.array([[1.0, 2.0], None]))

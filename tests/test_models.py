@@ -114,20 +114,21 @@ def rings(spark, n=120):
 
 def test_kernel_training_and_scoring(spark, tmp_path):
     df = rings(spark)
-    settings = kernel_svm.Settings(pca_components=2, angle_scales=(0.5, 1.0), entanglements=("linear", "odd"), per_class_limit=50, max_iter=50)
+    settings = kernel_svm.Settings(pca_components=2, kernels=("rbf", "odd"), gamma_factors=(0.5, 1.0), centrings=(True,), per_class_limit=30)
     found = jobs.train_kernel_svm(df.drop("label"), df.select("seq_id", "label"), settings)
     m = found.metrics
-    assert (m["n_train"], m["n_test"], m["used_features"], m["candidates_tested"]) == (75, 25, 2, 4)
-    assert len(m["candidates_failed"]) == 2 and m["best_params"]["entanglement"] == "linear"
+    assert (m["n_train"], m["n_test"], m["used_features"], m["candidates_tested"]) == (60, 30, 2, 3)
+    assert len(m["candidates_failed"]) == 1 and m["best_params"]["kernel"] == "rbf" and len(m["validation_f1_macro"]) == 2
     for name in ("kernel", "baseline"):
         assert {f"{name}_{k}" for k in ("accuracy", "precision_macro", "recall_macro", "f1_macro")} <= set(m)
     assert m["baseline_f1_macro"] > 0.9 and m["accuracy_delta"] == pytest.approx(m["kernel_accuracy"] - m["baseline_accuracy"])
-    assert found.predictions.count() == 25 and found.predictions.columns == ["sample_id", "label", "prediction"]
+    assert found.predictions.count() == 30 and found.predictions.columns == ["sample_id", "label", "prediction"]
     path = str(tmp_path / "kernel")
     found.bundle(spark).save(spark, path)
     bundle = Bundle.load(spark, path, kernel_svm.REQUIRED)
     scored = {r["seq_id"]: r["prediction"] for r in jobs.score_kernel_model(df.drop("label"), bundle).collect()}
-    direct = found.final.predict(df.select("seq_id", found.components.column(F.col("embedding")).alias("x")), "x")
+    point = found.final.components.column(F.col("embedding")).alias("x")
+    direct = found.final.fitted.predict(df.select("seq_id", point), "x")
     assert scored == {r["seq_id"]: r["prediction"] for r in direct.collect()} and len(scored) == 120
 
 
@@ -138,5 +139,18 @@ def test_kernel_training_checks(spark):
         jobs.train_kernel_svm(df.drop("label"), labels.filter("seq_id <> 'r3'"))
     with pytest.raises(ValueError, match="two classes"):
         jobs.train_kernel_svm(df.drop("label"), labels.withColumn("label", F.lit("x")))
-    with pytest.raises(ValueError, match="No valid kernel"):
-        jobs.train_kernel_svm(df.drop("label"), labels, kernel_svm.Settings(pca_components=2, entanglements=("x", "y")))
+    with pytest.raises(ValueError, match="none of the kernels"):
+        jobs.train_kernel_svm(df.drop("label"), labels, kernel_svm.Settings(pca_components=2, kernels=("x", "y")))
+
+
+def test_metrics_become_rows(spark):
+    metrics = {"n": 3, "f": 0.5, "best": {"kernel": "rbf"}, "failed": ["a"], "classes": []}
+    rows = {r["metric"]: r["value"] for r in kernel_svm.metric_rows(spark, metrics).collect()}
+    assert rows == {"n": "3", "f": "0.500000", "best.kernel": "rbf", "failed[0]": "a"}
+
+
+def test_only_training_rows_are_bounded(spark):
+    rows = kernel_svm.split_rows(rings(spark), "seq_id", "label", "embedding", kernel_svm.Settings(per_class_limit=10))
+    assert {(r["label"], r["part"]): r["count"] for r in rows.groupBy("label", "part").count().collect()} == {
+        ("in", "train"): 10, ("out", "train"): 10, ("in", "test"): 15, ("out", "test"): 15
+    }
