@@ -16,10 +16,18 @@ ESCAPE = 0
 
 _LIMITS = np.array([1 << (60 // n) for n in COUNTS[1:]], dtype=np.uint64)
 _ROOM = np.array([*COUNTS[1:], 1], dtype=np.uint8)
+# Width class of each value of up to 16 bits, which most token ids are.
+_CLASS = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 _SELECTOR = np.zeros(61, dtype=np.uint64)
 _SELECTOR[list(COUNTS[1:])] = np.arange(1, len(COUNTS))
 
 
+def _class_of(values: np.ndarray) -> np.ndarray:
+    if len(values) and values.max() < len(_CLASS):
+        return _CLASS[values]
+    return np.searchsorted(_LIMITS, values, side="right")
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(words, word offset of each block, number of escapes) of unsigned integers below 2**64.
 
@@ -35,7 +43,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     full = total // BLOCK
     padded[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
     padded[full:, : total - full * BLOCK] = values[full * BLOCK :]
-    width_class = np.searchsorted(_LIMITS, padded.reshape(-1), side="right")
+    width_class = _class_of(padded.reshape(-1))
     escaped = (width_class == len(_LIMITS)).reshape(padded.shape)
     # room[i]: values of a word that starts at i. A window of n fits if its least room is n or more.
     least = _ROOM[width_class].reshape(padded.shape)

@@ -92,14 +92,16 @@ class WordCoder:
         words = pieces.flatten().dictionary_encode()
         unique = words.dictionary.to_pylist()
         coded = self._coded(unique)
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        sizes = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded)) // 4
         table = np.frombuffer(b"".join(coded), dtype="<u4")
         index = words.indices.to_numpy()
         counts = sizes[index]
-        ends = np.cumsum(counts)
-        first = (np.cumsum(sizes) - sizes)[index] - (ends - counts)
-        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first, counts)]
-        bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy()]
+        total = int(counts.sum(dtype=np.int64))
+        kind = np.int32 if max(total, len(table)) < 2**31 else np.int64
+        ends = np.cumsum(counts, dtype=kind)
+        first = (np.cumsum(sizes, dtype=kind) - sizes)[index] - (ends - counts)
+        ids = table[np.arange(total, dtype=kind) + np.repeat(first, counts)]
+        bounds = np.concatenate([np.zeros(1, kind), ends])[pieces.offsets.to_numpy()]
         return ids, np.diff(bounds)
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
@@ -164,8 +166,8 @@ def write_tokens(
             return batch
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 coded, sizes = coder.encode(part.column(1))
                 ends = np.cumsum(sizes)
                 closed = np.insert(coded, ends, end_id)
