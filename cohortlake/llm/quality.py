@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.llm.common import (
     chosen_rows,
@@ -127,7 +128,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, text: str = "text", ide
 
 def quality_filtered(docs: DataFrame, model: QualityModel, bound: float, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``bound``, in one pass without a shuffle."""
-    schema = docs.schema.add("__score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()()
