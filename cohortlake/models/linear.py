@@ -125,7 +125,7 @@ class Bundle:
         settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
         missing = set(required) - set(settings) - set(settings["tables"])
         if missing:
-            raise ValueError(f"Model bundle is missing keys: {sorted(missing)}")
+            raise ValueError(f"the stored model lacks {sorted(missing)}")
         readers = {r.__name__: r for r in (LinearSVCModel, OneVsRestModel, LogisticRegressionModel)}
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in settings["tables"]}
         return Bundle(readers[settings["kind"]].load(f"{path}/model"), settings, tables)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -14,19 +15,22 @@ _RANGES = 1024
 def threshold_counts(df: DataFrame, score: str, positive: str, groups: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: positives and negatives at it, and totals at strictly higher scores.
 
-    Rows with equal scores collapse in the map-side aggregate, so a hot score costs nothing. The
+    Null and NaN scores are missing; infinite scores are ordinary values at either end. Rows with
+    equal scores collapse in the map-side aggregate, so a hot score costs nothing. The
     remaining distinct scores are split into value ranges by approximate quantiles; the running
     total is the total of the higher ranges plus the running total inside the range. Ranges only
     steer the parallelism, the counts are exact.
     """
     groups = list(groups)
+    number = F.col(score).cast("double")
+    df = df.filter(number.isNotNull() & ~F.isnan(number))
     cuts = df.select(
         F.percentile_approx(F.col(score).cast("double"), [i / _RANGES for i in range(1, _RANGES)], 10_000)
     ).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
+    finite = {c for c in cuts or () if math.isfinite(c)} or {0.0}
+    splits = [float("-inf"), *sorted(finite), float("inf")]
     counts = (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(*groups, F.col(score).cast("double").alias("score"))
+        df.groupBy(*groups, F.col(score).cast("double").alias("score"))
         .agg(
             F.sum(F.col(positive).cast("long")).alias("pos"),
             F.sum(1 - F.col(positive).cast("long")).alias("neg"),

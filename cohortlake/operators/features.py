@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.operators.quantiles import exact_quantiles
-
-
-_PAIRWISE_FEATURES = 12
+from cohortlake.session import checkpoint, sized
 
 
 def quoted(name: str) -> Column:
@@ -80,33 +81,52 @@ def wide_class_table(stats: DataFrame, label: str, features: Sequence[str], valu
 def feature_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered feature pair as ``(feature_a, feature_b, corr)``.
 
-    A few features use one built-in aggregate per pair. More features accumulate the
-    feature-by-feature matrix in one distributed pass; its size depends on their number only.
+    Each pair uses the rows in which both values are present; NaN counts as missing. A pair without
+    two rows, or with a constant side, has a null correlation. Every task adds up one matrix of
+    moments, whose size depends on the number of features only, and the sums meet per pair.
     """
-    n = len(features)
-    if n <= _PAIRWISE_FEATURES:
-        pairs = [(i, j) for i in range(n) for j in range(i, n)]
-        wide = df.agg(*[F.corr(quoted(features[i]), quoted(features[j])).alias(f"c{i}_{j}") for i, j in pairs])
-        cells = [
-            F.struct(
-                F.lit(features[i]).alias("feature_a"),
-                F.lit(features[j]).alias("feature_b"),
-                F.col(f"c{min(i, j)}_{max(i, j)}").alias("corr"),
-            )
-            for i in range(n)
-            for j in range(n)
-        ]
-        return wide.select(F.inline(F.array(*cells)))
-    vector = F.array(*[quoted(f).cast("double") for f in features])
-    return vector_correlation(df.select(vector.alias("v")), "v", features)
+    names, n = list(features), len(features)
+    if not n:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    numbers = [F.nanvl(quoted(f).cast("double"), F.lit(None).cast("double")) for f in names]
+    # Values are taken from the overall mean first, which keeps the sums of squares exact enough.
+    centre = df.agg(F.array(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in numbers]).alias("m")).scalar()
+    rows = df.select(F.array(*numbers).alias("v"), centre.alias("m"))
+    rows = rows.select(F.zip_with("v", "m", lambda x, m: x - m).alias("v"))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, n, n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.column(0).slice(at, 4096)
+                x = part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+                there = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                sums += (there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x)
+        at = np.arange(n)
+        columns = [np.repeat(at, n), np.tile(at, n), *sums.reshape(6, -1)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", *_MOMENTS])
+
+    schema = "a long, b long, " + ", ".join(f"{m} double" for m in _MOMENTS)
+    pairs = rows.mapInArrow(moments, schema).groupBy("a", "b").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    c = {m: F.col(m) for m in _MOMENTS}
+    # Multiplied by the number of rows; a side whose spread is rounding only is constant.
+    xx, yy = c["n"] * c["xx"] - c["x"] * c["x"], c["n"] * c["yy"] - c["y"] * c["y"]
+    spread = (xx > c["n"] * c["xx"] * 1e-13) & (yy > c["n"] * c["yy"] * 1e-13) & (c["n"] >= 2)
+    corr = F.when(spread, (c["n"] * c["xy"] - c["x"] * c["y"]) / F.sqrt(xx * yy))
+    name = F.array(*[F.lit(f) for f in names])
+    return pairs.select(
+        F.get(name, F.col("a").cast("int")).alias("feature_a"), F.get(name, F.col("b").cast("int")).alias("feature_b"), corr.alias("corr")
+    )
+
+
+_MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def vector_correlation(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
-    """``feature_correlation`` of a vector column."""
-    rows = df.select(array_to_vector(F.col(vector)).alias("v"))
-    matrix = Correlation.corr(rows, "v").first()[0].toArray()
-    cells = [(a, b, float(matrix[i][j])) for i, a in enumerate(names) for j, b in enumerate(names)]
-    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, corr double")
+    """``feature_correlation`` of a vector column; an entry that a vector lacks is missing."""
+    entries = [F.get(vector, F.lit(i)).cast("double").alias(name) for i, name in enumerate(names)]
+    return feature_correlation(df.select(*entries), names)
 
 
 def equal_width_histogram(df: DataFrame, value: str) -> DataFrame:
@@ -251,12 +271,16 @@ def mutual_information_long(long: DataFrame, label: str, bins: int = 10) -> Data
     share a bin, and everything after the binning is counts per (feature, bin, class).
     """
     probs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(long, "value", probs, ["feature"], few_groups=True)
-    long = long.filter(F.col("value").isNotNull())
-    binned = long.join(F.broadcast(edges.select("feature", "quantiles")), "feature").withColumn(
+    narrow = long.select(label, "feature", "value").filter("value is not null").persist(StorageLevel.DISK_ONLY)
+    edges = sized(exact_quantiles(narrow, "value", probs, ["feature"], few_groups=True).select("feature", "quantiles"))
+    binned = narrow.join(edges, "feature").withColumn(
         "bin", sum(((F.col("value") > F.col("quantiles")[i]).cast("int") for i in range(bins - 1)), F.lit(0))
     )
-    cells = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    counts = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    # One row per feature, bin and class is left: the narrow rows are released.
+    cells = checkpoint(counts)
+    edges.unpersist()
+    narrow.unpersist()
     whole, by_bin, by_label = (Window.partitionBy("feature", *extra) for extra in ([], ["bin"], [label]))
     shares = cells.select(
         "feature",

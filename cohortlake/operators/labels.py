@@ -31,13 +31,13 @@ def require_labels(df: DataFrame, labels: DataFrame, ident: str) -> None:
     row = missing.agg(F.count(F.lit(1)).alias("n")).first()
     if row["n"]:
         first = [r[0] for r in missing.orderBy(ident).limit(5).collect()]
-        raise ValueError(f"{row['n']} {ident} values missing labels (e.g., {first})")
+        raise ValueError(f"no label for {row['n']} of the {ident} values, the first being {first}")
 
 
 def rule_label(df: DataFrame, length: str, rule: str = "median-length", out: str = "label") -> DataFrame:
     """Label by rule; ``median-length`` gives 1 to rows strictly longer than the median."""
     if rule != "median-length":
-        raise ValueError(f"Unknown rule: {rule}")
+        raise ValueError(f"'{rule}' is not a labelling rule")
     return df.withColumn(out, (F.col(length) > exact_median(df, length)).cast("int"))
 
 

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this size are ranked directly; larger ones are bracketed by a sketch first.
-_DIRECT_ROWS = 100_000
+from cohortlake.session import sized
+
+# Parts that each interval between two bracket ends is cut into for ranking.
+_PARTS = 256
 
 
 def exact_quantiles(
@@ -25,12 +27,13 @@ def exact_quantiles(
     ``percentile`` keeps every distinct value of a group in one hash map. Here a fixed-size
     quantile sketch brackets each probability within a narrow value interval; values inside an
     interval are counted individually, all others are only counted per gap between intervals.
-    What remains per group is a small fraction (about 4/accuracy per probability) of its distinct
-    values, and a cumulative count over it gives the exact order statistics. A bracket that misses
-    its rank raises instead of returning a near value.
+    What remains per group, about 4/accuracy of its distinct values per probability, is ranked in
+    two levels: totals of ``_PARTS`` equal-width parts of each interval, then the values inside a
+    part, so no window holds a group. The order statistics are exact at any size and by one path; a
+    bracket that misses its rank raises instead of returning a near value.
 
-    ``few_groups`` says that the number of groups is bounded (one per feature column); the sketch
-    table is then broadcast.
+    ``few_groups`` says that there are few groups (one per feature column); the sketch table is then
+    materialised, so that it is broadcast if its measured size allows.
     """
     groups = list(groups)
     data = df.select(*groups, F.col(value).cast("double").alias("__v")).filter(
@@ -44,32 +47,40 @@ def exact_quantiles(
         F.percentile_approx("__v", lows + highs, accuracy).alias("__ends"),
     )
 
-    def end(i: int, unbounded: float) -> Column:
-        return F.when(F.col("__rows") <= _DIRECT_ROWS, F.lit(unbounded)).otherwise(F.col("__ends")[i])
-
     k = len(probs)
     if groups:
-        data = data.join(F.broadcast(sketch) if few_groups else sketch, groups)
+        data = data.join(sized(sketch) if few_groups else sketch, groups)
     else:
         whole = sketch.select(F.struct("__rows", "__ends")).scalar()
         data = data.withColumn("__s", whole).select("__v", "__s.*")
-    low = [end(i, float("-inf")) for i in range(k)]
-    high = [end(k + i, float("inf")) for i in range(k)]
+    low = [F.col("__ends")[i] for i in range(k)]
+    high = [F.col("__ends")[k + i] for i in range(k)]
     v = F.col("__v")
     inside = reduce(lambda a, b: a | b, [(v >= low[i]) & (v <= high[i]) for i in range(k)])
     gap = sum([(v > e).cast("int") for e in low + high], F.lit(0))
+    # The part is monotone in the value and only steers how many tasks share the ranking.
+    ends = F.array_sort("__ends")
+    data = data.select(*groups, "__v", inside.alias("__in"), gap.alias("__gap"), ends.alias("__sorted"))
+    from_end = F.get("__sorted", F.col("__gap") - 1)
+    share = (v - from_end) / F.nullif(F.get("__sorted", F.col("__gap")) - from_end, F.lit(0.0))
+    part = F.when(F.col("__in"), F.least(F.lit(_PARTS - 1), F.floor(share * _PARTS)))
     cells = (
-        data.select(*groups, "__v", inside.alias("__in"), gap.alias("__gap"))
-        .groupBy(*groups, "__gap", F.when(F.col("__in"), F.col("__v")).alias("__exact"))
+        data.withColumn("__part", F.coalesce(part, F.lit(0)).cast("int"))
+        .groupBy(*groups, "__gap", "__part", F.when(F.col("__in"), F.col("__v")).alias("__exact"))
         .agg(
             F.count(F.lit(1)).alias("__c"),
             F.min("__v").alias("__min"),
             F.max("__v").alias("__max"),
         )
     )
+    spot = [*groups, "__gap", "__part"]
+    totals = cells.groupBy(*spot).agg(F.sum("__c").alias("__t"))
     by = Window.partitionBy(*groups)
-    ranked = cells.withColumn("__upto", F.sum("__c").over(by.orderBy("__max"))).withColumn(
-        "n", F.sum("__c").over(by)
+    totals = totals.select(
+        *spot, (F.sum("__t").over(by.orderBy("__gap", "__part")) - F.col("__t")).alias("__before"), F.sum("__t").over(by).alias("n")
+    )
+    ranked = cells.join(totals, spot).withColumn(
+        "__upto", F.col("__before") + F.sum("__c").over(Window.partitionBy(*spot).orderBy("__max"))
     )
 
     def at(rank: Column) -> Column:

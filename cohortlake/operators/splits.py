@@ -26,12 +26,12 @@ def stratified_split(df: DataFrame, label: str, ident: str, test_size: float = 0
     extra = (F.row_number().over(by_rest) <= F.col("__train") - F.sum("__base").over(whole)).cast("long")
     splittable = (F.col("__total") >= 4) & (F.count(F.lit(1)).over(whole) >= 2)
     quota = F.when(splittable, F.col("__base") + extra).otherwise(F.col("__n"))
-    quotas = sizes.select(F.struct(F.col(label).alias("k"), quota.alias("v")).alias("e"))
-    lookup = quotas.agg(F.map_from_entries(F.collect_list("e"))).scalar()
+    quotas = sizes.select(F.col(label).alias("__class"), quota.alias("__quota"))
     ranked = stratum_rank(df, [label], ident, seed)
-    return ranked.withColumn(
-        "part", F.when(F.col("rank") <= lookup[F.col(label)], F.lit("train")).otherwise(F.lit("test"))
-    ).drop("rank", "stratum_size")
+    part = F.when(F.col("rank") <= F.col("__quota"), F.lit("train")).otherwise(F.lit("test"))
+    # Null-safe: rows without a class are a class of their own.
+    joined = ranked.join(quotas, F.col(label).eqNullSafe(F.col("__class")))
+    return joined.withColumn("part", part).drop("rank", "stratum_size", "__class", "__quota")
 
 
 def stratified_fraction(df: DataFrame, label: str, ident: str, fraction: float = 0.8, seed: int = 1337) -> DataFrame:
@@ -76,4 +76,6 @@ def group_folds(df: DataFrame, label: str, group: str, folds: int, seed: int = 4
 
 
 def with_group_fold(df: DataFrame, label: str, group: str, folds: int, seed: int = 42) -> DataFrame:
-    return df.join(group_folds(df, label, group, folds, seed), group)
+    """``df`` with ``fold``; rows without a group are one group of their own."""
+    dealt = group_folds(df, label, group, folds, seed).withColumnRenamed(group, "__group")
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")

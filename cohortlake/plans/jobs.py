@@ -62,11 +62,11 @@ def prepare_features(
     Returns the rows plus kept and dropped features. Values pass through single precision.
     """
     if not table.filter(F.col("label").isNull()).isEmpty():
-        raise ValueError("Labels contain null values; please clean your dataset")
+        raise ValueError("some rows have a null label; label or remove them first")
     imputed = feats.impute(table, feats.fit_medians(table, features))
     kept, dropped = feats.select_varying(imputed, features, min_variance)
     if not kept:
-        raise ValueError("All requested features have near-zero variance")
+        raise ValueError("every feature varies too little to be kept")
     vector = F.array(*[feats.quoted(f).cast("float").cast("double") for f in kept])
     rows = labelling.encode_labels(imputed, "label").select(
         "sample_id", "label", F.col("label_index").cast("int"), vector.alias("features"), "group_id"
@@ -156,10 +156,12 @@ def top_matches(texts: DataFrame, ident: str, text: str, patterns: Sequence[str]
 def validate_sequences(sequences: DataFrame, sanitize: bool = False, limit: int = 0) -> DataFrame:
     """``(seq_id, ok, sequence, rejected)``: cleaned text, or a rejection with the offending letters.
 
-    ``limit`` keeps the first records by id when it is positive.
+    ``limit`` keeps that many records when it is positive: the first in file order for sequences
+    that carry ``file_order`` (``read_sequences(..., ordered=True)``), else the first by id.
     """
     if limit > 0:
-        sequences = sequences.orderBy("seq_id").limit(limit)
+        order = "file_order" if "file_order" in sequences.columns else "seq_id"
+        sequences = sequences.orderBy(order).limit(limit)
     use = sanitized if sanitize else letters_only
     cleaned = sequences.select(
         "seq_id", letters_only(F.col("sequence")).alias("raw"), use(F.col("sequence")).alias("text")
@@ -211,7 +213,7 @@ def train_linear_svm(
         raise ValueError("Embeddings have different widths")
     classes = labelling.sorted_labels(rows, "label")
     if len(classes) < 2:
-        raise ValueError("Need at least two classes for supervised training")
+        raise ValueError("training needs rows of two classes or more")
     training = weighted_rows(rows.filter("part = 'train'"), "label", classes, F.col("x"), False)
     model = fit_svm(training, len(classes), facts["high"], 1.0, max_iter)
     has_test = facts["train"] < facts["n"]
@@ -224,7 +226,7 @@ def train_linear_svm(
     else:
         metrics |= {
             "train_accuracy": accuracy,
-            "note": f"trained on all data (too few samples for a split); feature_cap={facts['high']} of {facts['dim']}",
+            "note": f"too few rows to hold any out; the first {facts['high']} of {facts['dim']} entries were used",
         }
     settings = {"labels": classes, "used_features": facts["high"], "backend": facts["backend"]}
     return metrics, Bundle(model, settings), predictions
@@ -298,7 +300,7 @@ def score_sequences(sequences: DataFrame, bundle: Bundle, backend: str | None =
     chosen = embedder(backend or bundle.settings["backend"])
     width = bundle.settings["used_features"]
     if chosen.dim < width:
-        raise ValueError(f"Feature dimension ({chosen.dim}) is smaller than the training dimension ({width})")
+        raise ValueError(f"backend '{chosen.backend}' gives {chosen.dim} entries, the model was fitted on {width}")
     if chosen.backend != bundle.settings["backend"]:
         raise ValueError(f"The model was trained on backend '{bundle.settings['backend']}'")
     vectors = embed(sequences, chosen.backend).select("seq_id", "embedding")

@@ -19,8 +19,10 @@ from cohortlake.operators import features as feats
 from cohortlake.operators import kernels, labels, metrics, splits
 from cohortlake.operators.curves import ranking_quality
 from cohortlake.operators.projection import fit_components
+from cohortlake.operators.quantiles import exact_quantiles
 from cohortlake.operators.ranking import sample_per_class
 from cohortlake.plans import jobs
+from cohortlake.session import checkpoint
 from cohortlake.sources.tabular import with_synthetic_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1034,7 +1036,7 @@ def _(spark, folder):
     return metrics.top_weights(weights, "label", "feature", "weight")
 
 
-# --- fitted models (rows-only check) --------------------------------------------------------
+# --- fitted models --------------------------------------------------------
 
 LETTER_NAMES = [f"share_{c}" for c in seq.RESIDUES]
 
@@ -1063,6 +1065,41 @@ def _(spark, folder):
     return fitted.coefficients(spark)
 
 
+@query(
+    "omics_cv_checks",
+    f"""WITH rows AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, lang, source FROM documents),
+    {group_fold_sql("rows", "lang", "source", 5)},
+    names AS (SELECT lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_index FROM (SELECT DISTINCT lang FROM rows))
+    SELECT sample_id, fold, label_index, lang AS label, 1.0 AS total, true AS is_most_likely
+    FROM rows JOIN folds ON source = g JOIN names USING (lang)""",
+)
+def _(spark, folder):
+    predictions, _ = feature_classifier.cross_validate(labelled_features(spark, folder), LETTER_NAMES)
+    chances = [F.col(c) for c in predictions.columns if c.startswith("proba_")]
+    own = F.get(F.array(*chances), F.col("prediction_index"))
+    return predictions.select(
+        "sample_id",
+        "fold",
+        "label_index",
+        "label",
+        r6(sum(chances, F.lit(0.0))).alias("total"),
+        (own == F.greatest(*chances)).alias("is_most_likely"),
+    )
+
+
+@query(
+    "logistic_gradient",
+    f"""SELECT label, feature, 0.0 AS gradient FROM (SELECT DISTINCT lang AS label FROM documents),
+      (SELECT unnest([{", ".join(f"'{n}'" for n in [*LETTER_NAMES, "intercept"])}]) AS feature)""",
+)
+def _(spark, folder):
+    settings = feature_classifier.Settings()
+    rows = feature_classifier.prepared(labelled_features(spark, folder), LETTER_NAMES, settings)
+    fitted = feature_classifier.fit_all(labelled_features(spark, folder), LETTER_NAMES, settings)
+    gradient = feature_classifier.objective_gradient(fitted, rows, settings)
+    return gradient.select("label", "feature", F.round(F.abs("gradient"), 3).alias("gradient"))
+
+
 @query("linear_svm_predictions")
 def _(spark, folder):
     _, _, predictions = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32)
@@ -1078,6 +1115,88 @@ def _(spark, folder):
     )
 
 
+@query(
+    "pca_lengths",
+    """WITH cells AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    fit AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM cells GROUP BY i)
+    SELECT vec_id, round(sum(power((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 2)), 4) AS length2
+    FROM cells JOIN fit USING (i) GROUP BY vec_id""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    components = fit_components(rows, "embedding", 64)
+    point = rows.select("vec_id", components.column(F.col("embedding")).alias("p"))
+    return point.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length2"))
+
+
+@query(
+    "landmark_features",
+    f"""WITH {LANDMARKS_SQL}, g AS (SELECT 1 / (64 * var_pop(u)) AS gamma FROM (SELECT unnest(x) AS u FROM e))
+    SELECT vec_id, ref_id, round(exp(-gamma * power(list_distance(x, y), 2)), 5) AS k FROM e, refs, g""",
+)
+def _(spark, folder):
+    rows, refs = landmarks(spark, folder)
+    kernel = kernels.rbf(kernels.scale_gamma(feats.vector_moments(rows, "embedding")))
+    fitted = kernels.KernelFeatures.fit(kernels.reference_set(refs, "vec_id", "embedding").matrix, kernel, centred=False)
+    point = kernels.kernel_features_column(rows, F.col("embedding"), fitted, kernel)
+    features = checkpoint(rows.select("vec_id", point.alias("p")))
+    known = features.join(refs.select("vec_id"), "vec_id", "left_semi")
+    products = kernels.kernel_against(features, known, "vec_id", "p", kernels.linear)
+    return products.withColumn("k", F.round("k", 5))
+
+
+@query(
+    "correlation_with_gaps",
+    """WITH f AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS chars, CASE WHEN quality = 1 THEN toxic END AS toxic_if_good,
+      CAST(quality AS DOUBLE) AS quality, 7.0 AS constant FROM documents LEFT JOIN labels USING (doc_id)),
+    long AS (SELECT doc_id, 'chars' AS feature, chars AS v FROM f UNION ALL SELECT doc_id, 'toxic_if_good', toxic_if_good FROM f
+      UNION ALL SELECT doc_id, 'quality', quality FROM f UNION ALL SELECT doc_id, 'constant', constant FROM f),
+    pairs AS (SELECT a.feature AS feature_a, b.feature AS feature_b, a.v AS x, b.v AS y FROM long a JOIN long b USING (doc_id)
+      WHERE a.v IS NOT NULL AND b.v IS NOT NULL)
+    SELECT feature_a, feature_b, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN round(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)), 6) END AS corr
+    FROM pairs GROUP BY ALL""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    wide = rows.select(
+        F.col("n_chars").cast("double").alias("chars"),
+        F.when(F.col("quality") == 1, F.col("toxic")).cast("double").alias("toxic_if_good"),
+        F.col("quality").cast("double").alias("quality"),
+        F.lit(7.0).alias("constant"),
+    )
+    found = feats.feature_correlation(wide, wide.columns)
+    return found.withColumn("corr", r6(F.col("corr")))
+
+
+@query(
+    "split_with_unlabelled",
+    """WITH r AS (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)),
+    c AS (SELECT quality, count(*) AS n, sum(count(*)) OVER () AS total FROM r GROUP BY quality),
+    q AS (SELECT *, total - ceil(total * 0.25) AS train FROM c),
+    b AS (SELECT *, floor(n * train / total) AS base, n * train / total - floor(n * train / total) AS rest FROM q),
+    x AS (SELECT quality, base + CAST(row_number() OVER (ORDER BY rest DESC, quality NULLS FIRST) <= train - sum(base) OVER () AS INTEGER) AS quota FROM b),
+    k AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id)) AS rank FROM r)
+    SELECT doc_id, CASE WHEN rank <= quota THEN 'train' ELSE 'test' END AS part
+    FROM k JOIN x ON k.quality IS NOT DISTINCT FROM x.quality""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return splits.stratified_split(rows.select("doc_id", "quality"), "quality", "doc_id").select("doc_id", "part")
+
+
+@query(
+    "price_quantiles",
+    """SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 6) AS low,
+      round(quantile_cont(l_extendedprice, 0.5), 6) AS middle, round(quantile_cont(l_extendedprice, 0.99), 6) AS high
+    FROM lineitem GROUP BY l_returnflag""",
+)
+def _(spark, folder):
+    found = exact_quantiles(table(spark, folder, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag"])
+    return found.select(
+        "l_returnflag", "n", *[r6(F.col("quantiles")[i]).alias(c) for i, c in enumerate(("low", "middle", "high"))]
+    )
+
+
 def quality_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Embedded documents that have a quality label."""
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")

@@ -59,9 +59,13 @@ def _body(record: Column) -> Column:
     return F.regexp_extract(record, r"^[^\r\n]*(?:\r\n|\r|\n)?([\s\S]*)$", 1)
 
 
-def read_fasta(spark: SparkSession, paths: str | Sequence[str], header_first: bool = False) -> DataFrame:
+def read_fasta(
+    spark: SparkSession, paths: str | Sequence[str], header_first: bool = False, ordered: bool = False
+) -> DataFrame:
     """``(seq_id, sequence)``: id = first word of the header, trimmed lines joined unchanged.
 
+    ``ordered`` adds ``file_order`` (path, block, row, part), which sorts records as the files have them.
+
     An indented ``>`` also starts a record, blank lines vanish, empty sequences stay. A header
     without an id is an error when the row is read.
     """
@@ -69,7 +73,8 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], header_first: bo
     ident = F.regexp_extract(_header(F.col("record")), r"^\s*(\S+)", 1)
     checked = F.when(ident == "", F.raise_error(F.lit("FASTA header without an identifier")).cast("string")).otherwise(ident)
     joined = F.regexp_replace(_body(F.col("record")), r"[ \t\x0B\f]*[\r\n]+[ \t\x0B\f]*", "")
-    return records.select(checked.alias("seq_id"), F.regexp_replace(joined, _EDGES, "").alias("sequence"))
+    place = [F.struct("path", "block", "seq", "part").alias("file_order")] if ordered else []
+    return records.select(checked.alias("seq_id"), F.regexp_replace(joined, _EDGES, "").alias("sequence"), *place)
 
 
 def read_clean_fasta(spark: SparkSession, paths: str | Sequence[str], header_first: bool = False) -> DataFrame:

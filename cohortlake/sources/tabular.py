@@ -16,6 +16,9 @@ from cohortlake.sources.fasta import read_fasta
 # Accepted column names and file suffixes.
 SEQUENCE_NAMES = ("sequence", "seq", "aa_sequence", "protein_sequence")
 ID_NAMES = ("id", "seq_id", "name", "accession")
+# Accepted column names of an enzyme map.
+ENZYME_ID_NAMES = ("accession", "entry")
+ENZYME_CLASS_NAMES = ("ec", "ec number")
 FASTA_SUFFIXES = (".fa", ".fasta", ".fna")
 
 
@@ -49,24 +52,37 @@ def with_synthetic_ids(df: DataFrame, out: str = "seq_id") -> DataFrame:
     return numbered.withColumn(out, F.concat(F.lit("seq_"), F.col("__row"))).drop("__path", "__block", "__seq", "__row")
 
 
-def read_sequence_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``(seq_id, sequence)`` from a CSV with a sequence column; ids are made up when absent."""
+def read_sequence_csv(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:
+    """``(seq_id, sequence)`` from a CSV with a sequence column; ids are made up when absent.
+
+    ``ordered`` adds ``file_order`` (path, block, row).
+    """
     raw = spark.read.csv(paths, header=True)
     sequence = resolve(raw.columns, SEQUENCE_NAMES)
     if sequence is None:
-        raise ValueError("CSV must contain a 'sequence' column")
+        raise ValueError(f"no column of the CSV is named like a sequence: {', '.join(SEQUENCE_NAMES)}")
     ident = resolve(raw.columns, ID_NAMES)
     if ident is None:
         raw, ident = with_synthetic_ids(raw, "__id"), "__id"
-    return raw.select(quoted(ident).alias("seq_id"), F.coalesce(quoted(sequence), F.lit("")).alias("sequence"))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+    )
+    if ordered and ident != "__id":
+        raw = raw.withColumn("file_order", place)
+    elif ordered:
+        raw = raw.withColumn("file_order", F.substring("__id", 5, 20).cast("long"))
+    kept = ["file_order"] if ordered else []
+    return raw.select(quoted(ident).alias("seq_id"), F.coalesce(quoted(sequence), F.lit("")).alias("sequence"), *kept)
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """FASTA for ``.fa .fasta .fna``, CSV otherwise; an empty input is an error."""
     reader = read_fasta if path.lower().endswith(FASTA_SUFFIXES) else read_sequence_csv
-    sequences = reader(spark, path)
+    sequences = reader(spark, path, ordered=ordered)
     if sequences.isEmpty():
-        raise ValueError(f"No sequences found in {path}")
+        raise ValueError(f"{path} holds no sequence records")
     return sequences
 
 
@@ -77,7 +93,7 @@ def read_labels_csv(spark: SparkSession, paths: str | Sequence[str], label: str)
     if ident is None:
         raise ValueError("labels CSV must have a seq_id/id/name/accession column")
     if label not in raw.columns:
-        raise ValueError(f"Missing label column '{label}'")
+        raise ValueError(f"there is no column '{label}' to take the label from")
     # File order decides which duplicate is the last one.
     rows = raw.select(
         quoted(ident).alias("seq_id"),
@@ -94,9 +110,10 @@ def read_labels_csv(spark: SparkSession, paths: str | Sequence[str], label: str)
 def read_enzyme_map(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``(accession, ec_top)`` from a TSV, classes 1 to 6; columns by name, else by position."""
     raw = spark.read.csv(paths, sep="\t", header=True)
-    names = {c.lower(): c for c in raw.columns}
-    ident = names.get("accession") or names.get("entry") or raw.columns[0]
-    annotation = names.get("ec") or names.get("ec number") or raw.columns[1]
+    ident, annotation = (
+        resolve(raw.columns, accepted) or raw.columns[position]
+        for position, accepted in enumerate((ENZYME_ID_NAMES, ENZYME_CLASS_NAMES))
+    )
     rows = raw.select(
         quoted(ident).alias("accession"),
         top_enzyme_class(quoted(annotation)).alias("ec_top"),
@@ -130,16 +147,16 @@ def read_feature_csv(
         raw = spark.read.csv(paths, header=True, inferSchema=not feature_cols)
     for kind, name in (("id", id_col), ("label", label_col)):
         if name not in raw.columns:
-            raise ValueError(f"Missing {kind} column '{name}'")
+            raise ValueError(f"there is no column '{name}' to take the {kind} from")
     if feature_cols:
         features = list(feature_cols)
         missing = [c for c in features if c not in raw.columns]
         if missing:
-            raise ValueError(f"Feature columns not found: {missing}")
+            raise ValueError(f"these features are no columns of the table: {missing}")
     else:
         features = numeric_columns(raw, [id_col, label_col, *([group_col] if group_col else [])])
         if not features:
-            raise ValueError("No numeric feature columns detected; name them explicitly")
+            raise ValueError("the table has no number column to use as a feature; list the features")
     group = group_col if group_col and group_col in raw.columns else id_col
     table = raw.select(
         quoted(id_col).cast("string").alias("sample_id"),

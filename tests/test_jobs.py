@@ -43,7 +43,7 @@ def test_embed_train_score(spark, tmp_path, clean_catalog):
     assert names == ["embeddings_summary", "landmark_counts", "landmark_similarity", "length_histogram"]
     similarity = spark.read.csv(str(tmp_path / "report" / "landmark_similarity"), header=True, inferSchema=True)
     assert similarity.count() == 36
-    with pytest.raises(ValueError, match="smaller than the training"):
+    with pytest.raises(ValueError, match="the model was fitted on"):
         loaded.settings["used_features"] = 99
         jobs.score_sequences(tabular.read_sequences(spark, str(path)), loaded)
 
@@ -51,7 +51,7 @@ def test_embed_train_score(spark, tmp_path, clean_catalog):
 def test_too_few_rows_train_on_all(spark):
     rows = spark.createDataFrame([("s1", "MKTIIALSYIF"), ("s2", "GVVDSGTT")], "seq_id string, sequence string")
     metrics, _, predictions = jobs.train_linear_svm(jobs.embed(rows), feature_cap=4, max_iter=20)
-    assert metrics["classes"] == [0, 1] and metrics["n_train"] == 2 and "feature_cap=4 of 64" in metrics["note"]
+    assert metrics["classes"] == [0, 1] and metrics["n_train"] == 2 and "first 4 of 64" in metrics["note"]
     assert metrics["train_accuracy"] == 1.0 and predictions.count() == 2
 
 

@@ -99,3 +99,11 @@ def test_probability_metrics(spark):
     tidy = {r["metric"]: r["value"] for r in metrics.performance_table(more, "label", "prediction", three).collect()}
     # The class without positives has no area and takes no part in the mean.
     assert tidy["roc_auc"] == pytest.approx(0.75) and "average_precision" not in tidy
+
+
+def test_scores_that_are_missing_or_infinite(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(inf, 1), (inf, 0), (2.0, 1), (1.0, 0), (-inf, 0), (nan, 1), (None, 0)]
+    got = ranking_quality(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
+    assert got["roc_auc"] == pytest.approx((2.5 + 2) / 6)
+    assert got["average_precision"] == pytest.approx((1 / 2 + 2 / 3) / 2)

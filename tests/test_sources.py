@@ -86,14 +86,14 @@ def test_sequence_csv(spark, tmp_path):
     assert rows == {f"S{i}": f"seq_{i + 1}" for i in range(500)}
     with pytest.raises(ValueError, match="sequence"):
         tabular.read_sequences(spark, write(tmp_path / "bad.csv", "a,b\n1,2\n"))
-    with pytest.raises(ValueError, match="No sequences"):
+    with pytest.raises(ValueError, match="holds no sequence"):
         tabular.read_sequences(spark, write(tmp_path / "empty.csv", "id,sequence\n"))
 
 
 def test_labels_csv_last_row_wins(spark, tmp_path):
     path = write(tmp_path / "l.csv", "ACCESSION,kind\na,1\nb,2\na,3\n")
     assert sorted(map(tuple, tabular.read_labels_csv(spark, path, "kind").collect())) == [("a", "3"), ("b", "2")]
-    with pytest.raises(ValueError, match="Missing label"):
+    with pytest.raises(ValueError, match="take the label from"):
         tabular.read_labels_csv(spark, path, "nope")
     with pytest.raises(ValueError, match="must have"):
         tabular.read_labels_csv(spark, write(tmp_path / "m.csv", "k,kind\na,1\n"), "kind")
@@ -111,11 +111,11 @@ def test_feature_csv_columns(spark, tmp_path):
     table, features = tabular.read_feature_csv(spark, path, "pid", "status", group_col="grp")
     assert features == ["a.b|c", "flag"]
     assert sorted(map(tuple, table.collect())) == [("1", "x", "7", 1.5, 1.0), ("2", "y", "8", 2.5, 0.0)]
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no columns of the table"):
         tabular.read_feature_csv(spark, path, "pid", "status", ["zz"])
-    with pytest.raises(ValueError, match="Missing id"):
+    with pytest.raises(ValueError, match="take the id from"):
         tabular.read_feature_csv(spark, path, "id", "status")
-    with pytest.raises(ValueError, match="Missing label"):
+    with pytest.raises(ValueError, match="take the label from"):
         tabular.read_feature_csv(spark, path, "pid", "nope")
 
 

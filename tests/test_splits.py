@@ -80,10 +80,22 @@ def test_labels(spark):
     joined = {r["seq_id"]: r["label"] for r in labels.attach_labels(df, once, "seq_id").collect()}
     assert joined == {"s1": "y", "s2": None, "s3": "x"}
     assert [r[0] for r in labels.unlabelled(df, once, "seq_id").collect()] == ["s2"]
-    with pytest.raises(ValueError, match=r"1 seq_id values missing labels \(e.g., \['s2'\]\)"):
+    with pytest.raises(ValueError, match=r"no label for 1 of the seq_id values, the first being \['s2'\]"):
         labels.require_labels(df, once, "seq_id")
     labels.require_labels(df.filter("seq_id <> 's2'"), once, "seq_id")
     weights = {r["label"]: r["weight"] for r in labels.class_weights(once, "label").collect()}
     assert weights == {"x": 1.0, "y": 1.0}
     encoded = {r["label"]: r["label_index"] for r in labels.encode_labels(table, "label").collect()}
     assert encoded == {"x": 0, "y": 1}
+
+
+def test_rows_without_label_or_group_stay(spark):
+    rows = [(f"s{i}", ("a", "b", None)[i % 3], None if i % 4 == 0 else f"g{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, label string, group_id string")
+    parts = splits.stratified_split(df, "label", "sample_id")
+    assert {(r["label"], r["part"]): r["count"] for r in parts.groupBy("label", "part").count().collect()} == {
+        (label, part): n for label in ("a", "b", None) for part, n in (("train", 15), ("test", 5))
+    }
+    folds = splits.with_group_fold(df, "label", "group_id", 3)
+    assert folds.count() == 60 and folds.filter("group_id is null").select("fold").distinct().count() == 1
+    assert folds.columns == ["sample_id", "label", "group_id", "fold"]
