@@ -24,10 +24,12 @@ from cohortlake.llm.common import table, whole_text
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENT = 64  # words of an indexed part of an item; windows have two, so one holds any part whole
-BLOCKS = 256
+BLOCKS = 256  # at most; larger indexes have larger blocks
+SMALLEST_BLOCK = 4  # parts
 K1, B = 1.2, 0.75
 GRAM = 3
 INDEX_BYTES = 32 << 20
+BOUND_CELLS = 1 << 22  # block maxima gathered at a time
 
 
 def words_of(text: str) -> list[str]:
@@ -68,6 +70,7 @@ class Index:
     terms: dict[str, int] = field(default_factory=dict)
     posting_parts: list[np.ndarray] = field(default_factory=list)
     posting_weights: list[np.ndarray] = field(default_factory=list)
+    posting_blocks: list[dict[int, tuple[list[int], list[float]]]] = field(default_factory=list)
     block_max: np.ndarray | None = None
     block_size: int = 1
     reach: int = 0
@@ -102,23 +105,27 @@ class Index:
             own[which] += weight
             index.posting_parts.append(which)
             index.posting_weights.append(weight)
-        index.block_size = max(1, -(-count // BLOCKS), min(8, count))
+        index.block_size = max(1, -(-count // BLOCKS), min(SMALLEST_BLOCK, count))
         blocks = -(-count // index.block_size) if count else 0
         index.block_max = np.zeros((len(index.terms) + 1, blocks), dtype=np.float32)  # the last row: no word
         for number, which in enumerate(index.posting_parts):
             index.posting_weights[number] = index.posting_weights[number] / own[which]
             np.maximum.at(index.block_max[number], which // index.block_size, index.posting_weights[number])
+            blocks_of: dict[int, tuple[list[int], list[float]]] = {}
+            for part, weight in zip(which.tolist(), index.posting_weights[number].tolist(), strict=True):
+                own_parts, own_weights = blocks_of.setdefault(part // index.block_size, ([], []))
+                own_parts.append(part)
+                own_weights.append(weight)
+            index.posting_blocks.append(blocks_of)
         return index
 
     def wand(self, terms: np.ndarray, block: int, threshold: float) -> list[int]:
         """The parts of a block whose score for the query terms reaches the threshold."""
-        low, high = block * self.block_size, (block + 1) * self.block_size
+        most = self.block_max[terms, block]
         lists = []
-        for t in terms:
-            if self.block_max[t, block] > 0:
-                which = self.posting_parts[t]
-                a, b = np.searchsorted(which, (low, high))
-                lists.append([which[a:b].tolist(), self.posting_weights[t][a:b].tolist(), 0, float(self.block_max[t, block])])
+        for t, bound in zip(terms[most > 0].tolist(), most[most > 0].tolist(), strict=True):
+            parts, weights = self.posting_blocks[t][block]
+            lists.append([parts, weights, 0, bound])
         found = []
         while lists:
             lists.sort(key=lambda x: x[0][x[2]])
@@ -155,32 +162,44 @@ def leaks_in(texts: list[str], index: Index, threshold: float, overlap: float) -
     out: list[dict[int, float]] = [{} for _ in texts]
     if not index.parts:
         return out
-    # Sums of block maxima over segments of each text; a window is two neighbouring segments.
+    # The known words of each window (two neighbouring segments), once each, and their block maxima.
     ids = [np.fromiter((look(w, none) for w in words), dtype=np.int64, count=len(words)) for words in tokens]
-    for n, (words, terms) in enumerate(zip(tokens, ids, strict=True)):
-        if not len(terms):
-            continue
-        known = np.nonzero(terms != none)[0]
-        segments = -(-len(terms) // SEGMENT)
-        sums = np.zeros((segments + 1, index.block_max.shape[1]), dtype=np.float32)
-        if not len(known):
-            continue
-        segment = known // SEGMENT
-        first = np.concatenate([[0], np.nonzero(np.diff(segment))[0] + 1])
-        sums[segment[first]] = np.add.reduceat(index.block_max[terms[known]], first, axis=0)
-        windows = sums[:-1] + sums[1:]
-        for window, block in zip(*np.nonzero(windows >= threshold - 1e-4), strict=True):
-            at = window * SEGMENT
-            query = np.unique(terms[at : at + 2 * SEGMENT])
-            query = query[query != none]
-            for part in index.wand(query, block, threshold):
+    windows = np.array([-(-len(t) // SEGMENT) for t in ids])
+    begins = np.cumsum(windows) - windows
+    keys = []
+    for begin, terms in zip(begins, ids, strict=True):
+        at = np.nonzero(terms != none)[0]
+        segment, word = begin + at // SEGMENT, terms[at]
+        keys.append(segment * (none + 1) + word)
+        after = segment > begin  # a window also holds the segment behind its own
+        keys.append((segment[after] - 1) * (none + 1) + word[after])
+    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    if not len(keys):
+        return out
+    window_of, words_in = np.divmod(keys, none + 1)
+    first = np.concatenate([[0], np.nonzero(np.diff(window_of))[0] + 1])
+    ends = np.append(first[1:], len(keys))
+    step = max(1, BOUND_CELLS // index.block_max.shape[1])
+    start = 0
+    while start < len(first):
+        # As many windows at a time as keep the gathered maxima within their bound.
+        stop = max(start + 1, int(np.searchsorted(ends, first[start] + step, side="right")))
+        base = first[start]
+        bounds = np.add.reduceat(index.block_max[words_in[base : ends[stop - 1]]], first[start:stop] - base, axis=0)
+        for row, block in zip(*np.nonzero(bounds >= threshold - 1e-4), strict=True):
+            window = start + row
+            query = words_in[first[window] : ends[window]]
+            n = int(np.searchsorted(begins + windows, window_of[first[window]], side="right"))
+            at = int(window_of[first[window]] - begins[n]) * SEGMENT
+            for part in index.wand(query, int(block), threshold):
                 item, question, answer = index.parts[part]
                 if item in out[n]:
                     continue
-                near = grams(words[max(0, at - index.reach) : at + 2 * SEGMENT + index.reach])
+                near = grams(tokens[n][max(0, at - index.reach) : at + 2 * SEGMENT + index.reach])
                 found = min(share(question, near), share(answer, near))
                 if found >= overlap:
                     out[n][item] = found
+        start = stop
     return out
 
 
