@@ -99,19 +99,36 @@ def fit_domains(
     return DomainModel(tuple(domains), log_share, log_prior, sharpness)
 
 
-def memberships(docs: DataFrame, model: DomainModel, text: str, carried: list[str]) -> DataFrame:
-    """The carried columns of each row with __tokens (words) and __posterior."""
+def memberships(
+    docs: DataFrame,
+    model: DomainModel,
+    text: str,
+    carried: list[str],
+    steps: tuple[list[np.ndarray], list[float]] | None = None,
+) -> DataFrame:
+    """The carried columns of each row with __tokens (words) and __posterior.
+
+    ``steps`` (gradients and momenta of a fit) adds __domain, the likeliest one, and __rate.
+    """
     schema = docs.select(*carried).schema.add("__tokens", "long").add("__posterior", T.ArrayType(T.DoubleType()))
+    if steps is not None:
+        schema = schema.add("__domain", "string").add("__rate", "double")
+    names = list(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                tokens = pa.array([len(t.split()) for t in texts], pa.int64())
-                posterior = pa.array(list(model.posteriors(texts)), pa.list_(pa.float64()))
-                columns = [*part.columns[:-1], tokens, posterior]
-                yield pa.record_batch(columns, names=[*part.schema.names[:-1], "__tokens", "__posterior"])
+                posterior = model.posteriors(texts)
+                new = {
+                    "__tokens": pa.array([len(t.split()) for t in texts], pa.int64()),
+                    "__posterior": pa.array(list(posterior), pa.list_(pa.float64())),
+                }
+                if steps is not None:
+                    best = [names[i] for i in posterior.argmax(axis=1)] if names else [None] * len(texts)
+                    new |= {"__domain": pa.array(best, pa.string()), "__rate": pa.array(rates_after(*steps, posterior)[0])}
+                yield pa.record_batch([*part.columns[:-1], *new.values()], names=[*part.schema.names[:-1], *new])
 
     return docs.select(*carried, whole_text(text).alias("__text")).mapInArrow(run, schema)
 
@@ -220,24 +237,10 @@ def mix(
         shares = np.array([max(0.0, float(targets.get(d, 0.0))) for d in model.domains])
         shares = shares / shares.sum() if shares.sum() else np.full(k, 1 / k)
         history, momenta, _ = fit_rates(narrow, shares * tokens)
-    names = list(model.domains)
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            posterior = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
-            rates, _ = rates_after(history, momenta, posterior)
-            best = [names[i] for i in posterior.argmax(axis=1)] if k else [None] * batch.num_rows
-            yield pa.record_batch(
-                [*batch.columns, pa.array(best, pa.string()), pa.array(rates)],
-                names=[*batch.schema.names, "__domain", "__rate"],
-            )
 
     draw = (F.shiftrightunsigned(F.xxhash64(ident, whole_text(text)), 11).cast("double") / float(1 << 53)).alias("__draw")
     drawn = docs.select(*docs.columns, draw)
-    columns = [*carried, "__draw"]
-    schema = drawn.select(*columns).schema
-    for name, kind in (("__tokens", T.LongType()), ("__posterior", T.ArrayType(T.DoubleType())), ("__domain", T.StringType()), ("__rate", T.DoubleType())):
-        schema = schema.add(name, kind)
-    rated = memberships(drawn, model, text, columns).mapInArrow(rate, schema)
+    rated = memberships(drawn, model, text, [*carried, "__draw"], (history, momenta))
     copies = F.floor(F.col("__rate") + F.col("__draw")).cast("int")
     return rated.withColumn("__copies", copies).drop("__draw")
 

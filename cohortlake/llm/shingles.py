@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 

@@ -13,6 +13,7 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from types import ModuleType
 
 import numpy as np
@@ -104,12 +105,17 @@ class WordCoder:
         bounds = np.concatenate([np.zeros(1, kind), ends])[pieces.offsets.to_numpy()]
         return ids, np.diff(bounds)
 
+    def trim(self) -> None:
+        """Keep what was learned first, which the common words are, and release the rest."""
+        for table in (self.known, self.pieces):
+            first = list(islice(table.items(), self.bound // 8))
+            table.clear()
+            table.update(first)
+
     def _coded(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece."""
-        for table, bound in ((self.known, self.bound), (self.pieces, self.bound // 2)):
-            if len(table) > bound:
-                table.clear()
-                table[""] = b""
+        if len(self.known) > self.bound or len(self.pieces) > self.bound // 2:
+            self.trim()
         known, seen = self.known, self.pieces
         coded = list(map(seen.get, pieces))
         new = [p for p, found in zip(pieces, coded, strict=True) if found is None]
@@ -181,6 +187,7 @@ def write_tokens(
                         yield flush()
         if numbers:
             yield flush()
+        coder.trim()
 
     ordered = docs.select(F.col(ident).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
