@@ -97,7 +97,7 @@ def find(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = jobs.validate_sequences(tabular.read_sequences(spark, a.input), a.sanitize, a.limit)
+    rows = jobs.validate_sequences(tabular.read_sequences(spark, a.input, a.limit > 0), a.sanitize, a.limit)
     writers.write_json(rows, a.out)
     rows.groupBy("ok").count().show()
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from cohortlake.plans import jobs
 from cohortlake.sources import tabular
 from cohortlake.sources.fasta import read_clean_fasta, read_fasta
 
@@ -124,3 +125,12 @@ def test_missing_predictions(spark, tmp_path):
     assert tabular.read_predictions(spark, str(tmp_path / "absent.csv")) is None
     path = write(tmp_path / "p.csv", "seq_id,prediction\na,1\n")
     assert tabular.read_predictions(spark, path).filter(F.col("prediction") == 1).count() == 1
+
+
+def test_limits_follow_the_file_order(spark, tmp_path):
+    fasta = write(tmp_path / "o.fa", ">z\nMK\n>a\nGV\n>m\nAC\n")
+    with_ids = write(tmp_path / "o.csv", "id,sequence\nz,MK\na,GV\nm,AC\n")
+    without = write(tmp_path / "p.csv", "sequence\n" + "MK\n" * 12)
+    for path, first in ((fasta, ["z", "a"]), (with_ids, ["z", "a"]), (without, ["seq_1", "seq_2"])):
+        rows = tabular.read_sequences(spark, path, ordered=True)
+        assert sorted(r["seq_id"] for r in jobs.validate_sequences(rows, limit=2).collect()) == sorted(first)
