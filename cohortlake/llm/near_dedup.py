@@ -2,8 +2,9 @@
 
 Equal shingle sets collapse to one node first, so groups of exact copies never meet again. The
 remaining nodes get a one-permutation signature with optimal densification and one bucket key per
-band. A bucket never emits its pairs: its best connected members are the centres of stars, and every
-star edge is confirmed on the full shingle sets before it links two nodes.
+band. The best connected members of a bucket are the centres of stars, and every star edge is confirmed
+on the full shingle sets before it links two nodes. The members of buckets that the stars leave in
+several components are joined exactly, by prefixes of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SIGNED_SCHEMA = "doc_id long, text_hash long, n_shingles long, node binary, band
 SETS_SCHEMA = "node binary, shingles array<long>"
 # Ranks of the star centres that each round adds to the buckets still open.
 ROUNDS = ((1, 1), (2, 4), (5, 16))
+CELLS = 1 << 18  # hashed shingle counts, which only order the shingles
+HOLDERS = 2000  # of one shingle, in one part of the exact join
 
 
 def _probes(tries: int = 1024) -> np.ndarray:
@@ -149,6 +152,96 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return edges.join(left, "a").join(right, "b").filter(common * 100 >= union * percent).select("a", "b")
 
 
+def still_open(members: DataFrame, component: DataFrame, tested: int) -> DataFrame:
+    """The members, with their component, of buckets of more than ``tested`` that span several components."""
+    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
+    )
+    still = split.filter((F.col("low") != F.col("high")) & (F.col("members") > tested)).select("key")
+    return placed.join(still, "key")
+
+
+def cells_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(node, component, size, shingle, position): the rarest shingles of each set of ``placed``.
+
+    In one order of all shingles, rare ones first, two sets at the similarity bound share one of the
+    first n - ceil(n * percent / 100) + 1. Counts are hashed into cells, equal ones go by value: any
+    order is exact, a good one is fast.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            sums += np.bincount(cells_of(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=CELLS)
+        at = np.nonzero(sums)[0]
+        yield pa.record_batch([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = []
+                for shingles in part.column(2):
+                    values = shingles.values.to_numpy().view(np.uint64)
+                    n = len(values)
+                    order = np.lexsort((values, counts[cells_of(values)]))
+                    found.append(values[order[: n + (-n * percent) // 100 + 1]])
+                lengths = [len(f) for f in found]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), lengths))
+                sizes = np.array([len(x.values) for x in part.column(2)], dtype=np.int64)
+                yield pa.record_batch(
+                    [
+                        part.column(0).take(rows),
+                        part.column(1).take(rows),
+                        pa.array(np.repeat(sizes, lengths)),
+                        pa.array(np.concatenate(found).view(np.int64)),
+                        pa.array(np.concatenate([np.arange(n) for n in lengths]).astype(np.int64)),
+                    ],
+                    names=["node", "component", "size", "shingle", "position"],
+                )
+
+    rows = placed.join(sets, "node").select("node", "component", "shingles")
+    return rows.mapInArrow(cut, "node binary, component binary, size long, shingle long, position long")
+
+
+def prefix_edges(rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of ``prefixes`` in two components that the bound does not exclude.
+
+    Of two components one is not the largest among a shingle's holders, so only members outside the
+    largest meet all holders; many holders are dealt to parts. Sizes and the places of the shingle
+    bound the intersection; the first shingle that a pair shares never excludes a true link.
+    """
+    shares = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = shares.groupBy("shingle").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("holders"), F.count(F.lit(1)).alias("components")
+    )
+    several = several.filter("components > 1").select(
+        "shingle", F.col("top.component").alias("largest"), F.ceil(F.col("holders") / HOLDERS).cast("int").alias("parts")
+    )
+    held = rare.join(several, "shingle")
+    left = held.filter("component != largest").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    left = left.select("shingle", "part", *[F.col(c).alias(f"{c}_") for c in ("node", "component", "size", "position")])
+    right = held.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    rest = F.least(F.col("size") - F.col("position"), F.col("size_") - F.col("position_"))
+    fits = rest * (100 + percent) >= (F.col("size") + F.col("size_")) * percent
+    once = (F.col("component") == F.col("largest")) | (F.col("node_") < F.col("node"))
+    return (
+        left.join(right, ["shingle", "part"])
+        .filter((F.col("component") != F.col("component_")) & once & fits)
+        .select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -173,7 +266,8 @@ def near_duplicates(
     A pair at the similarity bound shares no bucket with a probability of (1 - 0.8**4)**32, about
     5e-8. Buckets stay open while their members lie in several components: the first round tests
     one star, later rounds further centres against other components only, which tests every pair of
-    a bucket of up to 17 sets; larger buckets link through their 16 best connected sets.
+    a bucket of up to 17 sets. All members of larger buckets that are still open then meet in an
+    exact join, so every pair that shares a bucket is connected, tested or excluded by its bound.
     """
     base = scratch_table(signed(docs, width, text, ident), "signed")
     nodes = base.filter("node is not null").groupBy("node").agg(
@@ -190,17 +284,14 @@ def near_duplicates(
     sets = scratch_table(sets_of(docs, needed, width, text, ident), "sets")
     component = None
     for ranks in ROUNDS:
-        if component is None:
-            open_ = members.withColumn("component", F.col("node"))
-        else:
-            placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = placed.groupBy("key").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
-            )
-            still = split.filter((F.col("low") != F.col("high")) & (F.col("members") > ranks[0])).select("key")
-            open_ = placed.join(still, "key")
+        open_ = members.withColumn("component", F.col("node")) if component is None else still_open(members, component, ranks[0])
         links = confirmed(star_edges(open_, ranks), sets, percent)
         component = connect(links, component, "component")
+    left = still_open(members, component, ROUNDS[-1][1] + 1).select("node", "component").distinct()
+    left = scratch_table(left, "open")
+    if not left.isEmpty():
+        rare = scratch_table(prefixes(sets, left, percent), "prefixes")
+        component = connect(confirmed(prefix_edges(rare, percent), sets, percent), component, "component")
     ids = nodes.select("node", "doc_id").join(component, "node", "left")
     ids = ids.withColumn("component", F.coalesce("component", "node"))
     if survivors:

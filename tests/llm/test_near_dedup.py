@@ -79,6 +79,20 @@ def test_survivors(spark):
     assert ids == sorted(wanted + empties, key=str)
 
 
+def test_pairs_outside_the_centres_of_large_buckets(spark):
+    template = [f"t{k}" for k in range(137)]
+    # Close copies of the template, a little below 0.8 to all others, are the best connected sets.
+    rows = [(1000 + n, " ".join(template + [f"c{k}" for k in range(16)] + [f"n{n}"])) for n in range(60)]
+    for pair in range(100):
+        shared = [*template, f"p{pair}"]
+        for twin in (2 * pair, 2 * pair + 1):
+            rows.append((twin, " ".join(shared + [f"o{twin}_{k}" for k in range(17)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_duplicates(df, width=1).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows, 1)
+    assert {r.component_id for r in found} == {1000, *range(0, 200, 2)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == [] and near_duplicates(df, survivors=True).collect() == []
