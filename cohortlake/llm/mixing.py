@@ -1,14 +1,15 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier learned from a labelled table gives each document a posterior over domains. Nonnegative
-document rates are then fitted by projected gradient steps, so that the expected tokens of each
-domain, sum of rate * tokens * posterior, match the targets. A step is one distributed sum of as many
-numbers as there are domains; a document's rate follows from the history of those sums, so no state
-is kept per document.
+document rates are then fitted, so that the expected tokens of each domain, sum of rate * tokens *
+posterior, match the targets. A rate is max(0, 1 - posterior @ multipliers), with one multiplier per
+domain found by Newton steps: each is one distributed sum of the domains' tokens and their curvature,
+so rare domains move as fast as large ones and no state is kept per document.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -147,62 +148,70 @@ def rates_after(history: list[np.ndarray], momenta: list[float], posterior: np.n
 def fit_rates(
     weighted: DataFrame, targets: np.ndarray, steps: int = 60, tolerance: float = 1e-4
 ) -> tuple[list[np.ndarray], list[float], np.ndarray]:
-    """Gradients and momenta of the fit, and the expected tokens per domain, for (__tokens, __posterior) rows.
-
-    Minimises the squared distance of expected domain tokens from ``targets`` over rates of zero or
-    more, from rates of one, by projected gradient steps with momentum. Steps are scaled by tokens,
-    so documents with equal posteriors get equal rates. It ends when no domain is off by more than
-    ``tolerance`` of all tokens, when nothing moves any more, or after ``steps``.
+    """One gradient (the multipliers) without momentum, and the expected tokens per domain, for
+    (__tokens, __posterior) rows.
+
+    Rates of zero or more, close to one, whose expected domain tokens are within ``tolerance`` of all
+    tokens from ``targets``. A ridge on the multipliers is lowered until they are.
+    Targets that no rates reach get the rates at which a 100 times lower ridge brings the squared
+    distance down by less than ``tolerance``; the totals returned show the miss. Raises if ``steps``
+    passes end before either.
     """
     k = len(targets)
+    width = 1 + k + k * k
 
-    def total(history: list[np.ndarray], momenta: list[float], at_rate: bool) -> np.ndarray:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k)
-            for batch in batches:
-                posterior = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                rate, ahead = rates_after(history, momenta, posterior)
-                sums += (batch.column(0).to_numpy() * (rate if at_rate else ahead)) @ posterior
-            yield pa.record_batch([pa.array([i]) for i in sums], names=[f"s{i}" for i in range(k)])
-
-        rows = weighted.select("__tokens", "__posterior").mapInArrow(add, ", ".join(f"s{i} double" for i in range(k)))
-        found = rows.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-        return np.array([found[i] or 0.0 for i in range(k)])
+    def sums(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(half the squared rates, expected tokens, curvature) at each point, in one pass."""
 
-    def curvature() -> float:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((k, k))
+            found = np.zeros((len(points), width))
             for batch in batches:
                 posterior = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                sums += (posterior * batch.column(0).to_numpy()[:, None]).T @ posterior
-            yield pa.record_batch([pa.array([x]) for x in sums.reshape(-1)], names=[f"s{i}" for i in range(k * k)])
-
-        rows = weighted.select("__tokens", "__posterior").mapInArrow(add, ", ".join(f"s{i} double" for i in range(k * k)))
-        found = rows.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k * k)]).first()
-        return float(np.linalg.eigvalsh(np.array([x or 0.0 for x in found]).reshape(k, k))[-1])
+                tokens = batch.column(0).to_numpy()
+                for row, point in zip(found, points, strict=True):
+                    rate = np.maximum(0.0, 1 - posterior @ point)
+                    row[0] += (tokens * rate * rate).sum() / 2
+                    row[1 : k + 1] += (tokens * rate) @ posterior
+                    row[k + 1 :] += ((posterior * (tokens * (rate > 0))[:, None]).T @ posterior).reshape(-1)
+            yield pa.record_batch(
+                [pa.array(np.arange(found.size)), pa.array(found.reshape(-1))], names=["place", "value"]
+            )
+
+        rows = weighted.select("__tokens", "__posterior").mapInArrow(add, "place long, value double")
+        total = np.zeros(len(points) * width)
+        for r in rows.groupBy("place").agg(F.sum("value").alias("value")).collect():
+            total[r.place] = r.value
+        return [(x[0], x[1 : k + 1], x[k + 1 :].reshape(k, k)) for x in total.reshape(-1, width)]
 
-    history: list[np.ndarray] = []
-    momenta: list[float] = []
     everything = float(targets.sum())
-    if not everything or not (step := curvature()):
-        return history, momenta, np.zeros(k)
-    t = 1.0
+    point = np.zeros(k)
+    if not everything:
+        return [], [], np.zeros(k)
+    _, expected, curve = sums([point])[0]
+    if not curve.any():
+        return [], [], np.zeros(k)
+    start, ridge, before = np.diag(np.diag(curve)), 1e-4 * everything, np.inf
     for _ in range(steps):
-        expected = total(history, momenta, at_rate=False)
-        off = expected - targets
-        if np.abs(off).max() <= tolerance * everything:
-            # The point ahead need not be a rate; the rates themselves have to fit.
-            if np.abs(total(history, momenta, at_rate=True) - targets).max() <= tolerance * everything:
-                break
-        if history and off @ history[-1] < 0:
-            t = 1.0  # the gradient turned: begin the momentum anew
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        history.append(off / step)
-        momenta.append((t - 1) / after)
-        t = after
-        if np.abs(history[-1]).max() < 1e-12:
-            break
-    return history, momenta, total(history, momenta, at_rate=True)
+        miss = np.abs(expected - targets).max()
+        slope = targets - expected + ridge * point
+        if miss <= tolerance * everything:
+            return [point], [0.0], expected
+        if np.abs(slope).max() <= tolerance * everything / 10:
+            distance = float(np.linalg.norm(expected - targets))
+            if before - distance <= tolerance * everything:
+                return [point], [0.0], expected
+            before, ridge = distance, ridge / 100
+            slope = targets - expected + ridge * point
+        tries = []
+        for damping in (0.0, 1e-3, 0.1, 10.0):
+            move = np.linalg.solve(curve + damping * start + ridge * np.eye(k), slope)
+            tries += [point - move * part for part in ((1.0, 0.5, 0.25, 0.06) if not damping else (1.0,))]
+        found = sums(tries)
+        value = [h + targets @ at + ridge * (at @ at) / 2 for at, (h, _, _) in zip(tries, found, strict=True)]
+        near = [np.abs(e - targets).max() <= tolerance * everything for _, e, _ in found]
+        best = near.index(True) if any(near) else int(np.argmin(value))
+        point, (_, expected, curve) = tries[best], found[best]
+    raise RuntimeError(f"rates did not settle in {steps} steps: {expected.tolist()} tokens for {targets.tolist()}")
 
 
 def mix(
@@ -225,6 +234,7 @@ def mix(
 
     The result has the identifier, or the columns ``keep``, then __domain, __posterior, __tokens,
     __rate and __copies. Null and empty texts have no tokens and the posterior of the priors.
+    Targets that no rates reach give a warning with the shares reached.
     Without labelled rows, or without tokens, every rate is one. An empty table gives no rows.
     """
     carried = keep or [ident]
@@ -236,7 +246,10 @@ def mix(
         tokens = narrow.agg(F.sum("__tokens").alias("n")).first()["n"] or 0
         shares = np.array([max(0.0, float(targets.get(d, 0.0))) for d in model.domains])
         shares = shares / shares.sum() if shares.sum() else np.full(k, 1 / k)
-        history, momenta, _ = fit_rates(narrow, shares * tokens)
+        history, momenta, reached = fit_rates(narrow, shares * tokens)
+        if tokens and np.abs(reached - shares * tokens).max() > 1e-4 * tokens:
+            got = {d: round(float(n / tokens), 4) for d, n in zip(model.domains, reached, strict=True)}
+            warnings.warn(f"no rates reach the targets {dict(targets)}; the nearest shares are {got}", stacklevel=2)
 
     draw = (F.shiftrightunsigned(F.xxhash64(ident, whole_text(text)), 11).cast("double") / float(1 << 53)).alias("__draw")
     drawn = docs.select(*docs.columns, draw)

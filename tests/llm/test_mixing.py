@@ -53,6 +53,14 @@ def test_steps_match_a_plain_solver(spark):
     assert np.abs((tokens * plain) @ posterior - targets).max() < 1e-3 * tokens.sum()
 
 
+def test_rare_domains_reach_their_targets(spark):
+    targets = np.array([0.4, 0.2, 0.2, 0.2]) * 1e6
+    for shares in ([0.9, 0.07, 0.025, 0.005], [0.95, 0.04, 0.009, 0.001]):
+        rows = [(round(s * 1e6), np.eye(4)[i].tolist()) for i, s in enumerate(shares)]
+        df = spark.createDataFrame(rows, "__tokens long, __posterior array<double>")
+        assert np.allclose(fit_rates(df, targets)[2], targets, atol=100)
+
+
 def test_unreachable_and_missing_domains(spark):
     _, docs, labels = tables(spark)
     found = mix(docs, labels, {"a": 0.5, "nowhere": 0.5}).toPandas()
