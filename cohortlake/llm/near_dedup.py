@@ -99,7 +99,7 @@ def signed(docs: DataFrame, width: int, text: str, ident: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, width: int, text: str, ident: str) -> DataFrame:
-    """(node, shingles) of the documents that ``needed`` (doc_id, node) names."""
+    """(node, shingles) of the documents that ``needed`` (doc_id, text_hash, node) names; doc_id may be null."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -109,15 +109,19 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int, text: str, ident: st
                 nodes, sets = [], []
                 for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     shingles = shingle_set(hashes.of(words_of(text)), width)
-                    if node_of(shingles) == node:  # else another row with the same identifier
+                    if node_of(shingles) == node:  # else another text with the same hash
                         nodes.append(node)
                         sets.append(shingles.view(np.int64))
                 yield pa.record_batch(
                     [pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
                 )
 
-    body = docs.select(F.col(ident).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
-    return body.join(needed, "doc_id").select("node", "text").mapInArrow(expand, SETS_SCHEMA).dropDuplicates(["node"])
+    whole = whole_text(text)
+    body = docs.select(
+        F.col(ident).cast("long").alias("number"), F.xxhash64(whole).alias("digest"), whole.cast("binary").alias("text")
+    )
+    same = F.col("number").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_hash"))
+    return body.join(needed, same).select("node", "text").mapInArrow(expand, SETS_SCHEMA).dropDuplicates(["node"])
 
 
 def star_edges(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
@@ -270,17 +274,19 @@ def near_duplicates(
     exact join, so every pair that shares a bucket is connected, tested or excluded by its bound.
     """
     base = scratch_table(signed(docs, width, text, ident), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = base.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+        first, F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
-    keyed = nodes.select("node", "doc_id", "n_shingles", F.explode("bands").alias("key"))
+    nodes = nodes.select("node", "first.doc_id", "first.text_hash", "n_shingles", "bands")
+    keyed = nodes.select("node", "doc_id", "text_hash", "n_shingles", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = keyed.join(sizes, "key")
     degrees = shared.groupBy("node").agg(F.sum("members").alias("degree"))
     members = scratch_table(
         shared.drop("members").join(degrees, "node").withColumn("percent", F.lit(percent)), "buckets"
     )
-    needed = members.groupBy("doc_id", "node").agg(F.lit(1).alias("one")).drop("one")
+    needed = members.groupBy("doc_id", "text_hash", "node").agg(F.lit(1).alias("one")).drop("one")
     sets = scratch_table(sets_of(docs, needed, width, text, ident), "sets")
     component = None
     for ranks in ROUNDS:

@@ -93,6 +93,16 @@ def test_pairs_outside_the_centres_of_large_buckets(spark):
     assert {r.component_id for r in found} == {1000, *range(0, 200, 2)}
 
 
+def test_near_copy_without_identifier(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(7, " ".join(words)), (None, " ".join([*words, "more"])), (None, "another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(df, width=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows, 2)
+    kept = near_duplicates(df, width=2, survivors=True).collect()
+    assert sorted(r.text for r in kept) == sorted([rows[0][1], rows[2][1]])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == [] and near_duplicates(df, survivors=True).collect() == []
