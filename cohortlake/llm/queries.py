@@ -12,6 +12,7 @@ from cohortlake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from cohortlake.llm.token_store import op5_token_store
 from cohortlake.llm.toxicity import op1_toxicity
 from cohortlake.llm.vector_search import OP3_SQL, op3_vector_search
+from cohortlake.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
+    "op13_whitening": op13_whitening,
 }
 ORACLE = {"op2_line_dedup": OP2_SQL, "op3_vector_search": OP3_SQL, "op6_secret_scan": OP6_SQL}
