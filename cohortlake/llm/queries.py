@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortlake.llm.collocations import OP12_SQL, op12_collocations
 from cohortlake.llm.decontamination import op7_decontamination
+from cohortlake.llm.html_extraction import OP11_SQL, op11_html_extraction
 from cohortlake.llm.language import op10_language
 from cohortlake.llm.line_dedup import OP2_SQL, op2_line_dedup
 from cohortlake.llm.mixing import op4_mixing
@@ -26,7 +27,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
+    "op11_html_extraction": op11_html_extraction,
     "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
-ORACLE = {"op2_line_dedup": OP2_SQL, "op3_vector_search": OP3_SQL, "op6_secret_scan": OP6_SQL, "op12_collocations": OP12_SQL}
+ORACLE = {
+    "op2_line_dedup": OP2_SQL,
+    "op3_vector_search": OP3_SQL,
+    "op6_secret_scan": OP6_SQL,
+    "op11_html_extraction": OP11_SQL,
+    "op12_collocations": OP12_SQL,
+}
