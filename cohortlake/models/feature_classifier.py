@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.models.linear import Bundle, in_parallel, label_at, training_rows, weighted_rows
+from cohortlake.models.linear import Bundle, in_parallel, index_of, label_at, weighted_rows
+from cohortlake.models.output import LinearModel, index_of_greatest
+from cohortlake.models.stacked import Design, GroupMoments, fit_stacked, group_moments, stacked_rows
 from cohortlake.operators.features import compositional, select_informative, vector_to_long
 from cohortlake.operators.labels import sorted_labels
-from cohortlake.operators.projection import Scaling, fit_scaling, log_ratio_column
+from cohortlake.operators.projection import Scaling, log_ratio_column
 from cohortlake.operators.splits import fold_count, with_group_fold
 from cohortlake.session import checkpoint
 
@@ -42,7 +43,7 @@ class FittedClassifier:
     features: list[str]
     selected: list[str]
     scaling: Scaling
-    model: LogisticRegressionModel
+    model: LinearModel
 
     def bundle(self, s: Settings) -> Bundle:
         settings = {
@@ -72,26 +73,41 @@ class FittedClassifier:
         return spark.createDataFrame(rows, "label string, feature string, weight double")
 
 
-def fit(df: DataFrame, features: Sequence[str], labels: Sequence, s: Settings) -> FittedClassifier:
-    """Fit on ``(label, features)`` rows: scale, optionally select by information, regress."""
+def informative(df: DataFrame, features: Sequence[str], s: Settings) -> list[int]:
+    """Positions of the features to fit on: all, or the ``feature_k`` most informative ones of these rows."""
     keep = list(range(len(features)))
     if s.feature_k and 0 < s.feature_k < len(features):
         long = vector_to_long(df, "features", ["label"]).withColumnRenamed("position", "feature")
         keep = select_informative(long, "label", keep, s.feature_k)
-    scaling = fit_scaling(df, "features", keep)
-    rows = weighted_rows(df, "label", labels, scaling.column(F.col("features")), s.balanced)
-    with training_rows(rows, len(keep)) as (data, total):
-        model = LogisticRegression(
-            featuresCol="__x",
-            labelCol="__y",
-            weightCol="__w",
-            family="multinomial" if len(labels) > 2 else "binomial",
-            regParam=1.0 / (s.C * total),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=s.max_iter,
-        ).fit(data)
-    return FittedClassifier(list(labels), list(features), [features[i] for i in keep], scaling, model)
+    return keep
+
+
+def fit_folds(df: DataFrame, features: Sequence[str], labels: Sequence, unseen: Sequence[int | None], s: Settings) -> list[FittedClassifier]:
+    """One classifier per entry of ``unseen``, fitted without the rows of that fold (None: on all rows).
+
+    ``df`` has ``(label, features, fold)``. Scaling, class weights and feature choice see the rows of
+    the fit only. All fits advance together, so their number does not change the number of jobs.
+    """
+    rows = df.select(*stacked_rows(F.col("fold"), index_of("label", labels), F.col("features")))
+    folds = max([f for f in unseen if f is not None], default=0) + 1
+    moments: GroupMoments = group_moments(rows, folds, len(labels))
+    seen = [df if f is None else df.filter(F.col("fold") != f) for f in unseen]
+    kept = in_parallel(lambda part: informative(part, features, s), seen)
+    designs: list[Design] = [moments.design(f, s.balanced, s.C, keep) for f, keep in zip(unseen, kept, strict=True)]
+    models = fit_stacked(rows, designs, len(labels), s.max_iter)
+    out = []
+    for design, keep, model in zip(designs, kept, models, strict=True):
+        own = LinearModel(np.array(model.weights)[:, keep].tolist(), model.intercepts, model.link)
+        # Features of no spread keep the factor 1, as ``Scaling`` reads a zero deviation.
+        stds = np.where(design.inverse == 0, 0.0, 1.0 / np.where(design.inverse == 0, 1.0, design.inverse))
+        scaling = Scaling(design.means.tolist(), stds.tolist(), list(keep))
+        out.append(FittedClassifier(list(labels), list(features), [features[i] for i in keep], scaling, own))
+    return out
+
+
+def fit(df: DataFrame, features: Sequence[str], labels: Sequence, s: Settings) -> FittedClassifier:
+    """Fit on ``(label, features)`` rows: scale, optionally select by information, regress."""
+    return fit_folds(df.withColumn("fold", F.lit(0)), features, labels, [None], s)[0]
 
 
 def objective_gradient(fitted: FittedClassifier, df: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -101,8 +117,8 @@ def objective_gradient(fitted: FittedClassifier, df: DataFrame, s: Settings = Se
     which carry no penalty, are listed under the feature name ``intercept``.
     """
     rows = weighted_rows(df, "label", fitted.labels, fitted.scaling.column(F.col("features")), s.balanced)
-    scored = fitted.model.transform(rows).select(
-        "__w", "__y", F.concat(vector_to_array("__x"), F.array(F.lit(1.0))).alias("x"), vector_to_array("probability").alias("p")
+    scored = rows.select("__w", "__y", vector_to_array("__x").alias("x")).select(
+        "__w", "__y", F.concat("x", F.array(F.lit(1.0))).alias("x"), fitted.model.outputs(F.col("x")).alias("p")
     )
     residuals = scored.select("__w", "x", F.posexplode(F.transform("p", lambda p, c: p - (c == F.col("__y")).cast("double"))).alias("c", "r"))
     cells = residuals.select("__w", "c", "r", F.posexplode("x").alias("j", "v"))
@@ -128,8 +144,9 @@ def score(fitted: FittedClassifier, df: DataFrame) -> DataFrame:
 
     A class the model never saw has probability 0.
     """
-    rows = weighted_rows(df, "label", fitted.labels, fitted.scaling.column(F.col("features")), False, ["sample_id", "fold"])
-    scored = fitted.model.transform(rows).withColumn("__pr", vector_to_array("probability"))
+    point = fitted.scaling.column(F.col("features"))
+    rows = df.select("sample_id", "fold", "label", index_of("label", fitted.labels).alias("__y"), fitted.model.outputs(point).alias("__pr"))
+    scored = rows.withColumn("prediction", index_of_greatest(F.col("__pr")))
     chances = [
         F.coalesce(F.get(F.col("__pr"), F.lit(i)), F.lit(0.0)).alias(f"proba_{label}")
         for i, label in enumerate(fitted.labels)
@@ -145,6 +162,24 @@ def score(fitted: FittedClassifier, df: DataFrame) -> DataFrame:
     )
 
 
+def score_by_fold(fitted: Sequence[FittedClassifier], df: DataFrame) -> DataFrame:
+    """``score`` of every row by the classifier of its own fold; one pass for all folds."""
+    labels = fitted[0].labels
+    chances = [m.model.outputs(m.scaling.column(F.col("features"))) for m in fitted]
+    own = F.coalesce(*[F.when(F.col("fold") == i, c) for i, c in enumerate(chances)])
+    rows = df.select("sample_id", "fold", "label", "features", index_of("label", labels).cast("int").alias("label_index"))
+    scored = rows.withColumn("__pr", own).withColumn("prediction_index", index_of_greatest(F.col("__pr")))
+    return scored.select(
+        "sample_id",
+        "fold",
+        "label_index",
+        "label",
+        "prediction_index",
+        label_at(F.col("prediction_index"), labels).alias("prediction"),
+        *[F.coalesce(F.get("__pr", F.lit(i)), F.lit(0.0)).alias(f"proba_{label}") for i, label in enumerate(labels)],
+    )
+
+
 def prepared(df: DataFrame, features: Sequence[str], s: Settings) -> DataFrame:
     """Log-ratio transform the compositional positions of the feature vector."""
     chosen = set(compositional(features))
@@ -155,8 +190,8 @@ def prepared(df: DataFrame, features: Sequence[str], s: Settings) -> DataFrame:
 def cross_validate(df: DataFrame, features: Sequence[str], s: Settings = Settings()) -> tuple[DataFrame, int]:
     """Out-of-fold predictions of ``(sample_id, label, group_id, features)`` rows, and the fold count.
 
-    Each fold fits its scaling, selection and weights on the other folds only. The loop runs over
-    folds, not rows; the prepared rows are stored once and read by every fold.
+    Each fold fits its scaling, selection and weights on the other folds only. The prepared rows are
+    stored once; all folds are fitted in the same jobs and scored in one pass.
     """
     rows = prepared(df, features, s)
     labels = sorted_labels(rows, "label")
@@ -165,12 +200,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], s: Settings = Setting
     folds = int(fold_count(rows, "label", "group_id", s.cv_splits).first()["folds"])
     rows = checkpoint(with_group_fold(rows, "label", "group_id", folds, s.seed).select("sample_id", "label", "features", "fold"))
 
-    def out_of_fold(fold: int) -> DataFrame:
-        fitted = fit(rows.filter(F.col("fold") != fold), features, labels, s)
-        return score(fitted, rows.filter(F.col("fold") == fold))
-
-    predictions = reduce(DataFrame.unionByName, in_parallel(out_of_fold, range(folds)))
-    return predictions, folds
+    fitted = fit_folds(rows, features, labels, list(range(folds)), s)
+    return score_by_fold(fitted, rows), folds
 
 
 def fit_all(df: DataFrame, features: Sequence[str], s: Settings = Settings()) -> FittedClassifier:

@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.models.linear import Bundle, fit_svm, in_parallel, predict, weighted_rows
+from cohortlake.models.dual import Machine, fit_machines, keyed
+from cohortlake.models.linear import Bundle, label_at, predict, weighted_rows
+from cohortlake.models.output import LinearModel, index_of_greatest
 from cohortlake.operators.kernels import (
     MOST_REFERENCES,
     Kernel,
@@ -96,17 +98,54 @@ class FittedKernel:
         return predict(self.model, df, column, self.labels)
 
 
+def fit_kernel_svms(
+    df: DataFrame, ident: str, label: str, vector: str, choices: Sequence[tuple[Kernel, bool]], labels: Sequence, s: Settings
+) -> list[FittedKernel]:
+    """One machine set per (kernel, centred) choice, all fitted in the same rounds on one landmark sample.
+
+    The kernel features of all choices lie side by side in each row, filled up with zeros to the
+    widest; the landmarks are all rows when the classes are small.
+    """
+    chosen = sample_per_class(df, label, ident, s.landmarks_per_class, s.seed)
+    refs = reference_set(chosen, ident, vector, max(MOST_REFERENCES, s.landmarks_per_class * len(labels)))
+    features = [KernelFeatures.fit(refs.matrix, kernel, centred) for kernel, centred in choices]
+    width = max(f.basis.shape[1] for f in features)
+    columns = []
+    for (kernel, _), f in zip(choices, features, strict=True):
+        own = kernel_features_column(df, F.col(vector), f, kernel)
+        columns.append(F.concat(own, F.array_repeat(F.lit(0.0), width - f.basis.shape[1])))
+    rows = keyed(weighted_rows(df, label, labels, F.concat(*columns), s.balanced, [ident]), F.col(ident))
+    targets = [1] if len(labels) == 2 else list(range(len(labels)))
+    machines = [Machine(k, i, s.C) for i in range(len(choices)) for k in targets]
+    found = fit_machines(rows, machines, width, len(choices), max_rounds=s.max_iter)
+    out = []
+    for i, ((kernel, _), f) in enumerate(zip(choices, features, strict=True)):
+        model = found.model(range(i * len(targets), (i + 1) * len(targets)))
+        cut = LinearModel([w[: f.basis.shape[1]] for w in model.weights], model.intercepts, model.link)
+        out.append(FittedKernel(list(labels), f, kernel, cut, len(refs.ids)))
+    return out
+
+
 def fit_kernel_svm(
     df: DataFrame, ident: str, label: str, vector: str, kernel: Kernel, labels: Sequence, s: Settings, centred: bool
 ) -> FittedKernel:
     """Fit on all rows of ``df`` with landmarks drawn from it (all rows when the classes are small)."""
-    chosen = sample_per_class(df, label, ident, s.landmarks_per_class, s.seed)
-    refs = reference_set(chosen, ident, vector, max(MOST_REFERENCES, s.landmarks_per_class * len(labels)))
-    features = KernelFeatures.fit(refs.matrix, kernel, centred)
-    column = kernel_features_column(df, F.col(vector), features, kernel)
-    rows = weighted_rows(df, label, labels, column, s.balanced)
-    model = fit_svm(rows, len(labels), features.basis.shape[1], s.C, s.max_iter)
-    return FittedKernel(list(labels), features, kernel, model, len(refs.ids))
+    return fit_kernel_svms(df, ident, label, vector, [(kernel, centred)], labels, s)[0]
+
+
+def judged(fitted: Sequence[FittedKernel], df: DataFrame, label: str, vector: str) -> list[float]:
+    """Macro F1 of every model on the same rows, scored in one pass."""
+    outputs = [
+        m.model.outputs(kernel_features_column(df, F.col(vector), m.features, m.kernel)).alias(f"o{i}") for i, m in enumerate(fitted)
+    ]
+    wide = df.select(F.col(label).alias("label"), *outputs)
+    cases = [
+        F.struct(F.lit(i).alias("model"), label_at(index_of_greatest(F.col(f"o{i}")), m.labels).alias("prediction")) for i, m in enumerate(fitted)
+    ]
+    rows = wide.select("label", F.inline(F.array(*cases)))
+    scores = summary_scores(class_scores(rows, "label", "prediction", ["model"]), ["model"])
+    found = {r["model"]: r["f1_macro"] for r in scores.collect()}
+    return [found[i] for i in range(len(fitted))]
 
 
 def evaluate(fitted: FittedKernel, df: DataFrame, label: str, vector: str) -> dict:
@@ -196,11 +235,8 @@ def _choose(
     inner = checkpoint(stratified_split(training, label, ident, 0.25, s.seed + 1))
     fit_part, judge_part = (inner.filter(F.col("part") == p) for p in ("train", "test"))
 
-    def judge(candidate: Candidate) -> float:
-        fitted = fit_kernel_svm(fit_part, ident, label, "x", candidate.function(gamma), labels, s, candidate.centred)
-        return evaluate(fitted, judge_part, label, "x")["f1_macro"]
-
-    results = in_parallel(judge, usable)
+    fitted = fit_kernel_svms(fit_part, ident, label, "x", [(c.function(gamma), c.centred) for c in usable], labels, s)
+    results = judged(fitted, judge_part, label, "x")
     ranked = [(-r, i) for i, r in enumerate(results)]
     return usable[min(ranked)[1]], results, failures
 
@@ -230,10 +266,10 @@ def train(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Sett
     test = reduced.filter("part = 'test'").drop("part")
 
     gamma = scale_gamma(vector_moments(training, "x"))
-    baseline = fit_kernel_svm(training, ident, label, "x", rbf(gamma), labels, s, centred=False)
+    winner, validated, failures = _choose(training, ident, label, labels, gamma, s)
+    both = [(rbf(gamma), False), (winner.function(gamma), winner.centred)]
+    baseline, chosen = fit_kernel_svms(training, ident, label, "x", both, labels, s)
     baseline_scores = evaluate(baseline, test, label, "x")
-    winner, judged, failures = _choose(training, ident, label, labels, gamma, s)
-    chosen = fit_kernel_svm(training, ident, label, "x", winner.function(gamma), labels, s, winner.centred)
     predictions = chosen.predict(test, "x").select(F.col(ident).alias("sample_id"), label, "prediction")
     kernel_scores = evaluate(chosen, test, label, "x")
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
@@ -247,7 +283,7 @@ def train(df: DataFrame, ident: str, label: str, vector: str, s: Settings = Sett
         "accuracy_delta": kernel_scores["accuracy"] - baseline_scores["accuracy"],
         "best_params": vars(winner),
         "candidates_tested": len(s.candidates()),
-        "validation_f1_macro": [r for r in judged if r is not None],
+        "validation_f1_macro": [r for r in validated if r is not None],
         "candidates_failed": failures,
         "landmark_count": chosen.landmark_count,
     }

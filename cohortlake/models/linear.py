@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegressionModel, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, OneVsRestModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.vector import as_double
+from cohortlake.models.dual import Machine, fit_machines, keyed
+from cohortlake.models.output import LinearModel, index_of_greatest, training_rows
 from cohortlake.operators.labels import class_weights, weight_column
 from cohortlake.sinks.writers import write_text
 
-# Feature bytes one training partition should hold at least.
-_PARTITION_BYTES = 32 << 20
+__all__ = ["Bundle", "LinearModel", "fit_svm", "in_parallel", "index_of", "label_at", "predict", "training_rows", "weighted_rows"]
 
 
 def index_of(label: str, labels: Sequence) -> Column:
@@ -47,48 +47,14 @@ def weighted_rows(
     )
 
 
-@contextmanager
-def training_rows(rows: DataFrame, width: int) -> Iterator[tuple[DataFrame, float]]:
-    """Cached rows in as few partitions as their size needs, and their total weight.
+def fit_svm(rows: DataFrame, classes: int, width: int, C: float = 1.0, max_iter: int = 100) -> LinearModel:
+    """Soft-margin linear SVM with penalty ``C``; one machine per class when there are more than two.
 
-    An iterative fit runs one job per step, so its cost on little data is the number of tasks. The
-    rows are computed once in parallel; only their cached copy is read with fewer tasks. Data larger
-    than one partition's share keeps its partitions.
+    ``C`` multiplies the summed weighted loss. All machines are fitted together, see ``dual``;
+    ``max_iter`` bounds the rounds.
     """
-    cached = rows.persist()
-    try:
-        facts = cached.agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n")).first()
-        if not facts["n"]:
-            raise ValueError("no rows to train on")
-        parts = -(-facts["n"] * max(width, 1) * 8 // _PARTITION_BYTES)
-        yield cached.coalesce(max(1, parts)), facts["w"]
-    finally:
-        cached.unpersist()
-
-
-def fit_svm(
-    rows: DataFrame, classes: int, width: int, C: float = 1.0, max_iter: int = 100
-) -> LinearSVCModel | OneVsRestModel:
-    """Soft-margin linear SVM with penalty ``C``; one model per class when there are more than two.
-
-    ``C`` multiplies the summed weighted loss, so the strength per unit of weight is
-    ``1 / (C * total weight)``.
-    """
-    with training_rows(rows, width) as (data, total):
-        svm = LinearSVC(
-            featuresCol="__x",
-            labelCol="__y",
-            weightCol="__w",
-            regParam=1.0 / (C * total),
-            maxIter=max_iter,
-            standardization=False,
-        )
-        if classes == 2:
-            return svm.fit(data)
-        several = OneVsRest(
-            classifier=svm, featuresCol="__x", labelCol="__y", weightCol="__w", parallelism=min(classes, 8)
-        )
-        return several.fit(data)
+    machines = [Machine(1, C=C)] if classes == 2 else [Machine(k, C=C) for k in range(classes)]
+    return fit_machines(keyed(rows), machines, width, max_rounds=max_iter).model()
 
 
 def in_parallel(task: Callable, items: Sequence, workers: int = 4) -> list:
@@ -98,8 +64,11 @@ def in_parallel(task: Callable, items: Sequence, workers: int = 4) -> list:
 
 
 def predict(
-    model: LinearSVCModel | OneVsRestModel, df: DataFrame, vector: Column, labels: Sequence, out: str = "prediction"
+    model: LinearModel | LinearSVCModel | OneVsRestModel, df: DataFrame, vector: Column, labels: Sequence, out: str = "prediction"
 ) -> DataFrame:
+    if isinstance(model, LinearModel):
+        scored = df.withColumn("__o", model.outputs(vector))
+        return scored.withColumn("__p", label_at(index_of_greatest(F.col("__o")), labels)).select(*df.columns, F.col("__p").alias(out))
     scored = model.transform(df.withColumn("__x", array_to_vector(as_double(vector))))
     model_out = model.getPredictionCol()
     return scored.withColumn("__p", label_at(F.col(model_out), labels)).select(*df.columns, F.col("__p").alias(out))
@@ -109,12 +78,15 @@ def predict(
 class Bundle:
     """A stored model: the fitted classifier, its settings and optional parameter tables."""
 
-    model: LinearSVCModel | OneVsRestModel | LogisticRegressionModel
+    model: LinearModel | LinearSVCModel | OneVsRestModel | LogisticRegressionModel
     settings: dict
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, LinearModel):
+            self.model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         settings = {**self.settings, "tables": sorted(self.tables), "kind": type(self.model).__name__}
         write_text(spark, json.dumps(settings), f"{path}/settings")
         for name, table in self.tables.items():
@@ -126,6 +98,8 @@ class Bundle:
         missing = set(required) - set(settings) - set(settings["tables"])
         if missing:
             raise ValueError(f"the stored model lacks {sorted(missing)}")
-        readers = {r.__name__: r for r in (LinearSVCModel, OneVsRestModel, LogisticRegressionModel)}
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in settings["tables"]}
+        if settings["kind"] == LinearModel.__name__:
+            return Bundle(LinearModel.of(spark.read.parquet(f"{path}/model")), settings, tables)
+        readers = {r.__name__: r for r in (LinearSVCModel, OneVsRestModel, LogisticRegressionModel)}
         return Bundle(readers[settings["kind"]].load(f"{path}/model"), settings, tables)
