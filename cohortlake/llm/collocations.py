@@ -23,8 +23,8 @@ from cohortlake.llm.shingles import mix
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SHARDS = 4
-SLICE = 4 << 20  # bytes of text looked at together, unless one text is longer
-HELD = 4 << 20  # different phrases that a task holds before it hands them on
+SLICE = 2 << 20  # bytes of text looked at together, unless one text is longer
+HELD = 2 << 20  # different phrases that a task holds before it hands them on
 SEGMENTS = 16  # of the filter, each built in a task of its own
 MOST_BITS = 1 << 28  # of the filter: 32 MB
 KNOWN_WORDS = 1 << 21  # words numbered at a time, so that three numbers fit in 63 bits
