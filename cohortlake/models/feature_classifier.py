@@ -33,6 +33,7 @@ class Settings:
     feature_k: int | None = None
     pseudocount: float = 1e-6
     max_iter: int = 1000
+    estimator: str = "binned"  # of a feature's information; or neighbours
 
 
 @dataclass
@@ -78,7 +79,7 @@ def informative(df: DataFrame, features: Sequence[str], s: Settings) -> list[int
     keep = list(range(len(features)))
     if s.feature_k and 0 < s.feature_k < len(features):
         long = vector_to_long(df, "features", ["label"]).withColumnRenamed("position", "feature")
-        keep = select_informative(long, "label", keep, s.feature_k)
+        keep = select_informative(long, "label", keep, s.feature_k, s.estimator)
     return keep
 
 
@@ -187,11 +188,11 @@ def prepared(df: DataFrame, features: Sequence[str], s: Settings) -> DataFrame:
     return df.withColumn("features", log_ratio_column(F.col("features"), positions, s.pseudocount))
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], s: Settings = Settings()) -> tuple[DataFrame, int]:
-    """Out-of-fold predictions of ``(sample_id, label, group_id, features)`` rows, and the fold count.
+def cross_fit(df: DataFrame, features: Sequence[str], s: Settings = Settings()) -> tuple[DataFrame, list[FittedClassifier]]:
+    """The prepared rows with their fold, and one classifier per fold that never saw the fold.
 
-    Each fold fits its scaling, selection and weights on the other folds only. The prepared rows are
-    stored once; all folds are fitted in the same jobs and scored in one pass.
+    ``df`` has ``(sample_id, label, group_id, features)``. Scaling, selection and weights of a fold come
+    from the other folds only. The rows are stored once; all folds are fitted in the same jobs.
     """
     rows = prepared(df, features, s)
     labels = sorted_labels(rows, "label")
@@ -199,9 +200,13 @@ def cross_validate(df: DataFrame, features: Sequence[str], s: Settings = Setting
         raise ValueError("training needs rows with two labels or more")
     folds = int(fold_count(rows, "label", "group_id", s.cv_splits).first()["folds"])
     rows = checkpoint(with_group_fold(rows, "label", "group_id", folds, s.seed).select("sample_id", "label", "features", "fold"))
+    return rows, fit_folds(rows, features, labels, list(range(folds)), s)
+
 
-    fitted = fit_folds(rows, features, labels, list(range(folds)), s)
-    return score_by_fold(fitted, rows), folds
+def cross_validate(df: DataFrame, features: Sequence[str], s: Settings = Settings()) -> tuple[DataFrame, int]:
+    """Out-of-fold predictions of ``(sample_id, label, group_id, features)`` rows, and the fold count."""
+    rows, fitted = cross_fit(df, features, s)
+    return score_by_fold(fitted, rows), len(fitted)
 
 
 def fit_all(df: DataFrame, features: Sequence[str], s: Settings = Settings()) -> FittedClassifier:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.models.dual import Machine, fit_machines, keyed
+from cohortlake.models.dual import Machine, fit_machines
 from cohortlake.models.linear import Bundle, label_at, predict, weighted_rows
 from cohortlake.models.output import LinearModel, index_of_greatest
 from cohortlake.operators.kernels import (
@@ -101,7 +101,7 @@ class FittedKernel:
 def fit_kernel_svms(
     df: DataFrame, ident: str, label: str, vector: str, choices: Sequence[tuple[Kernel, bool]], labels: Sequence, s: Settings
 ) -> list[FittedKernel]:
-    """One machine set per (kernel, centred) choice, all fitted in the same rounds on one landmark sample.
+    """One machine set per (kernel, centred) choice, all fitted in the same jobs on one landmark sample.
 
     The kernel features of all choices lie side by side in each row, filled up with zeros to the
     widest; the landmarks are all rows when the classes are small.
@@ -114,10 +114,10 @@ def fit_kernel_svms(
     for (kernel, _), f in zip(choices, features, strict=True):
         own = kernel_features_column(df, F.col(vector), f, kernel)
         columns.append(F.concat(own, F.array_repeat(F.lit(0.0), width - f.basis.shape[1])))
-    rows = keyed(weighted_rows(df, label, labels, F.concat(*columns), s.balanced, [ident]), F.col(ident))
+    rows = weighted_rows(df, label, labels, F.concat(*columns), s.balanced)
     targets = [1] if len(labels) == 2 else list(range(len(labels)))
     machines = [Machine(k, i, s.C) for i in range(len(choices)) for k in targets]
-    found = fit_machines(rows, machines, width, len(choices), max_rounds=s.max_iter)
+    found = fit_machines(rows, machines, width, len(choices), max_steps=s.max_iter)
     out = []
     for i, ((kernel, _), f) in enumerate(zip(choices, features, strict=True)):
         model = found.model(range(i * len(targets), (i + 1) * len(targets)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.vector import as_double
-from cohortlake.models.dual import Machine, fit_machines, keyed
+from cohortlake.models.dual import Machine, fit_machines
 from cohortlake.models.output import LinearModel, index_of_greatest, training_rows
 from cohortlake.operators.labels import class_weights, weight_column
 from cohortlake.sinks.writers import write_text
@@ -51,10 +51,10 @@ def fit_svm(rows: DataFrame, classes: int, width: int, C: float = 1.0, max_iter:
     """Soft-margin linear SVM with penalty ``C``; one machine per class when there are more than two.
 
     ``C`` multiplies the summed weighted loss. All machines are fitted together, see ``dual``;
-    ``max_iter`` bounds the rounds.
+    ``max_iter`` bounds the steps.
     """
     machines = [Machine(1, C=C)] if classes == 2 else [Machine(k, C=C) for k in range(classes)]
-    return fit_machines(keyed(rows), machines, width, max_rounds=max_iter).model()
+    return fit_machines(rows, machines, width, max_steps=max_iter).model()
 
 
 def in_parallel(task: Callable, items: Sequence, workers: int = 4) -> list:

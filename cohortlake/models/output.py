@@ -79,8 +79,8 @@ def index_of_greatest(outputs: Column) -> Column:
 
 
 @contextmanager
-def training_rows(rows: DataFrame, width: int) -> Iterator[tuple[DataFrame, float]]:
-    """Cached rows in as few partitions as their size needs, and their total weight.
+def training_rows(rows: DataFrame, width: int) -> Iterator[tuple[DataFrame, float, int]]:
+    """Cached rows in as few partitions as their size needs, their total weight, and how many those are.
 
     An iterative fit runs one job per step, so its cost on little data is the number of tasks. The
     rows are computed once in parallel; only their cached copy is read with fewer tasks. Data larger
@@ -91,7 +91,7 @@ def training_rows(rows: DataFrame, width: int) -> Iterator[tuple[DataFrame, floa
         facts = cached.agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n")).first()
         if not facts["n"]:
             raise ValueError("no rows to train on")
-        parts = -(-facts["n"] * max(width, 1) * 8 // _PARTITION_BYTES)
-        yield cached.coalesce(max(1, parts)), facts["w"]
+        parts = max(1, -(-facts["n"] * max(width, 1) * 8 // _PARTITION_BYTES))
+        yield cached.coalesce(parts), facts["w"], parts
     finally:
         cached.unpersist()

@@ -7,7 +7,7 @@ one partial sum of loss and gradient per model. Limited-memory BFGS runs on the
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator, Sequence
+from collections.abc import Generator, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.vector import as_double, matrix_of
 from cohortlake.models.output import LinearModel, training_rows
-
-GROUP_MOMENTS = "g int, j int, n long, mean double, var double"
+from cohortlake.models.rounds import Run, settled
 
 
 @dataclass(frozen=True)
@@ -112,52 +111,45 @@ def group_moments(rows: DataFrame, groups: int, classes: int) -> GroupMoments:
     return GroupMoments(counts, means, variances)
 
 
-def summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Entry-wise sum of partial ``(m, values)`` arrays, added up in Spark; one small array comes back."""
-    cells = parts.select("m", F.posexplode("values").alias("p", "v")).groupBy("m", "p").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(shape)
-    out[cells.column("m").to_numpy(), cells.column("p").to_numpy()] = cells.column("v").to_numpy()
-    return out
-
-
-def losses(rows: DataFrame, designs: Sequence[Design], points: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray]]:
-    """Penalised mean loss and its gradient of each design at its (outputs, features + 1) point, in one job.
-
-    One output is the binary model of class 1; several are a softmax over the classes.
-    """
+def summed(batches: Iterable[pa.RecordBatch], designs: Sequence[Design], points: Sequence[np.ndarray]) -> np.ndarray:
+    """Per design over some ``(g, y, x)`` rows: weighted loss, and its slope by output and by raw feature."""
     outputs, width = points[0].shape[0], points[0].shape[1] - 1
     count = len(designs)
     slopes = np.concatenate([(p[:, :-1] * d.inverse).T for p, d in zip(points, designs, strict=True)], axis=1)
     shifts = np.concatenate([p[:, -1] - p[:, :-1] @ (d.means * d.inverse) for p, d in zip(points, designs, strict=True)])
     weigh = np.array([d.class_weights for d in designs])
     unseen = np.array([-1 if d.excluded is None else d.excluded for d in designs])
+    total = np.zeros((count, 1 + outputs * (width + 1)))
+    for batch in batches:
+        g, y, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix_of(batch.column(2))
+        if not len(x):
+            continue
+        z = (x @ slopes + shifts).reshape(len(x), count, outputs)
+        w = weigh[:, y].T * (g[:, None] != unseen[None, :])
+        if outputs == 1:
+            sign = (2.0 * y - 1.0)[:, None]
+            loss = np.logaddexp(0.0, -sign * z[:, :, 0])
+            r = (-sign * np.exp(-np.logaddexp(0.0, sign * z[:, :, 0])))[:, :, None]
+        else:
+            top = z.max(axis=2, keepdims=True)
+            e = np.exp(z - top)
+            norm = e.sum(axis=2, keepdims=True)
+            loss = (np.log(norm) + top)[:, :, 0] - z[np.arange(len(y)), :, y]
+            r = e / norm
+            r[np.arange(len(y)), :, y] -= 1.0
+        r *= w[:, :, None]
+        total[:, 0] += (w * loss).sum(axis=0)
+        total[:, 1 : 1 + outputs] += r.sum(axis=0)
+        total[:, 1 + outputs :] += (x.T @ r.reshape(len(x), -1)).T.reshape(count, outputs * width)
+    return total
+
+
+def losses(sums: Sequence[np.ndarray], designs: Sequence[Design], points: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    """Penalised mean loss and its gradient of each design at its (outputs, features + 1) point.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((count, 1 + outputs * (width + 1)))
-        for batch in batches:
-            g, y, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix_of(batch.column(2))
-            if not len(x):
-                continue
-            z = (x @ slopes + shifts).reshape(len(x), count, outputs)
-            w = weigh[:, y].T * (g[:, None] != unseen[None, :])
-            if outputs == 1:
-                sign = (2.0 * y - 1.0)[:, None]
-                loss = np.logaddexp(0.0, -sign * z[:, :, 0])
-                r = (-sign * np.exp(-np.logaddexp(0.0, sign * z[:, :, 0])))[:, :, None]
-            else:
-                top = z.max(axis=2, keepdims=True)
-                e = np.exp(z - top)
-                norm = e.sum(axis=2, keepdims=True)
-                loss = (np.log(norm) + top)[:, :, 0] - z[np.arange(len(y)), :, y]
-                r = e / norm
-                r[np.arange(len(y)), :, y] -= 1.0
-            r *= w[:, :, None]
-            total[:, 0] += (w * loss).sum(axis=0)
-            total[:, 1 : 1 + outputs] += r.sum(axis=0)
-            total[:, 1 + outputs :] += (x.T @ r.reshape(len(x), -1)).T.reshape(count, outputs * width)
-        yield pa.record_batch([pa.array(np.arange(count, dtype=np.int32)), pa.array(total.tolist())], names=["m", "values"])
-
-    sums = summed(rows.select("g", "y", "x").mapInArrow(add, "m int, values array<double>"), (count, 1 + outputs * (width + 1)))
+    One output is the binary model of class 1; several are a softmax over the classes.
+    """
+    outputs, width = points[0].shape[0], points[0].shape[1] - 1
     out = []
     for point, design, row in zip(points, designs, sums, strict=True):
         free, raw = row[1 : 1 + outputs], row[1 + outputs :].reshape(outputs, width)
@@ -197,34 +189,34 @@ def descent(start: np.ndarray, max_iter: int, tolerance: float, memory: int = 10
                 break
             length /= 2
             if length < 1e-12:
-                return x
+                return x.ravel()
         change = trial - x, new_gradient - gradient
         if float((change[0] * change[1]).sum()) > 1e-14 * float((change[1] ** 2).sum()):
             steps = [*steps[1 - memory :], change]
         x, value, gradient = trial, new_value, new_gradient
-    return x
+    return x.ravel()
 
 
 def fit_stacked(rows: DataFrame, designs: Sequence[Design], classes: int, max_iter: int = 1000, tolerance: float = 1e-6) -> list[LinearModel]:
     """The logistic model of every design on ``(g, y, x)`` rows; weights are those of scaled features.
 
-    The number of jobs is the number of steps of the slowest model, whatever the number of models.
+    A step is one job for all models, whatever their number; see ``settled``.
     """
     outputs, width = (1 if classes == 2 else classes), len(designs[0].means)
-    with training_rows(rows.withColumn("__w", F.lit(1.0)), width) as (data, _):
-        runs = [descent(np.zeros((outputs, width + 1)), max_iter, tolerance) for _ in designs]
-        points: dict[int, np.ndarray] = {i: next(run) for i, run in enumerate(runs)}
-        done: dict[int, np.ndarray] = {}
-        while points:
-            open_ = sorted(points)
-            found = losses(data, [designs[i] for i in open_], [points[i] for i in open_])
-            for i, answer in zip(open_, found, strict=True):
-                try:
-                    points[i] = runs[i].send(answer)
-                except StopIteration as end:
-                    done[i] = end.value
-                    del points[i]
-    return [LinearModel(done[i][:, :-1].tolist(), done[i][:, -1].tolist(), "softmax" if outputs > 1 else "logistic") for i in range(len(designs))]
+
+    def start() -> list[Run]:
+        return [descent(np.zeros((outputs, width + 1)), max_iter, tolerance) for _ in designs]
+
+    with training_rows(rows.withColumn("__w", F.lit(1.0)), width) as (data, _, parts):
+        ends = settled(
+            data.select("g", "y", "x"),
+            parts,
+            start,
+            lambda batches, open_, points: summed(batches, [designs[i] for i in open_], points),
+            lambda sums, open_, points: losses(sums, [designs[i] for i in open_], points),
+        )
+    fitted = [e.reshape(outputs, width + 1) for e in ends]
+    return [LinearModel(f[:, :-1].tolist(), f[:, -1].tolist(), "softmax" if outputs > 1 else "logistic") for f in fitted]
 
 
 def stacked_rows(group: Column, index: Column, vector: Column) -> list[Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlake.operators.neighbours import neighbour_information
 from cohortlake.operators.quantiles import exact_quantiles
 from cohortlake.session import checkpoint, sized
 
@@ -296,11 +297,19 @@ def mutual_information_long(long: DataFrame, label: str, bins: int = 10) -> Data
     return scores.withColumn("rank", F.row_number().over(order))
 
 
-def select_informative(long: DataFrame, label: str, features: Sequence[str], k: int | None) -> list[str]:
-    """The ``k`` most informative features in table order; all when ``k`` is unset or not smaller."""
+def select_informative(
+    long: DataFrame, label: str, features: Sequence[str], k: int | None, estimator: str = "binned"
+) -> list[str]:
+    """The ``k`` most informative features in table order; all when ``k`` is unset or not smaller.
+
+    ``estimator`` is ``binned`` or ``neighbours``.
+    """
+    estimators = {"binned": mutual_information_long, "neighbours": neighbour_information}
+    if estimator not in estimators:
+        raise ValueError(f"no estimator is called '{estimator}'; there are {', '.join(estimators)}")
     if not k or not 0 < k < len(features):
         return list(features)
-    top = {r["feature"] for r in mutual_information_long(long, label).filter(F.col("rank") <= k).collect()}
+    top = {r["feature"] for r in estimators[estimator](long, label).filter(F.col("rank") <= k).collect()}
     return [f for f in features if f in top]
 
 

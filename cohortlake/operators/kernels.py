@@ -158,6 +158,19 @@ def centre_training(kernel: DataFrame, row: str, column: str, value: str = "k")
     return kernel.select(row, column, centred.alias(value))
 
 
+def centre_against(kernel: DataFrame, refs: DataFrame, row: str, column: str = "ref_id", value: str = "k") -> DataFrame:
+    """Centre a long kernel of any rows against reference rows, which are the training rows.
+
+    The row's own mean and the column means over the training rows go, their overall mean is added.
+    ``refs`` holds the reference rows' identifiers in ``row``; there are few columns, many rows.
+    """
+    training = kernel.join(refs.select(row).distinct(), row, "left_semi")
+    means = training.groupBy(column).agg(F.avg(value).alias("__mean"))
+    overall = training.agg(F.avg(value)).scalar()
+    centred = F.col(value) - F.avg(value).over(Window.partitionBy(row)) - F.col("__mean") + overall
+    return kernel.join(means, column).select(row, column, centred.alias(value))
+
+
 # --- explicit features of a kernel ----------------------------------------------------------
 
 

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions import sequence as seq
 from cohortlake.functions import vector as vec
-from cohortlake.models import feature_classifier, kernel_svm
+from cohortlake.models import dual, feature_classifier, kernel_svm
+from cohortlake.models.linear import label_at, weighted_rows
 from cohortlake.operators import features as feats
 from cohortlake.operators import kernels, labels, metrics, splits
 from cohortlake.operators.curves import ranking_quality
+from cohortlake.operators.neighbours import neighbour_information
 from cohortlake.operators.projection import fit_components
 from cohortlake.operators.quantiles import exact_quantiles
 from cohortlake.operators.ranking import sample_per_class
@@ -654,6 +657,31 @@ FROM mi QUALIFY rank <= 10
 """
 
 
+@query(
+    "mutual_info_neighbours",
+    f"""WITH {LETTER_SHARES_SQL},
+    p AS (SELECT feature, label, round(value * 1000000) AS v, row_number() OVER () AS id, count(*) OVER (PARTITION BY feature, label) AS size
+      FROM shares WHERE value IS NOT NULL AND label IS NOT NULL QUALIFY size > 1),
+    pairs AS (SELECT a.feature, a.id, a.v, a.size, list_sort(list(abs(a.v - b.v))) AS away
+      FROM p a JOIN p b ON a.feature = b.feature AND a.label = b.label AND a.id <> b.id GROUP BY a.feature, a.id, a.v, a.size),
+    near AS (SELECT feature, id, v, size, least(3, size - 1) AS need, away[least(3, size - 1)] AS r FROM pairs),
+    within AS (SELECT n.feature, n.id, n.size, n.need,
+        count(*) FILTER (WHERE CASE WHEN r > 0 THEN q.v > n.v - r AND q.v < n.v + r ELSE q.v = n.v END) AS m
+      FROM near n JOIN p q ON q.feature = n.feature GROUP BY n.feature, n.id, n.size, n.need),
+    psi AS (SELECT i AS x, -0.5772156649015329 + coalesce(sum(1.0 / (i - 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS y
+      FROM (SELECT unnest(range(1, 1 + (SELECT count(*) FROM p))) AS i)),
+    mi AS (SELECT w.feature, count(*) AS n, any_value(total.y) + avg(a.y - b.y - c.y) AS m
+      FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS every FROM within) w JOIN psi a ON a.x = need JOIN psi b ON b.x = size
+        JOIN psi c ON c.x = w.m JOIN psi total ON total.x = every GROUP BY w.feature)
+    SELECT feature, n, round(greatest(m, 0), 6) AS mutual_information FROM mi""",
+)
+def _(spark, folder):
+    """Shares in millionths are whole numbers, so equal distances are exactly equal."""
+    rows = letter_shares(spark, folder).withColumn("value", F.round(F.col("value") * 1_000_000))
+    scores = neighbour_information(rows, "label")
+    return scores.select("feature", "n", r6(F.col("mutual_information")).alias("mutual_information"))
+
+
 @query("mutual_info_topk", MUTUAL_SQL)
 def _(spark, folder):
     scores = feats.mutual_information_long(letter_shares(spark, folder), "label")
@@ -765,8 +793,8 @@ def _(spark, folder):
 
 # --- kernels --------------------------------------------------------------------------------
 
-# All rows are compared with this many landmarks of each label.
-LANDMARKS_PER_LABEL = 2
+# All rows are compared with this many landmarks of each label, the library's default.
+LANDMARKS_PER_LABEL = kernel_svm.Settings().landmarks_per_class
 LANDMARKS_SQL = f"""
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 refs AS (SELECT vec_id AS ref_id, x AS y FROM e
@@ -813,14 +841,16 @@ def _(spark, folder):
 
 @query(
     "kernel_center",
-    f"""WITH {LANDMARKS_SQL}, k AS (SELECT a.ref_id AS vec_id, b.ref_id AS ref_id, list_dot_product(a.y, b.y) AS k FROM refs a, refs b)
-    SELECT vec_id, ref_id, round(k - avg(k) OVER (PARTITION BY vec_id) - avg(k) OVER (PARTITION BY ref_id) + avg(k) OVER (), 6) AS k
-    FROM k""",
+    f"""WITH {LANDMARKS_SQL}, k AS (SELECT vec_id, ref_id, list_dot_product(x, y) AS k FROM e, refs),
+    tr AS (SELECT * FROM k WHERE vec_id IN (SELECT ref_id FROM refs)),
+    cm AS (SELECT ref_id, avg(k) AS m FROM tr GROUP BY ref_id)
+    SELECT vec_id, ref_id, round(k - avg(k) OVER (PARTITION BY vec_id) - m + (SELECT avg(k) FROM tr), 6) AS k
+    FROM k JOIN cm USING (ref_id)""",
 )
 def _(spark, folder):
-    _, refs = landmarks(spark, folder)
-    square = kernels.kernel_against(refs, refs, "vec_id", "embedding", kernels.linear)
-    return kernels.centre_training(square, "vec_id", "ref_id").withColumn("k", r6(F.col("k")))
+    rows, refs = landmarks(spark, folder)
+    found = kernels.kernel_against(rows, refs, "vec_id", "embedding", kernels.linear)
+    return kernels.centre_against(found, refs, "vec_id").withColumn("k", r6(F.col("k")))
 
 
 @query(
@@ -872,15 +902,14 @@ def _(spark, folder):
 
 @query(
     "mixed_width_kernel",
-    f"""WITH e AS (SELECT vec_id, vec_id % 2 AS part, CAST(embedding AS DOUBLE[])[1:CASE WHEN vec_id % 2 = 0 THEN 64 ELSE 32 END] AS x FROM embeddings),
-    refs AS (SELECT vec_id AS ref_id, part, x AS y FROM e QUALIFY row_number() OVER (PARTITION BY part ORDER BY md5('42:' || vec_id)) <= 8)
-    SELECT vec_id, ref_id, round(list_dot_product(x, y), 6) AS k FROM e JOIN refs USING (part)""",
+    """WITH e AS (SELECT vec_id, label, len(embedding) AS dim, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    refs AS (SELECT vec_id AS ref_id, label, dim, x AS y FROM e
+      QUALIFY row_number() OVER (PARTITION BY label, dim ORDER BY md5('42:' || vec_id)) <= 200)
+    SELECT vec_id, ref_id, round(list_dot_product(x, y), 6) AS k FROM e JOIN refs USING (label, dim)""",
 )
 def _(spark, folder):
-    rows = table(spark, folder, "embeddings").withColumn("part", F.col("vec_id") % 2)
-    cut = F.when(F.col("part") == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 32))
-    rows = rows.select("vec_id", "part", F.size(cut).alias("dim"), cut.alias("v"))
-    found = jobs.similarity_by_width(rows, "vec_id", "part", "v", kernels.linear, 8)
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    found = jobs.similarity_by_width(rows, "vec_id", "label", "v", kernels.linear, 200)
     return found.select("vec_id", "ref_id", r6(F.col("k")).alias("k"))
 
 
@@ -1100,6 +1129,65 @@ def _(spark, folder):
     return gradient.select("label", "feature", F.round(F.abs("gradient"), 3).alias("gradient"))
 
 
+@query(
+    "cv_fold_gradients",
+    f"""SELECT CAST(fold AS INTEGER) AS fold, label, feature, 0.0 AS gradient FROM range(5) f(fold), (SELECT DISTINCT lang AS label FROM documents),
+      (SELECT unnest([{", ".join(f"'{n}'" for n in [*LETTER_NAMES, "intercept"])}]) AS feature)""",
+)
+def _(spark, folder):
+    """At its optimum the gradient of a fold's objective over the other folds is zero in every entry."""
+    settings = feature_classifier.Settings()
+    rows, fitted = feature_classifier.cross_fit(labelled_features(spark, folder), LETTER_NAMES, settings)
+    parts = [
+        feature_classifier.objective_gradient(model, rows.filter(F.col("fold") != fold), settings).select(
+            F.lit(fold).alias("fold"), "label", "feature", F.round(F.abs("gradient"), 4).alias("gradient")
+        )
+        for fold, model in enumerate(fitted)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def svm_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, list]:
+    """Embeddings as balanced training rows of one machine per label, and the labels."""
+    rows = table(spark, folder, "embeddings")
+    classes = labels.sorted_labels(rows, "label")
+    made = weighted_rows(rows, "label", classes, F.col("embedding"), True, ["vec_id"])
+    return checkpoint(dual.keyed(made, F.col("vec_id"))), classes
+
+
+@query(
+    "svm_certificate",
+    """SELECT l.label, (SELECT count(*) FROM embeddings) AS n, 0 AS outside, 0.0 AS gap
+    FROM (SELECT DISTINCT label FROM embeddings) l""",
+)
+def _(spark, folder):
+    """The objective of the weights against the bound of the duals: no gap means that both are optimal."""
+    rows, classes = svm_rows(spark, folder)
+    machines = [dual.Machine(k) for k in range(len(classes))]
+    fit = dual.fit_machines(rows, machines, 64)
+    found = dual.certificate(rows, fit.row_duals(rows), fit)
+    gap = (F.col("primal") - F.col("dual")) / F.col("primal")
+    return found.select(label_at(F.col("machine"), classes).alias("label"), "n", "outside", F.round(F.abs(gap), 2).alias("gap"))
+
+
+@query(
+    "svm_dual_bounds",
+    """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+    SELECT vec_id, m.label AS machine, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * c.n), 6) AS bound, true AS inside
+    FROM embeddings e JOIN c USING (label), (SELECT DISTINCT label FROM embeddings) m""",
+)
+def _(spark, folder):
+    rows, classes = svm_rows(spark, folder)
+    fit = dual.fit_machines(rows, [dual.Machine(k) for k in range(len(classes))], 64)
+    duals = fit.row_duals(rows).join(rows.select(F.col("__key").alias("key"), "vec_id", "__w"), "key")
+    return duals.select(
+        "vec_id",
+        label_at(F.col("machine"), classes).alias("machine"),
+        r6(F.col("__w")).alias("bound"),
+        ((F.col("alpha") >= 0) & (F.col("alpha") <= F.col("__w"))).alias("inside"),
+    )
+
+
 @query("linear_svm_predictions")
 def _(spark, folder):
     _, _, predictions = jobs.train_linear_svm(embedded(spark, folder), feature_cap=32)
@@ -1129,6 +1217,33 @@ def _(spark, folder):
     return point.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length2"))
 
 
+@query(
+    "pca_covariance",
+    """SELECT CAST(i AS INTEGER) AS component, CAST(j AS INTEGER) AS other, 0.0 AS covariance,
+      CASE WHEN i = j THEN 1.0 END AS variance_ratio, i = 0 OR i < j OR i = j AS falling
+    FROM range(12) a(i), range(12) b(j) WHERE i <= j""",
+)
+def _(spark, folder):
+    """Components are uncorrelated, and their variances fall and are the explained shares of the total."""
+    rows = table(spark, folder, "embeddings")
+    components = fit_components(rows, "embedding", 12)
+    point = rows.select(components.column(F.col("embedding")).alias("p"))
+    a, b = F.posexplode("p").alias("i", "x"), F.posexplode("p").alias("j", "y")
+    pairs = point.select("p", a).select("i", "x", b).filter("i <= j")
+    found = pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"))
+    shares = F.array(*[F.lit(float(v)) for v in components.explained])
+    # Standardised entries have variance 1 with divisor n, so the sample total is width * n / (n - 1).
+    total = rows.agg(64 * F.count(F.lit(1)) / (F.count(F.lit(1)) - 1)).scalar()
+    before = F.get(shares, F.col("i") - 1)
+    return found.select(
+        F.col("i").alias("component"),
+        F.col("j").alias("other"),
+        F.round(F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.abs("c")), 6).alias("covariance"),
+        F.when(F.col("i") == F.col("j"), F.round(F.col("c") / (F.get(shares, "i") * total), 6)).alias("variance_ratio"),
+        (F.coalesce(before >= F.get(shares, "i"), F.lit(True))).alias("falling"),
+    )
+
+
 @query(
     "landmark_features",
     f"""WITH {LANDMARKS_SQL}, g AS (SELECT 1 / (64 * var_pop(u)) AS gamma FROM (SELECT unnest(x) AS u FROM e))
@@ -1209,13 +1324,10 @@ def quality_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rbf_svm_baseline")
 def _(spark, folder):
-    settings = kernel_svm.Settings(pca_components=4)
-    return kernel_svm.rbf_baseline(quality_vectors(spark, folder), "seq_id", "label", "embedding", settings)
+    return kernel_svm.rbf_baseline(quality_vectors(spark, folder), "seq_id", "label", "embedding")
 
 
-SWEEP = kernel_svm.Settings(
-    pca_components=4, kernels=("cosine", "rbf"), gamma_factors=(0.5, 1.0, 2.0), centrings=(True, False)
-)
+SWEEP = kernel_svm.Settings(kernels=("cosine", "rbf"), gamma_factors=(0.5, 1.0, 2.0), centrings=(True, False))
 
 
 @query("kernel_grid_search")
@@ -1235,7 +1347,7 @@ def _(spark, folder):
 @query("score_kernel_model")
 def _(spark, folder):
     rows = quality_vectors(spark, folder)
-    bundle = kernel_svm.fit_final(rows, "seq_id", "label", "embedding", kernel_svm.Settings(pca_components=4)).bundle(spark)
+    bundle = kernel_svm.fit_final(rows, "seq_id", "label", "embedding").bundle(spark)
     docs = table(spark, folder, "documents")
     texts = docs.select(F.col("doc_id").cast("string").alias("seq_id"), seq.composition(F.col("text")).alias("embedding"))
     return jobs.score_kernel_model(texts, bundle)
