@@ -18,8 +18,7 @@ from cohortlake.llm.common import scratch_table, table
 from cohortlake.llm.html_tree import Page
 
 PAGE = 0  # stands for the page itself among the digests of its subtrees
-HOT_SHARE = 1024  # hosts with more than 1 / HOT_SHARE of all pages are split
-SPLIT = 64  # parts of the largest possible host
+HOT_SHARE = 1024  # hosts with more than 1 / HOT_SHARE of all pages are split into parts of that size
 
 
 def host_of(url: Column) -> Column:
@@ -101,7 +100,8 @@ def main_text(
     sizes = counts.filter(F.col("digest") == PAGE)
     bound = sizes.agg(F.sum("n")).first()[0] or 0
     # Fewer than HOT_SHARE hosts can be above the bound, so the broadcast is small at any size.
-    hot = sizes.filter(F.col("n") * HOT_SHARE > bound).select("host", F.lit(SPLIT).alias("parts"))
+    share = F.ceil(F.col("n") * HOT_SHARE / F.lit(max(bound, 1))).cast("int")
+    hot = sizes.filter(F.col("n") * HOT_SHARE > bound).select("host", share.alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
     dealt = found.join(F.broadcast(hot), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     spread = F.when(F.col("host").isNull(), F.xxhash64("html")).otherwise(F.pmod(F.xxhash64("html", "page_id"), parts))

@@ -1,10 +1,11 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier learned from a labelled table gives each document a posterior over domains. Nonnegative
-document rates are then fitted, so that the expected tokens of each domain, sum of rate * tokens *
-posterior, match the targets. A rate is max(0, 1 - posterior @ multipliers), with one multiplier per
-domain found by Newton steps: each is one distributed sum of the domains' tokens and their curvature,
-so rare domains move as fast as large ones and no state is kept per document.
+document rates are then fitted by projected gradient steps on the least squares distance between the
+expected tokens of each domain, sum of rate * tokens * posterior, and the targets. A step moves a rate
+by its posterior times one number per domain and cuts it off at zero, so the steps taken so far are all
+that is kept: no state per document. Distances and steps are scaled by the domains' curvature, so rare
+domains move as fast as large ones.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ def fit_domains(
     Half of them, by hash, give the n-gram shares; the other half fits the sharpness by likelihood.
     Null labels and identifiers are left out. Without labelled rows there are no domains.
     """
-    found = texts_of(docs, chosen_rows(labelled, label, per_class, ident)).persist()
-    found = found.withColumn("half", F.xxhash64("doc_id", F.lit("half")) % 2 == 0)
+    found = texts_of(docs, chosen_rows(labelled, label, per_class, ident))
+    found = found.withColumn("half", F.xxhash64("doc_id", F.lit("half")) % 2 == 0).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -100,118 +101,164 @@ def fit_domains(
     return DomainModel(tuple(domains), log_share, log_prior, sharpness)
 
 
-def memberships(
-    docs: DataFrame,
-    model: DomainModel,
-    text: str,
-    carried: list[str],
-    steps: tuple[list[np.ndarray], list[float]] | None = None,
-) -> DataFrame:
-    """The carried columns of each row with __tokens (words) and __posterior.
+def memberships(docs: DataFrame, model: DomainModel, text: str, draw: str) -> DataFrame:
+    """(row, draw, tokens, domain, posterior) of each row: the whole row as a struct, words, likeliest domain.
 
-    ``steps`` (gradients and momenta of a fit) adds __domain, the likeliest one, and __rate.
+    ``draw`` in [0, 1) hashes the identifier column of that name with the text, so equal rows agree.
     """
-    schema = docs.select(*carried).schema.add("__tokens", "long").add("__posterior", T.ArrayType(T.DoubleType()))
-    if steps is not None:
-        schema = schema.add("__domain", "string").add("__rate", "double")
+    share = F.shiftrightunsigned(F.xxhash64(draw, whole_text(text)), 11).cast("double") / float(1 << 53)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), share.alias("draw"), whole_text(text).alias("text"))
+    schema = rows.drop("text").schema.add("tokens", "long").add("domain", "string").add("posterior", T.ArrayType(T.DoubleType()))
     names = list(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(2).to_pylist()
                 posterior = model.posteriors(texts)
+                best = [names[i] for i in posterior.argmax(axis=1)] if names else [None] * len(texts)
                 new = {
-                    "__tokens": pa.array([len(t.split()) for t in texts], pa.int64()),
-                    "__posterior": pa.array(list(posterior), pa.list_(pa.float64())),
+                    "tokens": pa.array([len(t.split()) for t in texts], pa.int64()),
+                    "domain": pa.array(best, pa.string()),
+                    "posterior": pa.array(list(posterior), pa.list_(pa.float64())),
                 }
-                if steps is not None:
-                    best = [names[i] for i in posterior.argmax(axis=1)] if names else [None] * len(texts)
-                    new |= {"__domain": pa.array(best, pa.string()), "__rate": pa.array(rates_after(*steps, posterior)[0])}
-                yield pa.record_batch([*part.columns[:-1], *new.values()], names=[*part.schema.names[:-1], *new])
+                yield pa.record_batch([*part.columns[:2], *new.values()], names=["row", "draw", *new])
 
-    return docs.select(*carried, whole_text(text).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def rates_after(history: list[np.ndarray], momenta: list[float], posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next step) of documents after the steps whose gradients are given."""
+def rates_after(steps: list[np.ndarray], posterior: np.ndarray) -> np.ndarray:
+    """The rates of documents after the given steps, from one each."""
     rate = np.ones(len(posterior))
-    ahead = rate
-    for gradient, momentum in zip(history, momenta, strict=True):
-        moved = np.maximum(0.0, ahead - posterior @ gradient)
-        ahead = moved + momentum * (moved - rate)
-        rate = moved
-    return rate, ahead
-
-
-def fit_rates(
-    weighted: DataFrame, targets: np.ndarray, steps: int = 60, tolerance: float = 1e-4
-) -> tuple[list[np.ndarray], list[float], np.ndarray]:
-    """One gradient (the multipliers) without momentum, and the expected tokens per domain, for
-    (__tokens, __posterior) rows.
-
-    Rates of zero or more, close to one, whose expected domain tokens are within ``tolerance`` of all
-    tokens from ``targets``. A ridge on the multipliers is lowered until they are.
-    Targets that no rates reach get the rates at which a 100 times lower ridge brings the squared
-    distance down by less than ``tolerance``; the totals returned show the miss. Raises if ``steps``
-    passes end before either.
+    for step in steps:
+        rate = np.maximum(0.0, rate - posterior @ step)
+    return rate
+
+
+@dataclass
+class Rates:
+    """The steps of a fit, the expected tokens they reach, and how far the last point is from optimal.
+
+    ``residual`` is the root mean square, by tokens, of the move that one more plain step would make.
+    """
+
+    steps: list[np.ndarray]
+    reached: np.ndarray
+    residual: float
+
+
+def fit_rates(weighted: DataFrame, targets: np.ndarray, steps: int = 200, tolerance: float = 1e-4, still: float = 1e-3) -> Rates:
+    """Rates of zero or more, near one, for (tokens, posterior) rows, whose expected domain tokens match.
+
+    Minimises the distance to ``targets`` in the metric of the inverse curvature (the k x k sum of
+    tokens * posterior * posterior'), in which a plain projected gradient step of length one never
+    overshoots. A pass tries that step, steps scaled by the curvature of the documents still above
+    zero, and longer ones, all at once; the best is taken. Ends when every total is within ``tolerance``
+    of all tokens from its target; or, for targets that no rates reach, when the residual is below
+    ``still`` and the distance no longer falls; or after ``steps`` passes. Always returns the rates, the
+    totals they reach and the residual.
     """
     k = len(targets)
-    width = 1 + k + k * k
+    everything = float(targets.sum())
+    width = 2 * k * k + k
 
-    def sums(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(half the squared rates, expected tokens, curvature) at each point, in one pass."""
+    def sums(before: list[np.ndarray], moves: list[np.ndarray]) -> np.ndarray:
+        """After each move: expected tokens, curvature of all documents and of those above zero."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = np.zeros((len(points), width))
+            found = np.zeros((len(moves), width))
             for batch in batches:
                 posterior = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                tokens = batch.column(0).to_numpy()
-                for row, point in zip(found, points, strict=True):
-                    rate = np.maximum(0.0, 1 - posterior @ point)
-                    row[0] += (tokens * rate * rate).sum() / 2
-                    row[1 : k + 1] += (tokens * rate) @ posterior
-                    row[k + 1 :] += ((posterior * (tokens * (rate > 0))[:, None]).T @ posterior).reshape(-1)
-            yield pa.record_batch(
-                [pa.array(np.arange(found.size)), pa.array(found.reshape(-1))], names=["place", "value"]
-            )
-
-        rows = weighted.select("__tokens", "__posterior").mapInArrow(add, "place long, value double")
-        total = np.zeros(len(points) * width)
+                tokens = batch.column(0).to_numpy().astype(float)
+                start = rates_after(before, posterior)
+                for row, move in zip(found, moves, strict=True):
+                    rate = np.maximum(0.0, start - posterior @ move)
+                    row[:k] += (tokens * rate) @ posterior
+                    row[k : k + k * k] += ((posterior * tokens[:, None]).T @ posterior).ravel()
+                    row[k + k * k :] += ((posterior * (tokens * (rate > 0))[:, None]).T @ posterior).ravel()
+            yield pa.record_batch([pa.array(np.arange(found.size)), pa.array(found.ravel())], names=["place", "value"])
+
+        rows = weighted.select("tokens", "posterior").mapInArrow(add, "place long, value double")
+        total = np.zeros(len(moves) * width)
         for r in rows.groupBy("place").agg(F.sum("value").alias("value")).collect():
             total[r.place] = r.value
-        return [(x[0], x[1 : k + 1], x[k + 1 :].reshape(k, k)) for x in total.reshape(-1, width)]
+        return total.reshape(-1, width)
+
+    def residual_of(taken: list[np.ndarray], step: np.ndarray) -> float:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            moved = 0.0
+            for batch in batches:
+                posterior = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                rate = rates_after(taken, posterior)
+                move = rate - np.maximum(0.0, rate - posterior @ step)
+                moved += float((batch.column(0).to_numpy() * move * move).sum())
+            yield pa.record_batch([pa.array([moved])], names=["moved"])
+
+        found = weighted.select("tokens", "posterior").mapInArrow(add, "moved double")
+        return float(np.sqrt((found.agg(F.sum("moved")).first()[0] or 0.0) / everything))
 
-    everything = float(targets.sum())
-    point = np.zeros(k)
     if not everything:
-        return [], [], np.zeros(k)
-    _, expected, curve = sums([point])[0]
-    if not curve.any():
-        return [], [], np.zeros(k)
-    start, ridge, before = np.diag(np.diag(curve)), 1e-4 * everything, np.inf
+        return Rates([], np.zeros(k), 0.0)
+    taken: list[np.ndarray] = []
+    first = sums(taken, [np.zeros(k)])[0]
+    whole = first[k : k + k * k].reshape(k, k)
+    if not whole.any():
+        return Rates([], first[:k], 0.0)
+    metric = np.linalg.inv(whole + 1e-9 * np.diag(np.diag(whole)) + 1e-12 * everything * np.eye(k))
+
+    def facts(row: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        miss = row[:k] - targets
+        return miss, float(miss @ metric @ miss) / 2, row[k + k * k :].reshape(k, k)
+
+    (miss, distance, above), before, residual = facts(first), np.inf, np.inf
     for _ in range(steps):
-        miss = np.abs(expected - targets).max()
-        slope = targets - expected + ridge * point
-        if miss <= tolerance * everything:
-            return [point], [0.0], expected
-        if np.abs(slope).max() <= tolerance * everything / 10:
-            distance = float(np.linalg.norm(expected - targets))
-            if before - distance <= tolerance * everything:
-                return [point], [0.0], expected
-            before, ridge = distance, ridge / 100
-            slope = targets - expected + ridge * point
-        tries = []
-        for damping in (0.0, 1e-3, 0.1, 10.0):
-            move = np.linalg.solve(curve + damping * start + ridge * np.eye(k), slope)
-            tries += [point - move * part for part in ((1.0, 0.5, 0.25, 0.06) if not damping else (1.0,))]
-        found = sums(tries)
-        value = [h + targets @ at + ridge * (at @ at) / 2 for at, (h, _, _) in zip(tries, found, strict=True)]
-        near = [np.abs(e - targets).max() <= tolerance * everything for _, e, _ in found]
-        best = near.index(True) if any(near) else int(np.argmin(value))
-        point, (_, expected, curve) = tries[best], found[best]
-    raise RuntimeError(f"rates did not settle in {steps} steps: {expected.tolist()} tokens for {targets.tolist()}")
+        plain = metric @ miss
+        if np.abs(miss).max() <= tolerance * everything:
+            break
+        if distance > 0.999 * before:
+            residual = residual_of(taken, plain)
+            if residual <= still:
+                break
+        moves = [plain]
+        for damping in (1e-3, 0.05, 0.5):
+            scaled = np.linalg.solve(above + damping * whole + 1e-12 * everything * np.eye(k), miss)
+            moves += [scaled, scaled / 2]
+        if taken:
+            moves += [plain + taken[-1] / 2, plain + taken[-1]]
+        found = [facts(row) for row in sums(taken, moves)]
+        best = int(np.argmin([d for _, d, _ in found]))
+        before = distance
+        taken = [*taken, moves[best]]
+        miss, distance, above = found[best]
+    return Rates(taken, miss + targets, residual_of(taken, metric @ miss))
+
+
+def rated(
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], label: str, per_class: int, text: str, ident: str
+) -> DataFrame:
+    """(row, domain, posterior, tokens, rate, copies) of each row of ``docs``; see ``mix``."""
+    model = fit_domains(docs, labelled, label, per_class, ident)
+    k = len(model.domains)
+    # Written once: the fit and the result read it, so texts are classified a single time.
+    known = scratch_table(memberships(docs, model, text, ident), "memberships")
+    steps: list[np.ndarray] = []
+    if k:
+        tokens = known.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+        shares = np.array([max(0.0, float(targets.get(d, 0.0))) for d in model.domains])
+        shares = shares / shares.sum() if shares.sum() else np.full(k, 1 / k)
+        fit = fit_rates(known, shares * tokens)
+        steps = fit.steps
+        if tokens and np.abs(fit.reached - shares * tokens).max() > 1e-4 * tokens:
+            got = {d: round(float(n / tokens), 4) for d, n in zip(model.domains, fit.reached, strict=True)}
+            warnings.warn(f"no rates reach the targets {dict(targets)}; the nearest shares are {got}", stacklevel=3)
+
+    @F.arrow_udf("double")
+    def rate(posterior: pa.Array) -> pa.Array:
+        return pa.array(rates_after(steps, posterior.flatten().to_numpy(zero_copy_only=False).reshape(len(posterior), k)))
+
+    found = known.withColumn("rate", rate("posterior") if steps else F.lit(1.0))
+    return found.withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("int")).drop("draw")
 
 
 def mix(
@@ -222,7 +269,6 @@ def mix(
     per_class: int = 1000,
     text: str = "text",
     ident: str = "doc_id",
-    keep: list[str] | None = None,
 ) -> DataFrame:
     """Each row of ``docs`` with its domain posterior, tokens, rate and copies.
 
@@ -232,37 +278,29 @@ def mix(
     without labelled rows cannot be reached and is left out. ``copies`` is the rate rounded up or
     down by a hash of the identifier and text, so its expectation is the rate and equal rows agree.
 
-    The result has the identifier, or the columns ``keep``, then __domain, __posterior, __tokens,
-    __rate and __copies. Null and empty texts have no tokens and the posterior of the priors.
-    Targets that no rates reach give a warning with the shares reached.
-    Without labelled rows, or without tokens, every rate is one. An empty table gives no rows.
+    The result has the identifier, then __domain, __posterior, __tokens, __rate and __copies. Null and
+    empty texts have no tokens and the posterior of the priors. Targets that no rates reach give the
+    nearest rates and a warning with the shares reached. Without labelled rows, or without tokens, every
+    rate is one. An empty table gives no rows.
     """
-    carried = keep or [ident]
-    model = fit_domains(docs, labelled, label, per_class, ident)
-    k = len(model.domains)
-    history, momenta = [], []
-    if k:
-        narrow = scratch_table(memberships(docs, model, text, []), "memberships")
-        tokens = narrow.agg(F.sum("__tokens").alias("n")).first()["n"] or 0
-        shares = np.array([max(0.0, float(targets.get(d, 0.0))) for d in model.domains])
-        shares = shares / shares.sum() if shares.sum() else np.full(k, 1 / k)
-        history, momenta, reached = fit_rates(narrow, shares * tokens)
-        if tokens and np.abs(reached - shares * tokens).max() > 1e-4 * tokens:
-            got = {d: round(float(n / tokens), 4) for d, n in zip(model.domains, reached, strict=True)}
-            warnings.warn(f"no rates reach the targets {dict(targets)}; the nearest shares are {got}", stacklevel=2)
-
-    draw = (F.shiftrightunsigned(F.xxhash64(ident, whole_text(text)), 11).cast("double") / float(1 << 53)).alias("__draw")
-    drawn = docs.select(*docs.columns, draw)
-    rated = memberships(drawn, model, text, [*carried, "__draw"], (history, momenta))
-    copies = F.floor(F.col("__rate") + F.col("__draw")).cast("int")
-    return rated.withColumn("__copies", copies).drop("__draw")
-
-
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], **options) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    wide = mix(docs, labelled, targets, keep=docs.columns, **options)
-    times = F.sequence(F.lit(1), F.col("__copies"))
-    return wide.filter("__copies > 0").withColumn("__copy", F.explode(times)).select(*docs.columns)
+    found = rated(docs, labelled, targets, label, per_class, text, ident)
+    names = ("domain", "posterior", "tokens", "rate", "copies")
+    return found.select(F.col("row")[ident].alias(ident), *[F.col(c).alias(f"__{c}") for c in names])
+
+
+def mixed(
+    docs: DataFrame,
+    labelled: DataFrame,
+    targets: Mapping[str, float],
+    label: str = "domain",
+    per_class: int = 1000,
+    text: str = "text",
+    ident: str = "doc_id",
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, whatever their names, each as often as its copies say."""
+    found = rated(docs, labelled, targets, label, per_class, text, ident).filter("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return found.select("row", times).select("row.*")
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

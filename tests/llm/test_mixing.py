@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cohortlake.llm.mixing import fit_domains, fit_rates, mix, mixed, rates_after
@@ -42,9 +44,9 @@ def test_steps_match_a_plain_solver(spark):
     posterior = rng.dirichlet([0.4, 0.4, 0.4], 200)
     tokens = rng.integers(1, 50, 200)
     targets = np.array([0.1, 0.7, 0.2]) * tokens.sum()
-    df = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, posterior)], "__tokens long, __posterior array<double>")
-    history, momenta, expected = fit_rates(df.repartition(3), targets, tolerance=1e-6, steps=200)
-    rates, _ = rates_after(history, momenta, posterior)
+    df = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, posterior)], "tokens long, posterior array<double>")
+    fit = fit_rates(df.repartition(3), targets, tolerance=1e-6, steps=200)
+    rates, expected = rates_after(fit.steps, posterior), fit.reached
     assert np.allclose((tokens * rates) @ posterior, expected) and np.allclose(expected, targets, rtol=1e-3)
     # Projected gradient without momentum from the same start reaches the same distance.
     plain, step = np.ones(200), 1 / np.linalg.eigvalsh((posterior * tokens[:, None]).T @ posterior)[-1]
@@ -57,8 +59,66 @@ def test_rare_domains_reach_their_targets(spark):
     targets = np.array([0.4, 0.2, 0.2, 0.2]) * 1e6
     for shares in ([0.9, 0.07, 0.025, 0.005], [0.95, 0.04, 0.009, 0.001]):
         rows = [(round(s * 1e6), np.eye(4)[i].tolist()) for i, s in enumerate(shares)]
-        df = spark.createDataFrame(rows, "__tokens long, __posterior array<double>")
-        assert np.allclose(fit_rates(df, targets)[2], targets, atol=100)
+        df = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+        assert np.allclose(fit_rates(df, targets).reached, targets, atol=100)
+
+
+class Rows:
+    """Stands in for a table whose tasks run at once: the fit's sums over many small cases."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return Rows([b for own in self.batches for b in f(iter([own]))])
+
+    def groupBy(self, _):
+        return self
+
+    def agg(self, _):
+        return self
+
+    def collect(self):
+        sums = {}
+        for b in self.batches:
+            for place, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[place] = sums.get(place, 0.0) + value
+        return [Row(place=p, value=v) for p, v in sums.items()]
+
+    def first(self):
+        return [sum(b.column(0).to_pylist()[0] for b in self.batches)]
+
+
+def test_any_targets_give_rates_and_a_small_residual():
+    """300 random cases, reachable or not: no exception, and no step would move the rates much."""
+    rng = np.random.default_rng(0)
+    missed = 0
+    for _ in range(300):
+        k, n = int(rng.integers(2, 7)), int(rng.integers(20, 300))
+        posterior, tokens = rng.dirichlet(np.full(k, rng.choice([0.05, 0.3, 1, 3])), n), rng.integers(0, 200, n)
+        tokens[0] += 1
+        targets = rng.dirichlet(np.ones(k) * rng.choice([0.3, 1, 5])) * tokens.sum()
+        halves = [slice(0, n // 2), slice(n // 2, n)]
+        data = Rows([pa.record_batch([pa.array(tokens[h]), pa.array(list(posterior[h]))], names=["tokens", "posterior"]) for h in halves])
+        fit = fit_rates(data, targets)
+        rates = rates_after(fit.steps, posterior)
+        assert (rates >= 0).all() and np.allclose((tokens * rates) @ posterior, fit.reached)
+        far = np.abs(fit.reached - targets).max() > 1e-4 * tokens.sum()
+        missed += far
+        assert not far or fit.residual <= 1e-3
+    assert 0 < missed < 150
+
+
+def test_fit_leaves_no_cached_rows_and_keeps_clashing_columns(spark):
+    _, docs, labels = tables(spark)
+    clash = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("__draw", "__tokens", "__rate", "__posterior", "row", "copies", "a.b"))])
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    again = mixed(clash, labels, {"a": 0.5, "b": 0.25, "c": 0.25})
+    assert again.columns == clash.columns and {tuple(r)[3:] for r in again.collect()} == {(0, 1, 2, 3, 4, 5, 6)}
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= held
 
 
 def test_unreachable_and_missing_domains(spark):
