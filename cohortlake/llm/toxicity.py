@@ -97,9 +97,19 @@ def hits(folded: str, machine) -> list[tuple[int, float]]:
                 spared.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-    if spared:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
-    return sorted(best.items())
+    found = sorted(best.items())
+    if not spared:
+        return found
+    # One sweep over both in order: the furthest end of the phrases begun so far decides.
+    out, at, reach = [], 0, -1
+    spared.sort()
+    for start, weight in found:
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if start >= reach:
+            out.append((start, weight))
+    return out
 
 
 def features(folded: str, machine) -> tuple[float, float]:
@@ -137,11 +147,13 @@ def fit_toxicity(
     least_odds: float = 4.5,
     least_share: float = 0.02,
     phrases: int = 2000,
+    most_support: int = 50,
 ) -> ToxicityModel:
     """Learn from at most ``per_class`` labelled rows of each class (label 1 is toxic).
 
-    Entries are supported by ``least_share`` of the toxic rows, at least 3, and have log odds of
-    ``least_odds``; the ``entries`` strongest stay. Exception phrases are pairs of neighbouring
+    Entries are supported by ``least_share`` of the toxic rows, at least 3 and no more than ``most_support``
+    needed, and have log odds of ``least_odds``, or of three quarters of what an entry of all toxic and
+    no clean row would have, if that is less; the ``entries`` strongest stay. Exception phrases are pairs of neighbouring
     words around an entry that clean rows hold at least 3 times and more often, per row, than toxic
     ones. Counting runs as partial counts per task; only the chosen entries reach the driver. Null
     labels and identifiers are left out. Without toxic or clean rows the lexicon is empty.
@@ -177,7 +189,9 @@ def fit_toxicity(
         return lambda text: entries_of(fold(text, folds))
 
     odds = F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1.0)) - F.log((F.col("fine") + 0.5) / F.lit(n_fine + 1.0))
-    support = max(3.0, least_share * n_bad)
+    support = max(3.0, min(least_share * n_bad, most_support))
+    attainable = float(np.log((n_bad + 0.5) / (n_bad + 1.0)) - np.log(0.5 / (n_fine + 1.0)))
+    least_odds = min(least_odds, 0.75 * attainable)
     strong = counted(all_entries).withColumn("odds", odds).filter((F.col("bad") >= support) & (F.col("odds") >= least_odds))
     weights = {}
     if n_bad and n_fine:

@@ -120,3 +120,25 @@ def test_logistic_reaches_the_optimum():
     beta = fit_logistic(x, y, np.ones(300))
     slope = np.hstack([x, np.ones((300, 1))]).T @ (logistic(x, beta) - y) + 0.3 * np.r_[beta[:2], 0]
     assert np.abs(slope).max() < 1e-6
+
+
+def test_hits_sweep_long_texts_with_many_exceptions():
+    import time
+
+    from cohortlake.llm.toxicity import automaton, hits
+
+    machine = automaton({" bad ": 2.0, " bad": 1.0}, {" not bad ", " bad luck "})
+    assert hits(" not bad bad bad luck badly ", machine) == [(8, 2.0), (21, 1.0)]
+    long = " not bad" * 150_000 + " bad "
+    began = time.perf_counter()
+    assert hits(long, machine) == [(8 * 150_000, 2.0)]
+    assert time.perf_counter() - began < 5
+
+
+def test_toxicity_defaults_work_with_ten_clean_rows(spark):
+    from cohortlake.llm.toxicity import fit_toxicity
+
+    rows = [(i, f"plain text number w{i} snarkle" if i < 30 else f"plain text number w{i}", int(i < 30)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert " snarkie " in fit_toxicity(docs, labels).weights  # l folds to i
