@@ -10,13 +10,30 @@ from cohortlake.session import checkpoint
 MOST_STEPS = 60
 
 
-def _large(edges: DataFrame) -> DataFrame:
+HOT_SHARE = 1024
+
+
+def with_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which is unique by ``key``, without one task for a hot key.
+
+    ``counts`` (key, n) says how many of the ``total`` rows a key has, at least for the large ones. Keys with
+    more than 1 / ``HOT_SHARE`` of the rows, which are fewer than ``HOT_SHARE``, are broadcast.
+    """
+    hot = counts.filter(F.col("n") * HOT_SHARE > total).select(key)
+    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi").withColumn("found", F.lit(True)))
+    marked = rows.join(few, key, "left")
+    known = marked.filter("found").drop("found")
+    rest = marked.filter("found is null").select(*rows.columns).join(table, key)
+    return known.unionByName(rest)
+
+
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(
-        F.col("b").alias("a"), F.col("least").alias("b")
-    )
+    least = checkpoint(both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")))
+    table = least.select("a", F.least("a", "least").alias("least"))
+    # The hub of a component is the smaller end of all its links, so it has very many rows.
+    joined = with_unique(both, table, "a", least.select("a", "n"), 2 * total)
+    return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -41,7 +58,8 @@ def connect(links: DataFrame, known: DataFrame | None = None, name: str = "compo
     edges = checkpoint(edges.distinct())
     before = None
     for _ in range(MOST_STEPS):
-        edges = checkpoint(_small(_large(edges)).distinct())
+        total = edges.count() if before is None else before[0]
+        edges = checkpoint(_small(_large(edges, total)).distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             tips = edges.select(F.col("a").alias("node"), F.col("b").alias(name))

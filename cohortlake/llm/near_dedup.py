@@ -24,7 +24,8 @@ from cohortlake.llm.shingles import WordHashes, mix, shingle_set, words_of
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS  # a power of two
 SIGNED_SCHEMA = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>"
-SETS_SCHEMA = "node binary, shingles array<long>"
+SETS_SCHEMA = "node binary, shingles array<long>, cells binary"
+COUNTED = 128  # cells of a set's outline
 # Ranks of the star centres that each round adds to the buckets still open.
 ROUNDS = ((1, 1), (2, 4), (5, 16))
 CELLS = 1 << 18  # hashed shingle counts, which only order the shingles
@@ -98,8 +99,14 @@ def signed(docs: DataFrame, width: int, text: str, ident: str) -> DataFrame:
     return rows.mapInArrow(sign, SIGNED_SCHEMA)
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """Shingles counted in ``COUNTED`` cells: the sum of two sets' smaller counts bounds their intersection."""
+    cells = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - COUNTED.bit_length() + 1)).astype(np.int64)
+    return np.bincount(cells, minlength=COUNTED).astype(np.int32).tobytes()
+
+
 def sets_of(docs: DataFrame, needed: DataFrame, width: int, text: str, ident: str) -> DataFrame:
-    """(node, shingles) of the documents that ``needed`` (doc_id, text_hash, node) names; doc_id may be null."""
+    """(node, shingles, cells) of the documents that ``needed`` (doc_id, text_hash, node) names; doc_id may be null."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -112,8 +119,10 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int, text: str, ident: st
                     if node_of(shingles) == node:  # else another text with the same hash
                         nodes.append(node)
                         sets.append(shingles.view(np.int64))
+                outlines = [outline(x.view(np.uint64)) for x in sets]
                 yield pa.record_batch(
-                    [pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
+                    [pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(outlines, pa.binary())],
+                    names=["node", "shingles", "cells"],
                 )
 
     whole = whole_text(text)
@@ -147,13 +156,35 @@ def star_edges(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
     )
 
 
+def possible(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges that the outlines of their sets do not exclude; half a kilobyte travels per end."""
+    outlines = sets.select("node", "cells")
+    near = edges.join(outlines.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
+    near = near.join(outlines.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.int32).reshape(-1, COUNTED) for i in (2, 3))
+            common = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+            union = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64) - common
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(common * 100 >= union * percent)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return near.select("a", "b", "ca", "cb").mapInArrow(keep, "a binary, b binary")
+
+
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges whose full sets have ``100 * intersection >= percent * union``."""
+    """The edges whose full sets have ``100 * intersection >= percent * union``.
+
+    Only edges that the outlines leave possible meet their full sets.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return edges.join(left, "a").join(right, "b").filter(common * 100 >= union * percent).select("a", "b")
+    likely = scratch_table(possible(edges, sets, percent), "likely")
+    return likely.join(left, "a").join(right, "b").filter(common * 100 >= union * percent).select("a", "b")
 
 
 def still_open(members: DataFrame, component: DataFrame, tested: int) -> DataFrame:

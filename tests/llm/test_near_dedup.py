@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.llm.components import connect
-from cohortlake.llm.near_dedup import BANDS, _probes, band_keys, near_duplicates
+from cohortlake.llm.near_dedup import BANDS, _probes, band_keys, near_duplicates, outline
 from cohortlake.llm.shingles import words_of
 
 
@@ -140,3 +140,12 @@ def test_connect(spark):
             parent[high] = low
     assert got == {x: find(x) for x in list(parent)}
     assert connect(df.limit(0)).collect() == []
+
+
+def test_outlines_never_exclude_a_link():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        both = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)
+        a, b = (np.unique(np.r_[both, rng.integers(0, 2**63, rng.integers(0, 100)).astype(np.uint64)]) for _ in range(2))
+        bound = np.minimum(*(np.frombuffer(outline(s), dtype=np.int32) for s in (a, b))).sum()
+        assert bound >= len(np.intersect1d(a, b))
