@@ -101,13 +101,13 @@ def fit_domains(
     return DomainModel(tuple(domains), log_share, log_prior, sharpness)
 
 
-def memberships(docs: DataFrame, model: DomainModel, text: str, draw: str) -> DataFrame:
-    """(row, draw, tokens, domain, posterior) of each row: the whole row as a struct, words, likeliest domain.
+def memberships(docs: DataFrame, model: DomainModel, text: str, draw: str, carried: list[str]) -> DataFrame:
+    """(row, draw, tokens, domain, posterior) of each row: the carried columns as a struct, words, likeliest domain.
 
     ``draw`` in [0, 1) hashes the identifier column of that name with the text, so equal rows agree.
     """
     share = F.shiftrightunsigned(F.xxhash64(draw, whole_text(text)), 11).cast("double") / float(1 << 53)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), share.alias("draw"), whole_text(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), share.alias("draw"), whole_text(text).alias("text"))
     schema = rows.drop("text").schema.add("tokens", "long").add("domain", "string").add("posterior", T.ArrayType(T.DoubleType()))
     names = list(model.domains)
 
@@ -235,13 +235,13 @@ def fit_rates(weighted: DataFrame, targets: np.ndarray, steps: int = 200, tolera
 
 
 def rated(
-    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], label: str, per_class: int, text: str, ident: str
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], label: str, per_class: int, text: str, ident: str, carried: list[str]
 ) -> DataFrame:
-    """(row, domain, posterior, tokens, rate, copies) of each row of ``docs``; see ``mix``."""
+    """(row, domain, posterior, tokens, rate, copies) of each row of ``docs``, ``row`` with the carried columns."""
     model = fit_domains(docs, labelled, label, per_class, ident)
     k = len(model.domains)
     # Written once: the fit and the result read it, so texts are classified a single time.
-    known = scratch_table(memberships(docs, model, text, ident), "memberships")
+    known = scratch_table(memberships(docs, model, text, ident, carried), "memberships")
     steps: list[np.ndarray] = []
     if k:
         tokens = known.agg(F.sum("tokens").alias("n")).first()["n"] or 0
@@ -283,7 +283,7 @@ def mix(
     nearest rates and a warning with the shares reached. Without labelled rows, or without tokens, every
     rate is one. An empty table gives no rows.
     """
-    found = rated(docs, labelled, targets, label, per_class, text, ident)
+    found = rated(docs, labelled, targets, label, per_class, text, ident, [ident])
     names = ("domain", "posterior", "tokens", "rate", "copies")
     return found.select(F.col("row")[ident].alias(ident), *[F.col(c).alias(f"__{c}") for c in names])
 
@@ -298,7 +298,7 @@ def mixed(
     ident: str = "doc_id",
 ) -> DataFrame:
     """The rows of ``docs`` with all their columns, whatever their names, each as often as its copies say."""
-    found = rated(docs, labelled, targets, label, per_class, text, ident).filter("copies > 0")
+    found = rated(docs, labelled, targets, label, per_class, text, ident, docs.columns).filter("copies > 0")
     times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     return found.select("row", times).select("row.*")
 
