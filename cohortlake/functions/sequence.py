@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,23 +20,42 @@ from cohortlake.functions.vector import list_array
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 ACCEPTED = "ACDEFGHIKLMNPQRSTVWYXBZJ"
 COMPOSITION_DIM = 64
+HISTOGRAM_BYTES = 4 << 20
 
 _REJECTED = "".join(sorted(set(string.ascii_uppercase) - set(ACCEPTED)))
 
 
+def text_slices(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of bounded bytes and rows; a longer text is a slice of its own."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else []
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(offsets, offsets[at] + HISTOGRAM_BYTES, side="right")) - 1
+        end = min(max(end, at + 1), at + 4096, len(column))
+        yield column.slice(at, end - at)
+        at = end
+
+
+def byte_counts(texts: pa.Array) -> np.ndarray:
+    """How often each of the 256 bytes occurs in each text; null texts have none."""
+    filled = texts.fill_null("")
+    offsets = np.frombuffer(filled.buffers()[1], dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    data = filled.buffers()[2]
+    letters = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    row = np.repeat(np.arange(len(filled)), np.diff(offsets))
+    return np.bincount(row * 256 + letters, minlength=256 * len(filled)).reshape(len(filled), 256)
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def composition(sequence: pa.Array) -> pa.Array:
     """L2-normalised residue-count vector (case-sensitive), repeated cyclically up to 64 entries.
 
-    A text without counted letters gives zeros. One byte histogram per text replaces twenty
-    ``replace`` passes in SQL; measured on the documents table this is about four times faster
-    than the built-in expression, transfer included.
+    A text without counted letters gives zeros. One histogram over (text, byte) of many texts at once
+    replaces twenty ``replace`` passes in SQL.
     """
     wanted = np.frombuffer(RESIDUES.encode(), dtype=np.uint8)
-    counts = np.zeros((len(sequence), len(wanted)))
-    for i, text in enumerate(sequence):
-        if text.is_valid:
-            counts[i] = np.bincount(np.frombuffer(text.as_buffer(), dtype=np.uint8), minlength=256)[wanted]
+    counts = np.concatenate([np.zeros((0, len(wanted))), *(byte_counts(p)[:, wanted] for p in text_slices(sequence))])
     norms = np.linalg.norm(counts, axis=1, keepdims=True)
     shares = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
     tiled = shares[:, np.arange(COMPOSITION_DIM) % len(wanted)].astype(np.float32)

@@ -20,14 +20,20 @@ def pair_counts(df: DataFrame, true: str, predicted: str, by: Sequence[str] = ()
     )
 
 
-def confusion_matrix(df: DataFrame, true: str, predicted: str) -> DataFrame:
+def confusion_matrix(df: DataFrame, true: str, predicted: str, labels: Sequence | None = None) -> DataFrame:
     """``(true_label, pred_label, count)`` over the union of both label sets, zero filled.
 
+    With ``labels`` the cells are exactly those of these labels, whatever occurs.
+
     The label union comes from the count table as one array; a row per cell is generated with a
     zero and merged with the observed counts by a second small aggregate.
     """
     counts = pair_counts(df, true, predicted)
     observed = counts.select(F.explode(F.array("true_label", "pred_label")).alias("label")).distinct()
+    if labels is not None:
+        kind = dict(counts.dtypes)["true_label"]
+        observed = df.sparkSession.createDataFrame([(v,) for v in labels], f"label {kind}")
+        counts = counts.filter(F.col("true_label").isin(list(labels)) & F.col("pred_label").isin(list(labels)))
     every = observed.agg(F.collect_set("label")).scalar()
     grid = observed.select(
         F.col("label").alias("true_label"), F.explode(every).alias("pred_label"), F.lit(0).cast("long").alias("count")

@@ -208,9 +208,9 @@ def train_linear_svm(
         F.first("backend").alias("backend"),
     ).first()
     if not facts["n"]:
-        raise ValueError("No rows found in the embeddings")
+        raise ValueError("there is no embedding to train on")
     if facts["low"] != facts["high"]:
-        raise ValueError("Embeddings have different widths")
+        raise ValueError("vectors of several widths cannot train one model")
     classes = labelling.sorted_labels(rows, "label")
     if len(classes) < 2:
         raise ValueError("training needs rows of two classes or more")
@@ -364,7 +364,7 @@ def report_embeddings(
         if {"seq_id", "prediction"} <= set(predictions.columns):
             joined = embeddings.select("seq_id", "length").join(predictions.select("seq_id", "prediction"), "seq_id")
             judged = labelling.rule_label(joined, "length").withColumn("prediction", F.col("prediction").cast("int"))
-            tables["confusion_matrix"] = scoring.confusion_matrix(judged, "label", "prediction")
+            tables["confusion_matrix"] = scoring.confusion_matrix(judged, "label", "prediction", [0, 1])
             tables["accuracy"] = scoring.accuracy(judged, "label", "prediction")
     return tables
 

@@ -22,18 +22,16 @@ def write_features(df: DataFrame, features: list[str], table: str = "multiomics"
     another order is an error, so all rows of a table share one layout.
     """
     spark = df.sparkSession
-    exists = spark.catalog.tableExists(table)
-    if exists and not overwrite:
-        stored = feature_names(spark, table)
-        if stored != features:
-            raise ValueError(f"Feature order differs from table '{table}'; overwrite it or ingest the same features")
-    else:
-        names = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
-        names.coalesce(1).write.mode("overwrite").format("parquet").saveAsTable(manifest_name(table))
+    appending = spark.catalog.tableExists(table) and not overwrite
+    if appending and feature_names(spark, table) != features:
+        raise ValueError(f"Feature order differs from table '{table}'; overwrite it or ingest the same features")
     rows = df.withColumn("group_id", F.coalesce("group_id", "sample_id")).select(
         "sample_id", "label", "label_index", "features", "group_id"
     )
     rows.write.mode("overwrite" if overwrite else "append").format("parquet").saveAsTable(table)
+    if not appending:  # last, so that a job that fails before leaves the old names with the old rows
+        names = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
+        names.coalesce(1).write.mode("overwrite").format("parquet").saveAsTable(manifest_name(table))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -107,3 +107,9 @@ def test_scores_that_are_missing_or_infinite(spark):
     got = ranking_quality(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
     assert got["roc_auc"] == pytest.approx((2.5 + 2) / 6)
     assert got["average_precision"] == pytest.approx((1 / 2 + 2 / 3) / 2)
+
+
+def test_fixed_labels_give_all_their_cells(spark):
+    df = spark.createDataFrame([(0, 0), (0, 0), (0, 2)], "label int, prediction int")
+    cells = {(r["true_label"], r["pred_label"]): r["count"] for r in metrics.confusion_matrix(df, "label", "prediction", [0, 1]).collect()}
+    assert cells == {(0, 0): 2, (0, 1): 0, (1, 0): 0, (1, 1): 0}

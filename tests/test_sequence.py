@@ -96,3 +96,24 @@ def test_embedder_registry(spark):
     rows = spark.createDataFrame([("x", "MKV")], "seq_id string, sequence string")
     row = jobs.embed(rows, "lengths").first()
     assert (row["backend"], row["dim"], row["embedding"]) == ("Lengths", 1, [3.0])
+
+
+def test_byte_histograms_of_slices():
+    import numpy as np
+    import pyarrow as pa
+
+    from cohortlake.functions import sequence as module
+
+    texts = ["ACCA", None, "", "é" * 50, "A" * 5000, "DD"] * 3
+    column = pa.array(["skipped", *texts]).slice(1)
+    rows = np.concatenate([module.byte_counts(p) for p in module.text_slices(column)])
+    expected = [np.bincount(np.frombuffer((t or "").encode(), dtype=np.uint8), minlength=256) for t in texts]
+    assert np.array_equal(rows, np.array(expected))
+    module_bytes, module.HISTOGRAM_BYTES = module.HISTOGRAM_BYTES, 60
+    try:
+        parts = list(module.text_slices(column))
+        assert len(parts) > 5 and sum(map(len, parts)) == len(texts)
+        assert np.array_equal(np.concatenate([module.byte_counts(p) for p in parts]), np.array(expected))
+    finally:
+        module.HISTOGRAM_BYTES = module_bytes
+    assert list(module.text_slices(pa.array([], pa.string()))) == []
