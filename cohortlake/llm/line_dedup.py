@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import BLANKS, lower_ascii, whole_text
+from cohortlake.llm.common import BLANKS, lower_ascii, scratch_table, whole_text
 
 ROW = ["doc_id", "text_hash"]
 
@@ -51,6 +51,8 @@ def keep_bitmaps(
     rows = identified(docs, text, ident).select(*ROW, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = rows.select(*ROW, "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_length)
     lines = keyed.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    # Split and hashed once: the sketch, the holders, the range sampling and the sort read hashes only.
+    lines = scratch_table(lines, "lines")
     hot = lines.agg(F.expr(f"approx_top_k(h1, {hot_lines}, {tracked})").alias("top")).select(
         F.explode("top.item").alias("h1")
     )
