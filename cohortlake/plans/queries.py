@@ -668,7 +668,7 @@ FROM mi QUALIFY rank <= 10
     within AS (SELECT n.feature, n.id, n.size, n.need,
         count(*) FILTER (WHERE CASE WHEN r > 0 THEN q.v > n.v - r AND q.v < n.v + r ELSE q.v = n.v END) AS m
       FROM near n JOIN p q ON q.feature = n.feature GROUP BY n.feature, n.id, n.size, n.need),
-    psi AS (SELECT i AS x, -0.5772156649015329 + coalesce(sum(1.0 / (i - 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS y
+    psi AS (SELECT i AS x, -0.5772156649015329 + sum(CASE WHEN i > 1 THEN 1.0 / (i - 1) ELSE 0 END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS y
       FROM (SELECT unnest(range(1, 1 + (SELECT count(*) FROM p))) AS i)),
     mi AS (SELECT w.feature, count(*) AS n, any_value(total.y) + avg(a.y - b.y - c.y) AS m
       FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS every FROM within) w JOIN psi a ON a.x = need JOIN psi b ON b.x = size
