@@ -44,7 +44,7 @@ def test_query(spark, name):
     assert got
     if name in ORACLE:
         duck = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "pages"):
             duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         result = duck.execute(ORACLE[name])
         names = [c[0] for c in result.description]
