@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlake.functions.embedders import BATCH
 from cohortlake.models import feature_classifier, kernel_svm
 from cohortlake.models.linear import Bundle
 from cohortlake.plans import jobs
@@ -21,7 +22,7 @@ def _save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 
 def embed(spark: SparkSession, a: argparse.Namespace) -> None:
-    print(f"rows={jobs.embed_sequences(spark, a.input, a.backend, a.table)}")
+    print(f"rows={jobs.embed_sequences(spark, a.input, a.backend, a.table, a.batch)}")
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -81,12 +82,12 @@ def train_kernel(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def predict(spark: SparkSession, a: argparse.Namespace) -> None:
     bundle = Bundle.load(spark, a.model, ["labels", "used_features", "backend"])
-    writers.write_csv(jobs.score_sequences(tabular.read_sequences(spark, a.input), bundle, a.backend), a.out)
+    writers.write_csv(jobs.score_sequences(tabular.read_sequences(spark, a.input), bundle, a.backend, a.batch), a.out)
 
 
 def predict_kernel(spark: SparkSession, a: argparse.Namespace) -> None:
     bundle = Bundle.load(spark, a.model, kernel_svm.REQUIRED)
-    vectors = jobs.embed(tabular.read_sequences(spark, a.input), a.backend)
+    vectors = jobs.embed(tabular.read_sequences(spark, a.input), a.backend, a.batch)
     writers.write_csv(jobs.score_kernel_model(vectors, bundle), a.out)
 
 
@@ -127,7 +128,8 @@ def parser() -> argparse.ArgumentParser:
     source = ("input", {})
     labels = [opt("--labels-csv"), opt("--label-col", "label")]
     weight = opt("--class-weight", "balanced", choices=["balanced", "none"])
-    command("embed", embed, source, opt("--backend", "dummy"), opt("--table", "embeddings"))
+    batch = opt("--batch", BATCH, int)
+    command("embed", embed, source, opt("--backend", "dummy"), opt("--table", "embeddings"), batch)
     command(
         "ingest",
         ingest,
@@ -186,7 +188,13 @@ def parser() -> argparse.ArgumentParser:
         opt("--model-out", "results/models/kernel"),
     )
     command(
-        "predict", predict, source, opt("--model", "results/models/linear"), opt("--backend"), opt("--out", "results/predictions")
+        "predict",
+        predict,
+        source,
+        opt("--model", "results/models/linear"),
+        opt("--backend"),
+        batch,
+        opt("--out", "results/predictions"),
     )
     command(
         "predict-kernel",
@@ -194,6 +202,7 @@ def parser() -> argparse.ArgumentParser:
         source,
         opt("--model", "results/models/kernel"),
         opt("--backend", "dummy"),
+        batch,
         opt("--out", "results/predictions_kernel"),
     )
     command("find", find, source, ("pattern", {"nargs": "+"}), opt("--out", "results/matches"))

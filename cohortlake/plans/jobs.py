@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.functions.embedders import embedder
+from cohortlake.functions.embedders import BATCH, embedder, with_vectors
 from cohortlake.functions.sequence import (
     letters_only,
     match_count,
@@ -35,22 +35,27 @@ from cohortlake.sources.fasta import read_clean_fasta
 # --- ingest -----------------------------------------------------------------------------------
 
 
-def embed(sequences: DataFrame, backend: str | None = "dummy") -> DataFrame:
-    """``(seq_id, length, backend, dim, embedding)`` of ``(seq_id, sequence)`` rows."""
+def embed(sequences: DataFrame, backend: str | None = "dummy", batch: int = BATCH) -> DataFrame:
+    """``(seq_id, length, backend, dim, embedding)`` of ``(seq_id, sequence)`` rows.
+
+    A batched backend gets ``batch`` sequences at a time.
+    """
     chosen = embedder(backend)
-    return sequences.select(
+    return with_vectors(sequences.select("seq_id", "sequence"), "sequence", chosen, batch).select(
         "seq_id",
         F.length("sequence").alias("length"),
         F.lit(chosen.backend).alias("backend"),
         F.lit(chosen.dim).alias("dim"),
-        chosen.vector(F.col("sequence")).alias("embedding"),
+        "embedding",
     )
 
 
-def embed_sequences(spark: SparkSession, path: str, backend: str = "dummy", table: str = "embeddings") -> int:
+def embed_sequences(
+    spark: SparkSession, path: str, backend: str = "dummy", table: str = "embeddings", batch: int = BATCH
+) -> int:
     """Read sequences, embed them and append to ``table``; returns the number of rows appended."""
     before = spark.table(table).count() if spark.catalog.tableExists(table) else 0
-    writers.append_embeddings(embed(tabular.read_sequences(spark, path), backend), table)
+    writers.append_embeddings(embed(tabular.read_sequences(spark, path), backend, batch), table)
     return spark.table(table).count() - before
 
 
@@ -291,7 +296,9 @@ def train_kernel_svm(
 # --- scoring ----------------------------------------------------------------------------------
 
 
-def score_sequences(sequences: DataFrame, bundle: Bundle, backend: str | None = None) -> DataFrame:
+def score_sequences(
+    sequences: DataFrame, bundle: Bundle, backend: str | None = None, batch: int = BATCH
+) -> DataFrame:
     """``(seq_id, prediction)`` with a stored linear model.
 
     A longer vector is cut to the model's width; a shorter one, or another backend than the one
@@ -303,7 +310,7 @@ def score_sequences(sequences: DataFrame, bundle: Bundle, backend: str | None =
         raise ValueError(f"backend '{chosen.backend}' gives {chosen.dim} entries, the model was fitted on {width}")
     if chosen.backend != bundle.settings["backend"]:
         raise ValueError(f"The model was trained on backend '{bundle.settings['backend']}'")
-    vectors = embed(sequences, chosen.backend).select("seq_id", "embedding")
+    vectors = embed(sequences, chosen.backend, batch).select("seq_id", "embedding")
     scored = predict(bundle.model, vectors, first_features(F.col("embedding"), width), bundle.settings["labels"])
     return scored.select("seq_id", "prediction")
 

@@ -10,9 +10,12 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlake.functions import embedders
 from cohortlake.functions import sequence as seq
 from cohortlake.functions import vector as vec
 from cohortlake.models import dual, feature_classifier, kernel_svm
@@ -352,6 +355,30 @@ def _(spark, folder):
     return feats.vector_to_long(unit, "v", ["vec_id"]).withColumn("value", r6(F.col("value")))
 
 
+def open_residue_model() -> embedders.Model:
+    """A model of its own task: unit vectors of the counts of the twenty residues."""
+    wanted = list(seq.RESIDUES.encode())
+
+    def residues(texts: list[str]) -> np.ndarray:
+        counts = seq.byte_counts(pa.array(texts, pa.large_string()))[:, wanted].astype(float)
+        return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-300)
+
+    return residues
+
+
+@query(
+    "batched_embed",
+    f"""WITH {COMPOSITION_SQL}
+    SELECT doc_id, CAST(i AS INTEGER) AS position, round(v[CAST(i AS INTEGER) + 1], 6) AS value
+    FROM composition, range(0, 20) AS r(i)""",
+)
+def _(spark, folder):
+    model = embedders.Embedder("residues", 20, open_model=open_residue_model)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = feats.vector_to_long(embedders.with_vectors(docs, "text", model, 64), "embedding", ["doc_id"])
+    return rows.withColumn("value", r6(F.col("value")))
+
+
 PATTERNS = ["anan", "the", "ation"]
 POSITIONS_SQL = """
 chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS position FROM documents),
