@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlake.operators.ranking import stratum_rank
+from cohortlake.operators.ranking import seeded_key, stratum_rank
+from cohortlake.session import checkpoint
 
 
 def stratified_split(df: DataFrame, label: str, ident: str, test_size: float = 0.25, seed: int = 42) -> DataFrame:
@@ -75,6 +78,56 @@ def group_folds(df: DataFrame, label: str, group: str, folds: int, seed: int = 4
     return ranked.select(group, ((F.col("rank") - 1) % F.lit(folds)).cast("int").alias("fold"))
 
 
+def balanced_group_folds(
+    df: DataFrame, label: str, group: str, folds: int, seed: int = 42, share: float = 0.001
+) -> DataFrame:
+    """``(group, fold)``: whole groups dealt so that every fold holds about the same part of every class.
+
+    A group that holds more than ``share / folds`` of some class is large; there are at most
+    ``classes * folds / share`` of them, whatever the size of the table, and only they are placed one
+    by one on the driver, the largest part of a class first: each goes where the squared class shares
+    of the folds grow least. The others are dealt as in ``group_folds`` before, and their class counts
+    are what the folds start with. Groups of equal counts go by seeded key. A null group is one group,
+    a null label one class; an empty table gives no rows.
+    """
+    counts = checkpoint(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__n")))
+    classes = counts.groupBy(F.col(label).alias("__class")).agg(F.sum("__n").alias("__total"))
+    sized_counts = counts.join(classes, F.col(label).eqNullSafe(F.col("__class")))
+    large = sized_counts.groupBy(group).agg(F.max(F.col("__n") / F.col("__total")).alias("__part"))
+    large = large.select(F.col(group).alias("__group"), (F.col("__part") > share / folds).alias("__large"))
+    marked = checkpoint(counts.join(large, F.col(group).eqNullSafe(F.col("__group"))).drop("__group"))
+    # Counts per (group, label) weigh as rows, so the small groups are ranked as in group_folds.
+    small = marked.filter(~F.col("__large"))
+    profile = small.groupBy(group).agg(
+        F.sum("__n").alias("__size"), F.min(F.struct((-F.col("__n")).alias("n"), F.col(label).alias("c"))).alias("__top")
+    )
+    profile = profile.select(group, "__size", F.col("__top.c").alias("__main"))
+    ranked = stratum_rank(profile, ["__main"], group, seed, leading="__size")
+    dealt = checkpoint(ranked.select(group, ((F.col("rank") - 1) % F.lit(folds)).cast("int").alias("fold")))
+
+    totals = {r["__class"]: r["__total"] for r in classes.collect()}
+    position = {c: i for i, c in enumerate(totals)}
+    loads = np.zeros((folds, len(totals)))
+    placed = dealt.withColumnRenamed(group, "__group")
+    begun = small.join(placed, F.col(group).eqNullSafe(F.col("__group"))).groupBy("fold", label).agg(F.sum("__n").alias("__n"))
+    for fold, name, n in begun.collect():
+        loads[fold, position[name]] = n / totals[name]
+    parts: dict[object, np.ndarray] = {}
+    ordered = marked.filter("__large").select(group, label, "__n", seeded_key(seed, group).alias("__key"))
+    keys: dict[object, str] = {}
+    for name, of_class, n, key in ordered.collect():
+        parts.setdefault(name, np.zeros(len(totals)))[position[of_class]] = n / totals[of_class]
+        keys[name] = key or ""
+    rows = []
+    for name in sorted(parts, key=lambda g: (-parts[g].max(), -parts[g].sum(), keys[g])):
+        # (load + part)^2 - load^2 summed over classes, up to a constant; the smallest fold on a tie
+        fold = int(np.argmin(np.round(loads @ parts[name], 12)))
+        loads[fold] += parts[name]
+        rows.append((name, fold))
+    schema = T.StructType([df.schema[group], T.StructField("fold", T.IntegerType())])
+    return dealt.unionByName(df.sparkSession.createDataFrame(rows, schema))
+
+
 def with_group_fold(df: DataFrame, label: str, group: str, folds: int, seed: int = 42) -> DataFrame:
     """``df`` with ``fold``; rows without a group are one group of their own."""
     dealt = group_folds(df, label, group, folds, seed).withColumnRenamed(group, "__group")

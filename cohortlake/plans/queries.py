@@ -818,6 +818,11 @@ def _(spark, folder):
     return splits.group_folds(table(spark, folder, "lineitem"), "l_returnflag", "l_orderkey", 5)
 
 
+@query("balanced_group_folds")
+def _(spark, folder):
+    return splits.balanced_group_folds(table(spark, folder, "lineitem"), "l_returnflag", "l_orderkey", 5)
+
+
 # --- kernels --------------------------------------------------------------------------------
 
 # All rows are compared with this many landmarks of each label, the library's default.

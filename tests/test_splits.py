@@ -99,3 +99,30 @@ def test_rows_without_label_or_group_stay(spark):
     folds = splits.with_group_fold(df, "label", "group_id", 3)
     assert folds.count() == 60 and folds.filter("group_id is null").select("fold").distinct().count() == 1
     assert folds.columns == ["sample_id", "label", "group_id", "fold"]
+
+
+def worst_share(df, dealt, folds):
+    """The greatest distance of a fold's part of a class from the ideal one."""
+    joined = df.join(dealt.withColumnRenamed("grp", "g"), F.col("grp").eqNullSafe(F.col("g")))
+    cells = {(r["fold"], r["label"]): r["count"] for r in joined.groupBy("fold", "label").count().collect()}
+    totals = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    return max(abs(cells.get((f, c), 0) / n - 1 / folds) for f in range(folds) for c, n in totals.items())
+
+
+def test_balanced_group_folds(spark):
+    # Every fourth group by size holds class c: round robin deals all of them to one fold.
+    rows = [(f"g{g:03d}", "ab"[i % 5 == 0]) for g in range(40) for i in range(10 * (40 - g))]
+    rows += [(f"g{g:03d}", "c") for g in range(0, 40, 4) for _ in range(9)] + [(f"s{i}", "ac"[i % 2]) for i in range(100)]
+    rows += [(None, "a")] * 30 + [("g001", None)] * 4 + [("g002", None)] * 4 + [("g003", None)] * 4 + [("g005", None)] * 4
+    df = spark.createDataFrame(rows, "grp string, label string")
+    dealt = splits.balanced_group_folds(df, "label", "grp", 4, share=0.02)
+    assert dealt.count() == dealt.distinct().count() == df.select("grp").distinct().count()
+    round_robin = splits.group_folds(df, "label", "grp", 4)
+    assert worst_share(df, dealt, 4) < 0.03 < 0.1 < worst_share(df, round_robin, 4)
+    again = splits.balanced_group_folds(df.repartition(5), "label", "grp", 4, share=0.02)
+    assert set(map(tuple, again.collect())) == set(map(tuple, dealt.collect()))
+    every = splits.balanced_group_folds(df, "label", "grp", 4, share=1e-9)  # all groups one by one
+    assert worst_share(df, every, 4) < 0.03
+    none = splits.balanced_group_folds(df, "label", "grp", 4, share=100.0)  # all dealt in turn
+    assert set(map(tuple, none.collect())) == set(map(tuple, round_robin.collect()))
+    assert splits.balanced_group_folds(df.limit(0), "label", "grp", 4).count() == 0
