@@ -1,4 +1,8 @@
-"""Column expressions for sequence text and its annotations."""
+"""Column expressions for sequence text and its annotations.
+
+Jobs ship this module by value when their functions name it. A UDF holds on to the session once it
+was used, and could not be shipped; so each call makes its own and none is kept in the module.
+"""
 
 from __future__ import annotations
 
@@ -47,13 +51,7 @@ def byte_counts(texts: pa.Array) -> np.ndarray:
     return np.bincount(row * 256 + letters, minlength=256 * len(filled)).reshape(len(filled), 256)
 
 
-@F.arrow_udf(T.ArrayType(T.FloatType()))
-def composition(sequence: pa.Array) -> pa.Array:
-    """L2-normalised residue-count vector (case-sensitive), repeated cyclically up to 64 entries.
-
-    A text without counted letters gives zeros. One histogram over (text, byte) of many texts at once
-    replaces twenty ``replace`` passes in SQL.
-    """
+def _compositions(sequence: pa.Array) -> pa.Array:
     wanted = np.frombuffer(RESIDUES.encode(), dtype=np.uint8)
     counts = np.concatenate([np.zeros((0, len(wanted))), *(byte_counts(p)[:, wanted] for p in text_slices(sequence))])
     norms = np.linalg.norm(counts, axis=1, keepdims=True)
@@ -62,6 +60,15 @@ def composition(sequence: pa.Array) -> pa.Array:
     return list_array(tiled)
 
 
+def composition(sequence: Column) -> Column:
+    """L2-normalised residue-count vector (case-sensitive), repeated cyclically up to 64 entries.
+
+    A text without counted letters gives zeros. One histogram over (text, byte) of many texts at once
+    replaces twenty ``replace`` passes in SQL.
+    """
+    return F.arrow_udf(_compositions, T.ArrayType(T.FloatType()))(sequence)
+
+
 def accession(header: Column) -> Column:
     """Accession of a FASTA header: second field of ``sp|…`` / ``tr|…``, else the first token."""
     text = F.regexp_replace(F.regexp_replace(header, r"^\s+|\s+$", ""), "^>", "")
@@ -99,16 +106,21 @@ def _mapped_text(text: pa.Array, table: np.ndarray) -> pa.Array:
     return pc.if_else(text.is_valid(), out, None).cast(pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def letters_only(sequence: pa.Array) -> pa.Array:
+def _cleaned(sequence: Column, replace_rejected: bool) -> Column:
+    def cleaned(text: pa.Array) -> pa.Array:
+        return _mapped_text(text, _letters(replace_rejected))
+
+    return F.arrow_udf(cleaned, T.StringType())(sequence)
+
+
+def letters_only(sequence: Column) -> Column:
     """ASCII letters of the text in upper case."""
-    return _mapped_text(sequence, _letters(False))
+    return _cleaned(sequence, False)
 
 
-@F.arrow_udf(T.StringType())
-def sanitized(sequence: pa.Array) -> pa.Array:
+def sanitized(sequence: Column) -> Column:
     """Like ``letters_only``, with letters outside the accepted alphabet replaced by ``X``."""
-    return _mapped_text(sequence, _letters(True))
+    return _cleaned(sequence, True)
 
 
 def rejected_letters(letters: Column) -> Column:
@@ -131,7 +143,6 @@ def match_count(text: Column, pattern: str) -> Column:
     return F.floor(removed / F.lit(len(pattern.encode()))).cast("int")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _start_positions(text: pd.Series, pattern: pd.Series) -> pd.Series:
     def starts(t: str, p: str) -> list[int]:
         found, at = [], t.find(p)
@@ -154,6 +165,5 @@ def pattern_positions(df: DataFrame, keys: Sequence[str], text: str, patterns: S
         return df.select(*keys, F.lit("").alias("pattern"), F.lit(0).alias("position")).limit(0)
     present = F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(p)), F.lit(p)) for p in wanted]))
     hits = df.select(*keys, text, F.explode(present).alias("pattern"))
-    return hits.select(
-        *keys, "pattern", F.explode(_start_positions(F.col(text), F.col("pattern"))).alias("position")
-    )
+    positions = F.pandas_udf(_start_positions, T.ArrayType(T.IntegerType()))
+    return hits.select(*keys, "pattern", F.explode(positions(F.col(text), F.col("pattern"))).alias("position"))

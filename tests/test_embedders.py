@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.functions import embedders
+from cohortlake.functions import sequence as seq
 from cohortlake.plans import jobs
 
 
@@ -52,6 +53,19 @@ def test_jobs_take_a_batch_size(spark):
         jobs.embed(df, "sized", 0)
 
 
+def test_model_may_name_the_module_of_used_columns(spark):
+    df = spark.createDataFrame([("a", "MKM"), ("b", None)], "seq_id string, sequence string")
+    used = df.select(seq.composition("sequence"), seq.letters_only("sequence"), seq.sanitized("sequence"))
+    assert used.count() == 2 and seq.pattern_positions(df, ["seq_id"], "sequence", ["M"]).count() == 2
+
+    def open_model():
+        return lambda texts: seq.byte_counts(pa.array(texts, pa.large_string()))[:, [ord("M")]]
+
+    chosen = embedders.Embedder("counts", 1, open_model=open_model)
+    found = embedders.with_vectors(df, "sequence", chosen).collect()
+    assert sorted((r.seq_id, r.embedding) for r in found) == [("a", [2.0]), ("b", [0.0])]
+
+
 def test_wrong_shape_fails(spark):
     model = embedders.Embedder("short", 3, open_model=lambda: lambda texts: np.zeros((len(texts), 2)))
     df = spark.createDataFrame([("a", "MKV")], "seq_id string, sequence string")
