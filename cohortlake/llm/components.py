@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from cohortlake.session import checkpoint
 
 MOST_STEPS = 60
+# A key with more rows than this, and more than one in ``HOT_SHARE`` of all, is not left to one task.
+HOT_ROWS, HOT_SHARE = 1 << 14, 1024
 
 
-HOT_SHARE = 1024
-
-
-def with_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+def with_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, bound: int) -> DataFrame:
     """``rows`` joined to ``table``, which is unique by ``key``, without one task for a hot key.
 
-    ``counts`` (key, n) says how many of the ``total`` rows a key has, at least for the large ones. Keys with
-    more than 1 / ``HOT_SHARE`` of the rows, which are fewer than ``HOT_SHARE``, are broadcast.
+    ``counts`` (key, n) says how many rows a key has, at least for the large ones. Keys with more than
+    ``bound`` rows, which must be few, are broadcast.
     """
-    hot = counts.filter(F.col("n") * HOT_SHARE > total).select(key)
+    hot = counts.filter(F.col("n") > bound).select(key)
     few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi").withColumn("found", F.lit(True)))
     marked = rows.join(few, key, "left")
     known = marked.filter("found").drop("found")
@@ -29,10 +28,15 @@ def with_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
 
 def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = checkpoint(both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")))
+    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+    # The hub of a component is the smaller end of all its links, so it may have very many rows. Every
+    # broadcast stays in the driver and the executors for a while, so there is none without such a hub.
+    bound, hubs = max(HOT_ROWS, 2 * total // HOT_SHARE), False
+    if 2 * total > bound:
+        least = checkpoint(least)
+        hubs = least.agg(F.max("n")).first()[0] > bound
     table = least.select("a", F.least("a", "least").alias("least"))
-    # The hub of a component is the smaller end of all its links, so it has very many rows.
-    joined = with_unique(both, table, "a", least.select("a", "n"), 2 * total)
+    joined = with_unique(both, table, "a", least.select("a", "n"), bound) if hubs else both.join(table, "a")
     return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 

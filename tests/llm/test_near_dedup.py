@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.llm import components
 from cohortlake.llm.components import connect
 from cohortlake.llm.near_dedup import BANDS, _probes, band_keys, near_duplicates, outline
 from cohortlake.llm.shingles import words_of
@@ -142,6 +143,33 @@ def test_connect(spark):
     assert connect(df.limit(0)).collect() == []
 
 
+def test_only_large_hubs_are_broadcast(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Two stars, of which the larger one hangs on a path, and single links.
+        links = [(0, n) for n in range(1, 300)] + [(400, n) for n in range(401, 450)] + [(299 + n, 300 + n) for n in range(20)]
+        links += [(n, n + 1) for n in range(1000, 1100, 2)]
+        df = spark.createDataFrame([(max(e), min(e)) for e in links], "a long, b long").repartition(4)
+
+        def step():
+            made = components._large(df, len(links))
+            found = sorted(tuple(r) for r in made.collect())  # the adaptive plan is final after that
+            return found, "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+
+        plain, broadcast = step()
+        assert not broadcast
+        whole = sorted(tuple(r) for r in connect(df).collect())
+        monkeypatch.setattr(components, "HOT_ROWS", 100)
+        hub, broadcast = step()
+        assert broadcast and hub == plain
+        assert sorted(tuple(r) for r in connect(df).collect()) == whole
+        monkeypatch.setattr(components, "HOT_ROWS", 500)  # more rows in all, but in no key
+        assert step() == (plain, False)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_outlines_never_exclude_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
