@@ -8,6 +8,7 @@ segment or one document.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import uuid
@@ -31,6 +32,8 @@ SEGMENT = 1 << 20
 CACHED_WORDS = 400_000
 # ASCII marks that the vocabulary takes together when they follow letters; an apostrophe may not.
 MARKS = """.,!?:;"#$%&()*+-/<=>@[\\]^_`{|}~"""
+# Words that are letters for every Unicode version, with lower-case forms that are letters as well.
+LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 # Fixed values of the format: magic, documents, ids, words, escapes.
 MAGIC = b"S8B1"
 HEADER = "<4sIQQQ"
@@ -67,14 +70,22 @@ def unpack_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [None if f else int(d) for d, f in zip(numbers, flags, strict=True)], lengths, ids
 
 
+def gathered(table: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``counts`` entries of ``table`` from ``first`` on, one behind the other."""
+    total = int(counts.sum(dtype=np.int64))
+    kind = np.int32 if max(total, len(table)) < 2**31 else np.int64
+    shift = first.astype(kind) - (np.cumsum(counts, dtype=kind) - counts.astype(kind))
+    return table[np.arange(total, dtype=kind) + np.repeat(shift, counts)]
+
+
 class WordCoder:
-    """Ids of texts through a table of pieces.
+    """Ids of texts through a table of words.
 
     Pieces between spaces and line feeds never share a token in a vocabulary that drops white space,
-    so each different piece of a batch is looked up once, and encoded if the table lacks it. Letters
-    and the marks behind them are encoded apart, as the vocabulary's own split does, and ASCII
-    pieces in lower case. The table lives as long as the worker process and is emptied when it
-    reaches ``bound``.
+    so each different piece of a batch is looked up once. Letters and the marks behind them are
+    encoded apart, as the vocabulary's own split does, and ASCII pieces in lower case; what the table
+    lacks is encoded. The table lives as long as the worker process and is trimmed when it passes
+    ``bound``.
     """
 
     def __init__(self, path: str, bound: int = CACHED_WORDS):
@@ -84,64 +95,75 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        tables = sys.modules.setdefault("_corpus_pieces", ModuleType("_corpus_pieces")).__dict__
-        self.known, self.pieces = tables.setdefault(path, ({"": b""}, {"": b""}))
+        tables = sys.modules.setdefault("_corpus_words", ModuleType("_corpus_words")).__dict__
+        self.known = tables.setdefault(path, {"": b""})
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each."""
         pieces = pc.split_pattern(pc.replace_substring(texts, pattern="\n", replacement=" "), pattern=" ")
         words = pieces.flatten().dictionary_encode()
-        unique = words.dictionary.to_pylist()
-        coded = self._coded(unique)
-        sizes = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded)) // 4
-        table = np.frombuffer(b"".join(coded), dtype="<u4")
+        table, sizes = self._coded(words.dictionary)
         index = words.indices.to_numpy()
         counts = sizes[index]
-        total = int(counts.sum(dtype=np.int64))
-        kind = np.int32 if max(total, len(table)) < 2**31 else np.int64
-        ends = np.cumsum(counts, dtype=kind)
-        first = (np.cumsum(sizes, dtype=kind) - sizes)[index] - (ends - counts)
-        ids = table[np.arange(total, dtype=kind) + np.repeat(first, counts)]
-        bounds = np.concatenate([np.zeros(1, kind), ends])[pieces.offsets.to_numpy()]
+        ids = gathered(table, (np.cumsum(sizes) - sizes)[index], counts)
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[pieces.offsets.to_numpy()]
         return ids, np.diff(bounds)
 
     def trim(self) -> None:
         """Keep what was learned first, which the common words are, and release the rest."""
-        for table in (self.known, self.pieces):
-            first = list(islice(table.items(), self.bound // 8))
-            table.clear()
-            table.update(first)
-
-    def _coded(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece."""
-        if len(self.known) > self.bound or len(self.pieces) > self.bound // 2:
+        first = list(islice(self.known.items(), self.bound // 8))
+        self.known.clear()
+        self.known.update(first)
+
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all different ``pieces``, and the number of ids of each."""
+        if len(self.known) > self.bound:
             self.trim()
-        known, seen = self.known, self.pieces
-        coded = list(map(seen.get, pieces))
-        new = [p for p, found in zip(pieces, coded, strict=True) if found is None]
-        plain = [p.lower() if p.isascii() else p for p in new]
-        cores = [p.rstrip(MARKS) for p in plain]
-        fine = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in cores]
-        marks = [q[len(c) :] if f else "" for q, c, f in zip(plain, cores, fine, strict=True)]
-        cores = [c if f else p for p, c, f in zip(new, cores, fine, strict=True)]
-        apart = {p for p, f in zip(new, fine, strict=True) if not f and p not in known}
-        words = list(set(cores).difference(known, apart))
-        for at in range(0, len(words), 20_000):
+        plain = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
+        cores = pc.ascii_rtrim(plain, characters=MARKS)
+        fine = pc.match_substring_regex(cores, pattern=LETTERS).to_numpy(zero_copy_only=False).copy()
+        odd = np.nonzero(~fine)[0]
+        fine[odd] = [c.isalpha() and c.lower().isalpha() for c in cores.take(pa.array(odd)).to_pylist()]
+        words = pc.if_else(pa.array(fine), cores, pieces).dictionary_encode()
+        word = words.indices.to_numpy()
+        letters = np.zeros(len(words.dictionary), dtype=bool)
+        letters[word] = fine
+        marked = np.nonzero(fine & (pc.binary_length(plain).to_numpy() > pc.binary_length(cores).to_numpy()))[0]
+        run = pc.extract_regex(plain.take(pa.array(marked)), pattern=f"(?P<marks>[{re.escape(MARKS)}]+)\\z")
+        marks = run.field("marks").dictionary_encode()
+        coded = self._ids(words.dictionary.to_pylist(), letters) + self._ids(marks.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        first = np.cumsum(lengths) - lengths
+        # A word, and the marks behind it if there are any.
+        counts, begins = np.zeros((2, len(pieces), 2), dtype=np.int64)
+        counts[:, 0], begins[:, 0] = lengths[word], first[word]
+        at = marks.indices.to_numpy() + len(letters)
+        counts[marked, 1], begins[marked, 1] = lengths[at], first[at]
+        table = np.frombuffer(b"".join(coded), dtype="<u4")
+        return gathered(table, begins.reshape(-1), counts.reshape(-1)), counts.sum(axis=1)
+
+    def _ids(self, words: list[str], letters: np.ndarray | None = None) -> list[bytes]:
+        """The ids of each of ``words``; ``letters`` tells which have nothing but letters."""
+        known = self.known
+        coded = list(map(known.get, words))
+        new = [k for k, found in enumerate(coded) if found is None]
+        plain = [k for k in new if letters is not None and letters[k]]
+        for at in range(0, len(plain), 20_000):
             # Each word of letters closes with exactly one word-end token, so many encode as one text.
-            some = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            some = [words[k] for k in plain[at : at + 20_000]]
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
             ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
             joined = ids.tobytes()
             known.update(zip(some, [joined[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        rest = list(apart.union(m for m in set(marks) if m not in known))
+        rest = [words[k] for k in new if letters is None or not letters[k]]
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
-            batch = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update(zip(some, (np.array(c.ids, dtype="<u4").tobytes() for c in batch), strict=True))
-        values = [known[c] + known[m] if m else known[c] for c, m in zip(cores, marks, strict=True)]
-        seen.update(zip(new, values, strict=True))
-        rest = iter(values)
-        return [next(rest) if found is None else found for found in coded]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, (np.array(c.ids, dtype="<u4").tobytes() for c in found), strict=True))
+        for k in new:
+            coded[k] = known[words[k]]
+        return coded
 
 
 def write_tokens(

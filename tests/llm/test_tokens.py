@@ -1,3 +1,5 @@
+import cProfile
+import pstats
 import zlib
 
 import numpy as np
@@ -59,6 +61,27 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == plain(texts)
 
 
+def test_marked_pieces_take_no_calls_each():
+    """Words of letters with marks behind them, in either case, are split and looked up as arrays."""
+    coder = WordCoder(default_vocabulary())
+    coder.encode(pa.array(["other words, 1 é."]))  # imports happen here
+    words = [f"{a}{b}" for a in ("straße", "été", "Word", "TEXT", "ÿØ") for b in "abcdefghijklmnopqrst"]
+    pieces = [w + x + y for w in words for x in ".,!?$%*" for y in ('"', ")", "]", "\\", "^", "--", "")]
+    profile = cProfile.Profile()
+    profile.enable()
+    ids, sizes = coder.encode(pa.array([" ".join(pieces)]))
+    profile.disable()
+    assert ids.tolist() == plain([" ".join(pieces)])[0] and sizes.tolist() == [len(ids)]
+    assert pstats.Stats(profile).total_calls < len(pieces) / 2
+
+
+def test_letters_of_other_scripts_and_signs():
+    texts = ["ª µ × ÷ º ª. µ! ×× a×b a÷ ßẞ. İ, ǅ; Слово! слово. ΣΑΣ? 中文. é.é e\u0301. ﬁ. ½. Ⅷ. ʰ. a\u200d. \u00ad.", "", "... -- a.b .a a."]
+    ids, sizes = WordCoder(default_vocabulary()).encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == plain(texts)
+
+
 def test_store(spark):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).repartition(4)
     got = sorted((tuple(r) for r in tokenized(df, default_vocabulary()).collect()), key=lambda r: r[1])
