@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.session import shared_folder
 
@@ -26,6 +27,11 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def string_place(rows: DataFrame, text: str) -> int | None:
+    """Where ``text`` stands in ``rows``, or null if it is not a string column of that very name."""
+    return rows.columns.index(text) if text in rows.columns and rows.schema[text].dataType == T.StringType() else None
+
+
 def lower_ascii(value: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does just that for pure ASCII, at a fraction of the cost."""
     return F.when(F.octet_length(value) == F.char_length(value), F.lower(value)).otherwise(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import table, whole_text
+from cohortlake.llm.common import string_place, table, whole_text
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENT = 64  # words of an indexed part of an item; windows have two, so one holds any part whole
@@ -237,26 +237,30 @@ def find_leaks(
     size = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     chunks = max(1, -(-size // index_bytes))
     schema = docs.select(*carried).schema
-    schema = schema.add("__items", T.ArrayType(T.LongType())).add("__overlap", "double").add("__text", "string")
-    frame = docs.select(*carried, whole_text(text).alias("__text"))
+    schema = schema.add("__items", T.ArrayType(T.LongType())).add("__overlap", "double")
+    frame, source = docs.select(*carried), text
+    if string_place(frame, text) is None:  # else the text travels once, with the row
+        frame, schema, source = docs.select(*carried, whole_text(text).alias("__text")), schema.add("__text", "string"), "__text"
     for chunk in range(chunks):
         own = items if chunks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)) == chunk)
         known = sorted((r.id, r.text) for r in own.filter("id is not null").collect())
         # Pickled by value, so that executors need no copy of this package.
         index = spark.sparkContext.broadcast(cloudpickle.dumps(Index.of(known, least_words)))
-        frame = frame.mapInArrow(_searcher(index, threshold, overlap, chunk > 0), schema)
-    frame = frame.drop("__text")
+        frame = frame.mapInArrow(_searcher(index, threshold, overlap, chunk > 0, source), schema)
+    frame = frame.drop("__text") if source == "__text" else frame
     return frame if keep else frame.withColumnsRenamed({"__items": "items", "__overlap": "overlap"})
 
 
-def _searcher(index, threshold: float, overlap: float, again: bool):
+def _searcher(index, threshold: float, overlap: float, again: bool, source: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(index.value)
+        beside = ["__text"] if source == "__text" else []
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 names = part.schema.names
-                found = leaks_in(part.column(names.index("__text")).to_pylist(), known, threshold, overlap)
+                texts = [t or "" for t in part.column(names.index(source)).to_pylist()]
+                found = leaks_in(texts, known, threshold, overlap)
                 items = [sorted(known.item_ids[i] for i in f) for f in found]
                 shares = [max(f.values(), default=None) for f in found]
                 if again:
@@ -265,9 +269,9 @@ def _searcher(index, threshold: float, overlap: float, again: bool):
                     old = part.column(names.index("__overlap")).to_pylist()
                     shares = [max((x for x in pair if x is not None), default=None) for pair in zip(old, shares, strict=True)]
                 new = {"__items": pa.array(items, pa.list_(pa.int64())), "__overlap": pa.array(shares, pa.float64())}
-                kept = [n for n in names if n not in ("__items", "__overlap", "__text")]
-                columns = [part.column(names.index(n)) for n in kept] + [*new.values(), part.column(names.index("__text"))]
-                yield pa.record_batch(columns, names=[*kept, *new, "__text"])
+                kept = [n for n in names if n not in ("__items", "__overlap", *beside)]
+                columns = [part.column(names.index(n)) for n in kept] + [*new.values(), *(part.column(names.index(n)) for n in beside)]
+                yield pa.record_batch(columns, names=[*kept, *new, *beside])
 
     return search
 

@@ -257,7 +257,8 @@ def rated(
     def rate(posterior: pa.Array) -> pa.Array:
         return pa.array(rates_after(steps, posterior.flatten().to_numpy(zero_copy_only=False).reshape(len(posterior), k)))
 
-    found = known.withColumn("rate", rate("posterior") if steps else F.lit(1.0))
+    # Taken as not deterministic, so that a filter on the copies does not run it a second time, in workers of its own.
+    found = known.withColumn("rate", rate.asNondeterministic()("posterior") if steps else F.lit(1.0))
     return found.withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("int")).drop("draw")
 
 

@@ -19,6 +19,7 @@ from cohortlake.llm.common import (
     learned_labels,
     logistic,
     scored,
+    string_place,
     table,
     texts_of,
     whole_text,
@@ -129,16 +130,20 @@ def quality_scores(docs: DataFrame, model: QualityModel, text: str = "text", ide
 def quality_filtered(docs: DataFrame, model: QualityModel, bound: float, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``bound``, in one pass without a shuffle."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    width, place = len(docs.columns), string_place(docs, text)
+    # A text that is not a string yet travels beside the row as one; others travel once.
+    rows = docs.select("*", whole_text(text).alias("__text")) if place is None else docs
+    place = width if place is None else place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                values = pa.array(of(part.column(part.num_columns - 1).to_pylist()), pa.float64())
-                yield pa.record_batch([*part.columns[:-1], values], names=[*part.schema.names[:-1], "__score"])
+                values = pa.array(of(part.column(place).to_pylist()), pa.float64())
+                yield pa.record_batch([*part.columns[:width], values], names=[*part.schema.names[:width], "__score"])
 
-    scores = docs.select("*", whole_text(text).alias("__text")).mapInArrow(run, schema)
+    scores = rows.mapInArrow(run, schema)
     return scores.filter(F.col("__score") >= bound).drop("__score")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.common import chosen_rows, decided, fit_logistic, learned_labels, logistic
 from cohortlake.llm.language import UNKNOWN, fit_language, languages_of
-from cohortlake.llm.quality import fit_quality, quality_filtered, quality_scores
+from cohortlake.llm.quality import QualityModel, fit_quality, quality_filtered, quality_scores
 from cohortlake.llm.toxicity import Folds, automaton, fit_toxicity, fold, hits, toxicity_scores
 
 EDGES = [(9001, None), (9002, ""), (9003, "   \n"), (None, "nameless words"), (9004, "1234 56 !!"), (9005, "word " * 20_000)]
@@ -81,6 +81,16 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == scores.count()
 
 
+def test_whole_rows_are_scored_with_one_copy_of_their_text(spark):
+    model = QualityModel(b"good words " * 50, b"bad noise " * 50, (9.0, 0.0))
+    rows = [(1, "good words good words"), (2, "bad noise bad noise"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, other = quality_filtered(docs, model, 0.5), quality_filtered(docs.withColumn("text", F.col("text").cast("binary")), model, 0.5)
+    assert sorted(map(tuple, plain.collect())) == [(1, rows[0][1]), (3, None), (4, "")]
+    assert sorted((r.doc_id, None if r.text is None else bytes(r.text).decode()) for r in other.collect()) == [(1, rows[0][1]), (3, None), (4, "")]
+    assert "__text" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language(spark):
     rows, docs, labels = tables(spark, "lang")
     model = fit_language(docs, learned_labels(labels, 4, 2), "y")

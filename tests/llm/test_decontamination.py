@@ -74,3 +74,14 @@ def test_empty_tables_and_kept_columns(spark):
     got = find_leaks(docs, bench, keep=docs.columns)
     assert got.columns == ["doc_id", "text", "overlap", "__items", "__overlap"] and got.first()["__items"] == []
     assert find_leaks(docs.limit(0), bench).collect() == []
+
+
+def test_kept_rows_travel_with_one_copy_of_their_text(spark):
+    docs, items = corpus()
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    kept = find_leaks(df, bench, keep=df.columns, index_bytes=4000)
+    assert "__text" not in kept._jdf.queryExecution().executedPlan().toString()
+    alone = find_leaks(df, bench).collect()
+    assert sorted((r.doc_id or -1, r["__items"]) for r in kept.collect()) == sorted((r.doc_id or -1, r["items"]) for r in alone)
+    binary = find_leaks(df.withColumn("text", F.col("text").cast("binary")), bench, keep=df.columns)
+    assert sorted((r.doc_id or -1, r["__items"]) for r in binary.collect()) == sorted((r.doc_id or -1, r["items"]) for r in alone)

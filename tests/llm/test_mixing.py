@@ -135,3 +135,10 @@ def test_model_is_soft(spark):
     model = fit_domains(docs, labels)
     sure, unsure = model.posteriors(["aeion rstae nostra", "zzz"])[:, 0], model.posteriors([""])
     assert sure[0] > 0.9 and np.allclose(unsure.sum(), 1) and np.allclose(unsure, np.exp(model.log_prior))
+
+
+def test_rates_of_the_mixed_rows_are_computed_once(spark):
+    _, docs, labels = tables(spark)
+    rows = mixed(docs, labels, {"a": 0.3, "b": 0.3, "c": 0.4})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # each would take Python workers of its own
