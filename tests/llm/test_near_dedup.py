@@ -177,3 +177,11 @@ def test_outlines_never_exclude_a_link():
         a, b = (np.unique(np.r_[both, rng.integers(0, 2**63, rng.integers(0, 100)).astype(np.uint64)]) for _ in range(2))
         bound = np.minimum(*(np.frombuffer(outline(s), dtype=np.int32) for s in (a, b))).sum()
         assert bound >= len(np.intersect1d(a, b))
+
+
+def test_few_links_take_one_shuffle_a_star(spark):
+    df = spark.createDataFrame([(b, a) for a, b in [(1, 2), (2, 3), (3, 9), (5, 6), (6, 9), (7, 8)]], "a long, b long")
+    star = components._small(components._large(df, 6), 6)
+    plan = star._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    assert {r.node: r.component for r in connect(df).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 1, 6: 1, 7: 7, 8: 7}
