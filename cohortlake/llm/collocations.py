@@ -18,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import scratch_table, table, whole_text
+from cohortlake.llm.common import lean, scratch_table, table, whole_text
 from cohortlake.llm.shingles import mix
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SHARDS = 4
 SLICE = 2 << 20  # bytes of text looked at together, unless one text is longer
-HELD = 2 << 20  # different phrases that a task holds before it hands them on
+HELD = 3 << 19  # different phrases that a task holds before it hands them on
+EMITTED = 1 << 16  # of them in a batch
 SEGMENTS = 16  # of the filter, each built in a task of its own
 MOST_BITS = 1 << 28  # of the filter: 32 MB
 KNOWN_WORDS = 1 << 21  # words numbered at a time, so that three numbers fit in 63 bits
@@ -85,7 +86,8 @@ class Phrases:
         salt = lang.encode()
         own = [xxhash.xxh3_64_intdigest(w, seed=len(salt)) for w in self.dictionary.to_pylist()]
         base = np.array(own, dtype=np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(salt))
-        self.words = mix(base)[self.codes] if len(own) else np.zeros(0, dtype=np.uint64)
+        self.distinct = mix(base)
+        self.words = self.distinct[self.codes]
         self.piece = piece
 
     def places(self, size: int) -> np.ndarray:
@@ -150,43 +152,42 @@ def built(frequent: DataFrame) -> Filter:
 
     dealt = frequent.repartition(SEGMENTS, F.shiftrightunsigned("h", 60))
     out = np.zeros((SEGMENTS, width), dtype=np.uint8)
-    for row in dealt.mapInArrow(fill, "segment int, bits binary").collect():
+    for row in dealt.mapInArrow(lean(fill), "segment int, bits binary").collect():
         out[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return Filter(out)
 
 
 class Tally:
-    """Counts of integers, merged as they come; handed on whole when too many are held."""
+    """Counts of integers, sorted and merged as they come; handed on whole when too many are held."""
 
     def __init__(self, emit: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]):
-        self.emit, self.parts, self.size = emit, [], 0
+        self.emit = emit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(keys):
             return
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.size += len(self.parts[-1][0])
-        if self.size >= HELD:
-            self.merge()
-            if self.size >= HELD // 2:
-                yield from self.flush()
-
-    def merge(self) -> None:
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        self.parts = [(keys[first], np.add.reduceat(counts, first))]
-        self.size = len(first)
+        keys, counts = np.unique(keys, return_counts=True)
+        self.keys = self.keys.astype(keys.dtype, copy=False)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        self.counts[at[~new]] += counts[~new]
+        # One array after the other, so that only one of them is held twice.
+        self.keys = np.insert(self.keys, at[new], keys[new])
+        self.counts = np.insert(self.counts, at[new], counts[new])
+        if len(self.keys) >= HELD:
+            yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            self.merge()
-            keys, counts = self.parts[0]
-            self.parts, self.size = [], 0
-            for at in range(0, len(keys), 1 << 18):
-                yield self.emit(keys[at : at + (1 << 18)], counts[at : at + (1 << 18)])
+        keys, counts = self.keys, self.counts
+        self.clear()
+        for at in range(0, len(keys), EMITTED):
+            yield self.emit(keys[at : at + EMITTED], counts[at : at + EMITTED])
 
 
 def locally_frequent(texts: DataFrame, sizes: list[int], passes: dict[int, Filter], least: int, shards: int) -> DataFrame:
@@ -220,7 +221,7 @@ def locally_frequent(texts: DataFrame, sizes: list[int], passes: dict[int, Filte
         for tally in tallies.values():
             yield from tally.flush()
 
-    mined = texts.mapInArrow(mine, "place byte, h long, n int")
+    mined = texts.mapInArrow(lean(mine), "place byte, h long, n int")
     often = mined.groupBy("place", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
     return often.select("h", (F.col("place") % (LONGEST + 1)).cast("int").alias("size")).distinct()
 
@@ -261,14 +262,16 @@ def exact_counts(texts: DataFrame, passes: dict[int, Filter], longest: int, leas
             phrases = Phrases(lang, text)
             own = numbers.setdefault(lang, {})
             known = names.setdefault(lang, [])
-            if len(own) + len(phrases.dictionary) > KNOWN_WORDS:
+            # The words of a frequent phrase are frequent; no other word takes a number.
+            wanted = np.flatnonzero(filters[1].holds(phrases.distinct)) if 1 in filters else np.arange(len(phrases.distinct))
+            if len(own) + len(wanted) > KNOWN_WORDS:
                 for size in range(1, longest + 1):
                     if (lang, size) in tallies:
                         yield from tallies[lang, size].flush()
                 own.clear()
                 known.clear()
-            number = np.zeros(len(phrases.dictionary), dtype=np.int64)
-            for i, word in enumerate(phrases.dictionary.to_pylist()):
+            number = np.full(len(phrases.distinct), -1, dtype=np.int64)
+            for i, word in zip(wanted, phrases.dictionary.take(pa.array(wanted)).to_pylist(), strict=True):
                 at = own.get(word)
                 if at is None:
                     at = own[word] = len(known)
@@ -277,7 +280,9 @@ def exact_counts(texts: DataFrame, passes: dict[int, Filter], longest: int, leas
             ids = number[phrases.codes]
             for size in range(1, longest + 1):
                 places = phrases.likely(size, filters)
-                if size in filters:
+                for k in range(size):
+                    places = places[ids[places + k] >= 0]
+                if size > 1 and size in filters:
                     places = places[filters[size].holds(phrases.hashes(places, size))]
                 keys = ids[places]
                 for k in range(1, size):
@@ -287,7 +292,7 @@ def exact_counts(texts: DataFrame, passes: dict[int, Filter], longest: int, leas
         for tally in tallies.values():
             yield from tally.flush()
 
-    found = texts.mapInArrow(count, schema)
+    found = texts.mapInArrow(lean(count), schema)
     totals = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return totals.select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "f")
 
@@ -303,7 +308,7 @@ def word_totals(texts: DataFrame) -> DataFrame:
             sums[lang] = sums.get(lang, 0) + int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(len(data) and inside[0])
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "n"])
 
-    return texts.mapInArrow(count, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(count), "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def looked_up(parts: DataFrame, counts: DataFrame) -> DataFrame:

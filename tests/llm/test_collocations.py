@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,43 @@ def test_filter_never_misses(spark):
     values = np.array([r["h"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)
     assert isinstance(filter_, Filter) and filter_.holds(values).all()
     assert filter_.holds(module.mix(np.arange(5000, dtype=np.uint64))).mean() < 0.1
+
+
+def test_tally_holds_little_more_than_its_phrases(monkeypatch):
+    monkeypatch.setattr(module, "HELD", 1 << 18)
+    rng = np.random.default_rng(7)
+    keys = [rng.integers(0, 1 << 20, 1 << 14) for _ in range(30)]
+    tally, found = module.Tally(lambda *pair: pair), Counter()
+    tracemalloc.start()
+    try:
+        for part in keys:
+            for pair in tally.add(part):
+                found.update(dict(zip(*(x.tolist() for x in pair), strict=True)))
+                tracemalloc.clear_traces()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for pair in tally.flush():
+        found.update(dict(zip(*(x.tolist() for x in pair), strict=True)))
+    assert found == Counter(np.concatenate(keys).tolist())
+    assert peak < 40 * module.HELD  # 16 bytes a phrase, and one of the two arrays again
+
+
+def test_rare_words_take_no_number(spark):
+    rows = [("en", f"rare{i} new york city rare{i}x") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).select("lang", F.col("text").cast("binary").alias("text"))
+    words = spark.createDataFrame([(hash_,) for hash_ in hashes_of("en", ["new", "york", "city"])], "h long")
+    everything = Filter(np.full((16, 64), 255, dtype=np.uint8))
+    got = collected(module.exact_counts(df, {1: built(words), 2: everything, 3: everything}, 3, 1))
+    assert got == [
+        ("en", "city", 1, 40),
+        ("en", "new", 1, 40),
+        ("en", "new york", 2, 40),
+        ("en", "new york city", 3, 40),
+        ("en", "york", 1, 40),
+        ("en", "york city", 2, 40),
+    ]
+
+
+def hashes_of(lang, words):
+    return [int(h) for h in module.Phrases(lang, " ".join(words).encode()).words.view(np.int64)]
