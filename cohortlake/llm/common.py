@@ -161,7 +161,7 @@ def scored(docs: DataFrame, score, text: str = "text", ident: str = "doc_id", ro
                 yield pa.record_batch([part.column(0), values], names=["doc_id", "score"])
 
     body = docs.select(F.col(ident).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return body.mapInArrow(run, SCORED_SCHEMA)
+    return body.mapInArrow(lean(run), SCORED_SCHEMA)
 
 
 def decided(scores: DataFrame, modulus: int, held_out: int, bound: float) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import string_place, table, whole_text
+from cohortlake.llm.common import lean, string_place, table, whole_text
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENT = 64  # words of an indexed part of an item; windows have two, so one holds any part whole
@@ -246,7 +246,7 @@ def find_leaks(
         known = sorted((r.id, r.text) for r in own.filter("id is not null").collect())
         # Pickled by value, so that executors need no copy of this package.
         index = spark.sparkContext.broadcast(cloudpickle.dumps(Index.of(known, least_words)))
-        frame = frame.mapInArrow(_searcher(index, threshold, overlap, chunk > 0, source), schema)
+        frame = frame.mapInArrow(lean(_searcher(index, threshold, overlap, chunk > 0, source)), schema)
     frame = frame.drop("__text") if source == "__text" else frame
     return frame if keep else frame.withColumnsRenamed({"__items": "items", "__overlap": "overlap"})
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.llm.common import chosen_rows, scratch_table, table, texts_of, whole_text
+from cohortlake.llm.common import chosen_rows, lean, scratch_table, table, texts_of, whole_text
 from cohortlake.llm.language import WIDTH, ngram_counts
 
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -75,7 +75,7 @@ def fit_domains(
             yield pa.record_batch(columns, names=["label", "gram", "n"])
 
     named = found.withColumn("label", F.col("label").cast("string"))
-    grams = named.filter("half").select("text", "label").mapInArrow(count, "label string, gram int, n long")
+    grams = named.filter("half").select("text", "label").mapInArrow(lean(count), "label string, gram int, n long")
     sizes = {r.label: r.rows for r in named.groupBy("label").agg(F.sum("weight").alias("rows")).collect()}
     domains = sorted(sizes)
     shares = np.full((len(domains), WIDTH), PRIOR)
@@ -90,7 +90,7 @@ def fit_domains(
             scores = [mean_likelihood(ngram_counts(t), log_share)[0].tolist() for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(scores, pa.list_(pa.float64())), batch.column(1)], names=["scores", "label"])
 
-    rest = named.filter("not half").select("text", "label").mapInArrow(measure, "scores array<double>, label string").collect()
+    rest = named.filter("not half").select("text", "label").mapInArrow(lean(measure), "scores array<double>, label string").collect()
     found.unpersist()
     sharpness = 1.0
     if rest:
@@ -125,7 +125,7 @@ def memberships(docs: DataFrame, model: DomainModel, text: str, draw: str, carri
                 }
                 yield pa.record_batch([*part.columns[:2], *new.values()], names=["row", "draw", *new])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def rates_after(steps: list[np.ndarray], posterior: np.ndarray) -> np.ndarray:

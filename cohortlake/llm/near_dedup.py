@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import scratch_table, table, whole_text
+from cohortlake.llm.common import lean, scratch_table, table, whole_text
 from cohortlake.llm.components import connect
 from cohortlake.llm.shingles import WordHashes, mix, shingle_set, words_of
 
@@ -96,7 +96,7 @@ def signed(docs: DataFrame, width: int, text: str, ident: str) -> DataFrame:
     rows = docs.select(
         F.col(ident).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text")
     )
-    return rows.mapInArrow(sign, SIGNED_SCHEMA)
+    return rows.mapInArrow(lean(sign), SIGNED_SCHEMA)
 
 
 def outline(shingles: np.ndarray) -> bytes:
@@ -130,7 +130,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int, text: str, ident: st
         F.col(ident).cast("long").alias("number"), F.xxhash64(whole).alias("digest"), whole.cast("binary").alias("text")
     )
     same = F.col("number").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_hash"))
-    return body.join(needed, same).select("node", "text").mapInArrow(expand, SETS_SCHEMA).dropDuplicates(["node"])
+    return body.join(needed, same).select("node", "text").mapInArrow(lean(expand), SETS_SCHEMA).dropDuplicates(["node"])
 
 
 def star_edges(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
@@ -171,7 +171,7 @@ def possible(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             union = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64) - common
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(common * 100 >= union * percent)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return near.select("a", "b", "ca", "cb").mapInArrow(keep, "a binary, b binary")
+    return near.select("a", "b", "ca", "cb").mapInArrow(lean(keep), "a binary, b binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +216,7 @@ def prefixes(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
         at = np.nonzero(sums)[0]
         yield pa.record_batch([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
 
-    counted = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = sets.select("shingles").mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, dtype=np.int64)
     counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
 
@@ -245,7 +245,7 @@ def prefixes(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
                 )
 
     rows = placed.join(sets, "node").select("node", "component", "shingles")
-    return rows.mapInArrow(cut, "node binary, component binary, size long, shingle long, position long")
+    return rows.mapInArrow(lean(cut), "node binary, component binary, size long, shingle long, position long")
 
 
 def prefix_edges(rare: DataFrame, percent: int) -> DataFrame:

@@ -16,6 +16,7 @@ from cohortlake.llm.common import (
     chosen_rows,
     decided,
     fit_logistic,
+    lean,
     learned_labels,
     logistic,
     scored,
@@ -98,7 +99,7 @@ def fit_quality(
 
     dictionaries = []
     for good in (True, False):
-        own = found.filter((F.col("good") == good) & F.col("half")).select("text").mapInArrow(cut, "piece binary")
+        own = found.filter((F.col("good") == good) & F.col("half")).select("text").mapInArrow(lean(cut), "piece binary")
         drawn = own.orderBy(F.xxhash64("piece"), "piece").limit(dictionary_pieces)
         dictionaries.append(dictionary_from([bytes(r.piece) for r in drawn.collect()]))
 
@@ -110,7 +111,7 @@ def fit_quality(
             yield pa.record_batch(columns, names=["saved", "good", "weight"])
 
     rest = found.filter(~F.col("half")).select("text", "good", "weight")
-    rows = rest.mapInArrow(measure, "saved double, good boolean, weight double").collect()
+    rows = rest.mapInArrow(lean(measure), "saved double, good boolean, weight double").collect()
     found.unpersist()
     x = np.array([[r.saved] for r in rows]).reshape(-1, 1)
     # A scale near one for the ridge penalty; it is folded back into the slope.
@@ -143,7 +144,7 @@ def quality_filtered(docs: DataFrame, model: QualityModel, bound: float, text: s
                 values = pa.array(of(part.column(place).to_pylist()), pa.float64())
                 yield pa.record_batch([*part.columns[:width], values], names=[*part.schema.names[:width], "__score"])
 
-    scores = rows.mapInArrow(run, schema)
+    scores = rows.mapInArrow(lean(run), schema)
     return scores.filter(F.col("__score") >= bound).drop("__score")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.llm import simple8b
-from cohortlake.llm.common import table, whole_text
+from cohortlake.llm.common import lean, table, whole_text
 from cohortlake.session import shared_folder
 
 SEGMENT = 1 << 20
@@ -213,7 +213,7 @@ def write_tokens(
 
     ordered = docs.select(F.col(ident).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, STORE_SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(lean(encode), STORE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -245,7 +245,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     store = spark.read.schema(STORE_SCHEMA).parquet(path)
     totals = store.groupBy("file_no").agg(F.sum("n_tokens").alias("ids"))
     before = totals.select("file_no", (F.sum("ids").over(Window.orderBy("file_no")) - F.col("ids")).alias("before"))
-    decoded = store.select("file_no", "first", "image").mapInArrow(decode, DOCS_SCHEMA)
+    decoded = store.select("file_no", "first", "image").mapInArrow(lean(decode), DOCS_SCHEMA)
     return decoded.join(before, "file_no").select(
         "doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )

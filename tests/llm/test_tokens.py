@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlake.llm import simple8b
+from cohortlake.llm import common, simple8b, token_store
 from cohortlake.llm.token_store import WordCoder, default_vocabulary, pack_segment, tokenized, unpack_segment
 
 TEXTS = [
@@ -97,3 +97,11 @@ def test_store(spark):
 def test_empty_store(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokenized(df, default_vocabulary()).collect() == []
+
+
+def test_coding_tasks_give_their_memory_back(spark, monkeypatch):
+    lean = []
+    monkeypatch.setattr(token_store, "lean", lambda run: lean.append(run.__name__) or common.lean(run))
+    df = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    assert tokenized(df, default_vocabulary()).count() == 1
+    assert lean == ["encode", "decode"]
