@@ -29,11 +29,14 @@ from cohortlake.llm.common import lean, table, whole_text
 from cohortlake.session import shared_folder
 
 SEGMENT = 1 << 20
+CODED_BYTES = 2 << 20  # of text coded at a time
 CACHED_WORDS = 400_000
 # ASCII marks that the vocabulary takes together when they follow letters; an apostrophe may not.
 MARKS = """.,!?:;"#$%&()*+-/<=>@[\\]^_`{|}~"""
 # Words that are letters for every Unicode version, with lower-case forms that are letters as well.
 LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+# Kinds of words: of these letters, of letters of any kind, of anything.
+LATIN, OTHER, MIXED = range(3)
 # Fixed values of the format: magic, documents, ids, words, escapes.
 MAGIC = b"S8B1"
 HEADER = "<4sIQQQ"
@@ -78,25 +81,58 @@ def gathered(table: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.nda
     return table[np.arange(total, dtype=kind) + np.repeat(shift, counts)]
 
 
+def runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbouring rows; each run ends with the row that fills ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        full = (ends[at - 1] if at else 0) + size
+        after = min(len(ends), int(np.searchsorted(ends, full)) + 1)
+        yield at, after - at
+        at = after
+
+
+def strings(values: pa.Array) -> list[str]:
+    """The values, a great deal faster than one by one."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def opened(path: str) -> tuple:
+    """A vocabulary's tokenizer, the same for words of ``LETTERS`` alone, and which ids close a word.
+
+    Between spaces such words are not split, hold no white space and are composed already; so the
+    second one, on the same model, cuts at spaces and lowers letters instead of matching expressions.
+    """
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    latin = Tokenizer(tokenizer.model)
+    latin.normalizer = normalizers.Lowercase()
+    latin.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return tokenizer, latin, closes
+
+
 class WordCoder:
     """Ids of texts through a table of words.
 
     Pieces between spaces and line feeds never share a token in a vocabulary that drops white space,
     so each different piece of a batch is looked up once. Letters and the marks behind them are
     encoded apart, as the vocabulary's own split does, and ASCII pieces in lower case; what the table
-    lacks is encoded. The table lives as long as the worker process and is trimmed when it passes
-    ``bound``.
+    lacks is encoded. The opened vocabulary and the table live as long as the worker process; the
+    table is trimmed when it passes ``bound``.
     """
 
     def __init__(self, path: str, bound: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         tables = sys.modules.setdefault("_corpus_words", ModuleType("_corpus_words")).__dict__
-        self.known = tables.setdefault(path, {"": b""})
+        if path not in tables:
+            tables[path] = (*opened(path), {"": b""})
+        self.tokenizer, self.latin, self.closes, self.known = tables[path]
+        self.bound = bound
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each."""
@@ -121,42 +157,44 @@ class WordCoder:
             self.trim()
         plain = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
         cores = pc.ascii_rtrim(plain, characters=MARKS)
-        fine = pc.match_substring_regex(cores, pattern=LETTERS).to_numpy(zero_copy_only=False).copy()
-        odd = np.nonzero(~fine)[0]
+        latin = pc.match_substring_regex(cores, pattern=LETTERS).to_numpy(zero_copy_only=False)
+        fine, odd = latin.copy(), np.nonzero(~latin)[0]
         fine[odd] = [c.isalpha() and c.lower().isalpha() for c in cores.take(pa.array(odd)).to_pylist()]
         words = pc.if_else(pa.array(fine), cores, pieces).dictionary_encode()
         word = words.indices.to_numpy()
-        letters = np.zeros(len(words.dictionary), dtype=bool)
-        letters[word] = fine
+        kinds = np.full(len(words.dictionary), MIXED)
+        kinds[word] = np.where(latin, LATIN, np.where(fine, OTHER, MIXED))
         marked = np.nonzero(fine & (pc.binary_length(plain).to_numpy() > pc.binary_length(cores).to_numpy()))[0]
         run = pc.extract_regex(plain.take(pa.array(marked)), pattern=f"(?P<marks>[{re.escape(MARKS)}]+)\\z")
         marks = run.field("marks").dictionary_encode()
-        coded = self._ids(words.dictionary.to_pylist(), letters) + self._ids(marks.dictionary.to_pylist())
+        coded = self._ids(strings(words.dictionary), kinds) + self._ids(strings(marks.dictionary))
         lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
         first = np.cumsum(lengths) - lengths
         # A word, and the marks behind it if there are any.
         counts, begins = np.zeros((2, len(pieces), 2), dtype=np.int64)
         counts[:, 0], begins[:, 0] = lengths[word], first[word]
-        at = marks.indices.to_numpy() + len(letters)
+        at = marks.indices.to_numpy() + len(kinds)
         counts[marked, 1], begins[marked, 1] = lengths[at], first[at]
         table = np.frombuffer(b"".join(coded), dtype="<u4")
         return gathered(table, begins.reshape(-1), counts.reshape(-1)), counts.sum(axis=1)
 
-    def _ids(self, words: list[str], letters: np.ndarray | None = None) -> list[bytes]:
-        """The ids of each of ``words``; ``letters`` tells which have nothing but letters."""
+    def _ids(self, words: list[str], kinds: np.ndarray | None = None) -> list[bytes]:
+        """The ids of each of ``words``; ``kinds`` tells which have nothing but letters."""
         known = self.known
         coded = list(map(known.get, words))
         new = [k for k, found in enumerate(coded) if found is None]
-        plain = [k for k in new if letters is not None and letters[k]]
-        for at in range(0, len(plain), 20_000):
-            # Each word of letters closes with exactly one word-end token, so many encode as one text.
-            some = [words[k] for k in plain[at : at + 20_000]]
-            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(found[0].ids, dtype="<u4")
-            ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
-            joined = ids.tobytes()
-            known.update(zip(some, [joined[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        rest = [words[k] for k in new if letters is None or not letters[k]]
+        kind = np.full(len(new), MIXED) if kinds is None else kinds[new]
+        for which, tokenizer in ((LATIN, self.latin), (OTHER, self.tokenizer)):
+            plain = [new[k] for k in np.nonzero(kind == which)[0].tolist()]
+            for at in range(0, len(plain), 20_000):
+                # Each word of letters closes with exactly one word-end token, so many encode as one text.
+                some = [words[k] for k in plain[at : at + 20_000]]
+                found = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+                ids = np.array(found[0].ids, dtype="<u4")
+                ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
+                joined = ids.tobytes()
+                known.update(zip(some, [joined[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = [words[new[k]] for k in np.nonzero(kind == MIXED)[0].tolist()]
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
@@ -177,6 +215,8 @@ def write_tokens(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow's other pools keep what they free, which counts against the executor.
+        pa.set_memory_pool(pa.system_memory_pool())
         coder, file_no = WordCoder(vocabulary), TaskContext.get().partitionId()
         ids, numbers, lengths, held, first, segment = [], [], [], 0, 0, 0
 
@@ -194,8 +234,8 @@ def write_tokens(
             return batch
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at, rows in runs(batch.column(1), CODED_BYTES):
+                part = batch.slice(at, rows)
                 coded, sizes = coder.encode(part.column(1))
                 ends = np.cumsum(sizes)
                 closed = np.insert(coded, ends, end_id)

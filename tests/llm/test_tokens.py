@@ -1,16 +1,19 @@
 import cProfile
+import itertools
 import pstats
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm import common, simple8b, token_store
-from cohortlake.llm.token_store import WordCoder, default_vocabulary, pack_segment, tokenized, unpack_segment
+from cohortlake.llm.token_store import WordCoder, default_vocabulary, opened, pack_segment, runs, tokenized, unpack_segment
 
 TEXTS = [
     (5, "The quick <|endoftext|> brown\tfox!! don't  jump."),
@@ -82,6 +85,57 @@ def test_letters_of_other_scripts_and_signs():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == plain(texts)
 
 
+def test_a_worker_opens_its_vocabulary_once():
+    first, second = WordCoder(default_vocabulary()), WordCoder(default_vocabulary())
+    assert first.tokenizer is second.tokenizer
+
+
+def test_words_of_latin_letters_skip_the_expressions_of_the_vocabulary():
+    """Their own tokenizer gives the same ids; words of other letters do not reach it."""
+    coder = WordCoder(default_vocabulary())
+    words = ["".join(w) for w in itertools.product("AzÀÖØöøÿßµ", "Éeñ", ["", "THE", "ing", "ÿ"])]
+    latin = [w for w in words if "µ" not in w]
+    assert coder.latin.encode(" ".join(latin), add_special_tokens=False).ids == plain([" ".join(latin)])[0]
+    seen = []
+    coder.latin = SimpleNamespace(encode_batch_fast=lambda texts, **_: seen.extend(texts) or opened(default_vocabulary())[1].encode_batch_fast(texts, **_))
+    coder.known = {"": b""}
+    texts = [" ".join(words), "Слово 中文 ᄀ가 \uf900 don't ẞ x1"]
+    ids, sizes = coder.encode(pa.array(texts))
+    assert [ids[: sizes[0]].tolist(), ids[sizes[0] :].tolist()] == plain(texts)
+    assert len(seen) == 1 and {w.lower() for w in seen[0].split()} == {w.lower() for w in latin}
+
+
+@given(st.lists(st.integers(0, 30), max_size=30), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_rows_are_coded_in_runs_of_bounded_bytes(lengths, size):
+    texts = pa.array(["a" * n for n in lengths], pa.string())
+    found = list(runs(texts, size))
+    assert [at for at, _ in found] + [len(lengths)] * bool(found) == [0] * bool(found) + [at + n for at, n in found]
+    assert sum(n for _, n in found) == len(lengths) and all(sum(lengths[at : at + n - 1]) < size for at, n in found)
+
+
+def test_long_texts_are_coded_few_at_a_time(spark, monkeypatch):
+    """2,000 rows at a time were 100 MB of these texts."""
+    held = []
+
+    class Spy(WordCoder):
+        def encode(self, texts):
+            held.append(sum(len(t) for t in texts.to_pylist()))
+            return super().encode(texts)
+
+    monkeypatch.setattr(token_store, "WordCoder", Spy)
+    tasks = []
+    monkeypatch.setattr(token_store, "lean", lambda run: tasks.append(run) or common.lean(run))
+    monkeypatch.setattr(token_store, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: self)
+    token_store.write_tokens(docs, token_store.shared_folder(spark) + "/long-texts", default_vocabulary())
+    batch = pa.record_batch([pa.array(range(100)), pa.array(["some words " * 5000] * 100)], names=["doc_id", "text"])
+    [image] = [b.column(4)[0].as_py() for b in tasks[0](iter([batch]))]
+    assert unpack_segment(image)[1].tolist() == [10_001] * 100
+    assert sum(held) == 100 * 55_000 and max(held) < token_store.CODED_BYTES + 55_000
+
+
 def test_store(spark):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).repartition(4)
     got = sorted((tuple(r) for r in tokenized(df, default_vocabulary()).collect()), key=lambda r: r[1])
