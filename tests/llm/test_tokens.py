@@ -127,6 +127,8 @@ def test_long_texts_are_coded_few_at_a_time(spark, monkeypatch):
     tasks = []
     monkeypatch.setattr(token_store, "lean", lambda run: tasks.append(run) or common.lean(run))
     monkeypatch.setattr(token_store, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    pools = []
+    monkeypatch.setattr(token_store.pa, "set_memory_pool", lambda pool: pools.append(pool.backend_name))
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: self)
     token_store.write_tokens(docs, token_store.shared_folder(spark) + "/long-texts", default_vocabulary())
@@ -134,6 +136,7 @@ def test_long_texts_are_coded_few_at_a_time(spark, monkeypatch):
     [image] = [b.column(4)[0].as_py() for b in tasks[0](iter([batch]))]
     assert unpack_segment(image)[1].tolist() == [10_001] * 100
     assert sum(held) == 100 * 55_000 and max(held) < token_store.CODED_BYTES + 55_000
+    assert pools == ["system"]
 
 
 def test_store(spark):
